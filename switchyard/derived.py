@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from switchyard.functions import rows
 from switchyard.models import Models
+from switchyard.session import configure
 
 # Name, price per 1,000 characters, skill out of 10.
 _SPEC = (
@@ -27,7 +28,7 @@ M = len(MODELS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,45 +42,34 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _quality(i: int):
-    score = (F.col("query_id") * 31 + i * 17 + F.col("n_chars")) % 10
-    return F.when(score < _SPEC[i][2], 1.0).otherwise(0.0)
-
-
-def _cost(i: int):
-    return F.lit(_SPEC[i][1]) * (F.col("n_chars") / F.lit(1000.0))
-
-
 def observations(spark: SparkSession, sf_dir: str, prompt: bool = False) -> DataFrame:
     """One row per query: quality, cost and probs per model, and the label.
 
     The label is the best model by quality, then cost, then index, and is
     missing on every 11th query.
     """
-    quality = rows.entries("quality", M)
-    cost = rows.entries("cost", M)
-    weight = rows.entries("weight", M)
-    best = F.array_min(F.array(*[F.struct(-q, c, F.lit(i).alias("idx")) for i, (q, c) in enumerate(zip(quality, cost))]))
+    quality = [
+        f"if((query_id * 31 + {i * 17} + n_chars) % 10 < {skill}, 1.0D, 0.0D)" for i, (_, _, skill) in enumerate(_SPEC)
+    ]
+    cost = [f"{price}D * (n_chars / 1000.0D)" for _, price, _ in _SPEC]
+    weight = [f"cast(1 + (query_id * 13 + {i * 29} + n_chars * 7) % 100 as double)" for i in range(M)]
+    ranked = ", ".join(f"struct(-quality[{i}] as q, cost[{i}] as c, {i} as idx)" for i in range(M))
+    total = " + ".join(f"weight[{i}]" for i in range(M))
     columns = ["query_id", "eval_name", "lang", "n_chars"] + (["prompt"] if prompt else [])
     return (
         queries(spark, sf_dir)
-        .select(
+        .selectExpr(
             *columns,
-            F.array(*[_quality(i) for i in range(M)]).alias("quality"),
-            F.array(*[_cost(i) for i in range(M)]).alias("cost"),
-            F.array(
-                *[
-                    (1 + (F.col("query_id") * 13 + i * 29 + F.col("n_chars") * 7) % 100).cast("double")
-                    for i in range(M)
-                ]
-            ).alias("weight"),
+            f"array({', '.join(quality)}) as quality",
+            f"array({', '.join(cost)}) as cost",
+            f"array({', '.join(weight)}) as weight",
         )
-        .select(
+        .selectExpr(
             *columns,
             "quality",
             "cost",
-            F.array(*[w / rows.total(weight) for w in weight]).alias("probs"),
-            F.when(F.col("query_id") % 11 != 0, best["idx"]).alias("label"),
+            f"array({', '.join(f'weight[{i}] / ({total})' for i in range(M))}) as probs",
+            f"if(query_id % 11 != 0, array_min(array({ranked})).idx, null) as label",
         )
     )
 

@@ -74,35 +74,38 @@ def recalibrated(probs: list[Column], temperature: float | Column) -> list[Colum
     return rows.softmax(centred_logits(probs), floor)
 
 
+def _labelled_logits(out: DataFrame, m: int) -> DataFrame:
+    z = centred_logits(rows.entries("probs", m))
+    return out.where(F.col("label").isNotNull()).select("label", F.array(*z).alias("z"))
+
+
+def _at_temperatures(logits: DataFrame, temperatures: list[float]) -> DataFrame:
+    """Each row once per temperature of a short list; the sums that follow are
+    taken per temperature inside the task."""
+    values = F.array(*[F.lit(max(float(t), TEMPERATURE_FLOOR)) for t in temperatures])
+    return logits.select("label", "z", F.posexplode(values).alias("i", "t"))
+
+
 def nll_by_temperature(out: DataFrame, models: Models, temperatures: list[float]) -> DataFrame:
     """(temperature, nll): mean negative log-likelihood of the labels, for
     several temperatures in one pass."""
     m = len(models)
-    z = centred_logits(rows.entries("probs", m))
-    logits = out.where(F.col("label").isNotNull()).select("label", F.array(*z).alias("z"))
-    z = rows.entries("z", m)
-    at = {}
-    for i, t in enumerate(temperatures):
-        p = rows.pick(rows.softmax(z, max(t, TEMPERATURE_FLOOR)), F.col("label"))
-        at[f"t{i}"] = F.avg(-F.log(p))
-    means = logits.agg(*[c.alias(n) for n, c in at.items()])
-    return means.select(
-        rows.long_rows(
-            {"temperature": [F.lit(float(t)) for t in temperatures], "nll": [F.col(n) for n in at]}, "_i"
-        )
-    ).drop("_i")
+    probs = rows.softmax(rows.entries("z", m), F.col("t"))
+    return (
+        _at_temperatures(_labelled_logits(out, m), temperatures)
+        .groupBy(F.col("t").alias("temperature"))
+        .agg(F.avg(-F.log(rows.pick(probs, F.col("label")))).alias("nll"))
+    )
 
 
 def _gradients(logits: DataFrame, m: int, temperatures: list[float]) -> np.ndarray:
     """Mean d NLL / dT at several temperatures, in one distributed pass."""
     z = rows.entries("z", m)
-    own = rows.pick(z, F.col("label"))
-    aggs = []
-    for i, t in enumerate(temperatures):
-        expected = rows.total([p * c for p, c in zip(rows.softmax(z, t), z)])
-        aggs.append(F.avg((own - expected) / (t * t)).alias(f"g{i}"))
-    found = logits.agg(*aggs).first()
-    return np.array([np.nan if v is None else float(v) for v in found])
+    expected = rows.total([p * c for p, c in zip(rows.softmax(z, F.col("t")), z)])
+    slope = (rows.pick(z, F.col("label")) - expected) / (F.col("t") * F.col("t"))
+    found = _at_temperatures(logits, temperatures).groupBy("i").agg(F.avg(slope).alias("g")).collect()
+    at = {r["i"]: r["g"] for r in found}  # one number per temperature
+    return np.array([at.get(i, np.nan) for i in range(len(temperatures))], dtype=float)
 
 
 def fit_temperature(
@@ -124,9 +127,7 @@ def fit_temperature(
     passes instead of one per step.
     """
     m = len(models)
-    z = centred_logits(rows.entries("probs", m))
-    logits = out.where(F.col("label").isNotNull()).select("label", F.array(*z).alias("z"))
-    logits = logits.persist(StorageLevel.MEMORY_AND_DISK)
+    logits = _labelled_logits(out, m).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         t, interval, curve = 1.0, None, None
         for _ in range(steps):

@@ -27,7 +27,7 @@ from switchyard.config import RouterConfig
 from switchyard.functions import rows
 from switchyard.operators import encode
 from switchyard.operators.ranking import top_k_salted
-from switchyard.session import materialise
+from switchyard.session import materialise, spread
 
 HASHED_DIM = 1 << 18
 COARSE_ITERATIONS = 200
@@ -153,59 +153,56 @@ def _plogp(p: np.ndarray) -> np.ndarray:
     return p * np.log2(np.maximum(p, 1e-300))
 
 
-def merge_records(weights: np.ndarray, profiles: np.ndarray, k: int, tau: float | None = None) -> np.ndarray:
+def _first_losses(w: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Loss of every first merge.
+
+    A record is uniform over its own features, so the loss of joining two
+    records depends on how many features each has and how many they share.
+    """
+    m = np.maximum(has.sum(axis=1), 1.0)
+    shared = has @ has.T
+    joint = w[:, None] + w[None, :]
+    mine = w[:, None] / (joint * m[:, None])
+    yours = mine.T
+    mixed = (
+        (m[:, None] - shared) * _plogp(mine) + (m[None, :] - shared) * _plogp(yours) + shared * _plogp(mine + yours)
+    )
+    inner = w * np.log2(m)
+    return joint * -mixed - inner[:, None] - inner[None, :]
+
+
+def merge_records(weights: np.ndarray, has: np.ndarray, k: int, tau: float | None = None) -> np.ndarray:
     """Cluster number per record after merging the cheapest pair again and again.
 
-    Stops at ``k`` clusters, or when the next merge would lose more than
-    ``tau`` bits.  Only the loss of each cluster's best partner is kept.
+    ``has`` is the 0/1 matrix of records and features.  Stops at ``k``
+    clusters, or when the next merge would lose more than ``tau`` bits.
     """
     n = len(weights)
+    members = np.arange(n)
     w = weights.astype(float) / weights.sum()
-    p = profiles.copy()
+    p = has / np.maximum(has.sum(axis=1, keepdims=True), 1.0)
     inner = w * -_plogp(p).sum(axis=1)  # weighted entropy per cluster
-    alive = np.ones(n, dtype=bool)
-    members = np.arange(n)
-
-    def losses(i: int) -> np.ndarray:
-        """Information lost by merging i with each cluster."""
-        joint = w[i] + w
-        mixed = (w[i] * p[i] + w[:, None] * p) / joint[:, None]
-        loss = joint * -_plogp(mixed).sum(axis=1) - inner[i] - inner
-        loss[~alive] = np.inf
-        loss[i] = np.inf
-        return loss
-
-    partner = np.zeros(n, dtype=int)
-    best = np.full(n, np.inf)
-    for i in range(n):
-        if n > 1:
-            row = losses(i)
-            partner[i], best[i] = int(row.argmin()), row.min()
-    left = n
-    while left > k:
-        i = int(np.argmin(np.where(alive, best, np.inf)))
-        if not np.isfinite(best[i]) or (tau is not None and best[i] > tau):
+    loss = _first_losses(w, has)
+    np.fill_diagonal(loss, np.inf)
+    alive = np.arange(n)
+    while len(alive) > k:
+        block = loss[np.ix_(alive, alive)]
+        x, y = np.unravel_index(int(block.argmin()), block.shape)
+        if tau is not None and block[x, y] > tau:
             break
-        i, j = sorted((i, int(partner[i])))
+        i, j = sorted((int(alive[x]), int(alive[y])))
         joint = w[i] + w[j]
         p[i] = (w[i] * p[i] + w[j] * p[j]) / joint
         w[i] = joint
         inner[i] = joint * -_plogp(p[i]).sum()
-        alive[j] = False
-        best[j] = np.inf
         members[members == j] = i
-        left -= 1
-        if left == 1:
-            break
-        row = losses(i)
-        partner[i], best[i] = int(row.argmin()), row.min()
-        closer = alive & (row < best)
-        partner[closer], best[closer] = i, row[closer]
-        # Clusters that lost their partner, or whose partner has changed, look again.
-        for other in np.flatnonzero(alive & ((partner == j) | (partner == i)) & ~closer):
-            if other != i:
-                again = losses(other)
-                partner[other], best[other] = int(again.argmin()), again.min()
+        alive = alive[alive != j]
+        others = alive[alive != i]
+        both = w[i] + w[others]
+        mixed = (w[i] * p[i] + w[others, None] * p[others]) / both[:, None]
+        row = both * -_plogp(mixed).sum(axis=1) - inner[i] - inner[others]
+        loss[i, others] = row
+        loss[others, i] = row
     return np.unique(members, return_inverse=True)[1]
 
 
@@ -219,11 +216,10 @@ def merge_buckets(sample: DataFrame, k: int, tau: float | None = None) -> DataFr
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("record_key", ignore_index=True)
         vocabulary = {t: i for i, t in enumerate(sorted({t for ts in group["terms"] for t in ts}))}
-        profiles = np.zeros((len(group), max(1, len(vocabulary))))
+        has = np.zeros((len(group), max(1, len(vocabulary))))
         for r, found in enumerate(group["terms"]):
-            for t in found:
-                profiles[r, vocabulary[t]] = 1.0 / len(found)
-        local = merge_records(group["n"].to_numpy(), profiles, k, tau)
+            has[r, [vocabulary[t] for t in found]] = 1.0
+        local = merge_records(group["n"].to_numpy(), has, k, tau)
         return pd.DataFrame(
             {"coarse_id": group["coarse_id"], "record_key": group["record_key"], "local": local.astype("int32")}
         )
@@ -406,7 +402,7 @@ def fit_clusters(
 ) -> FittedClusters:
     """Cluster (id, features); ``df`` should be stored, it is read several times."""
     stages = coarse_stages(encode.fit_vocabulary(df, features))
-    vectors = with_vector(df.select(id_col, features), stages, features)
+    vectors = with_vector(spread(df.select(id_col, features)), stages, features)
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     coarse = fit_coarse(vectors, config.coarse_count(n_rows), config.seed)
     placed = coarse.transform(vectors).drop("onehot")

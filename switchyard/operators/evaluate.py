@@ -97,33 +97,24 @@ def tally(cell: DataFrame, models: Models) -> DataFrame:
     model_cost (sum over labelled rows)."""
     m = len(models)
     columns = set(cell.columns)
-    known = F.col("label").isNotNull()
-    n = F.col("n")
 
-    def per_model(condition) -> Column:
-        return F.array(*[F.coalesce(F.sum(F.when(condition(i), n)), F.lit(0)) for i in range(m)])
+    def per_model(condition: str) -> str:
+        return ", ".join(f"coalesce(sum(if({condition.format(i=i)}, n, 0)), 0)" for i in range(m))
 
     aggs = [
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"),
-        F.coalesce(F.sum(F.when(known, n)), F.lit(0)).alias("n_labelled"),
-        per_model(lambda i: F.col("label") == i).alias("label_n"),
-        per_model(lambda i: F.col("pred") == i).alias("pred_all_n"),
-        per_model(lambda i: known & (F.col("pred") == i)).alias("pred_n"),
-        per_model(lambda i: (F.col("label") == i) & (F.col("pred") == i)).alias("hit_n"),
+        "coalesce(sum(n), 0) as n_all",
+        "coalesce(sum(if(label is not null, n, 0)), 0) as n_labelled",
+        f"array({per_model('label <=> {i}')}) as label_n",
+        f"array({per_model('pred = {i}')}) as pred_all_n",
+        f"array({per_model('label is not null and pred = {i}')}) as pred_n",
+        f"array({per_model('label <=> {i} and pred = {i}')}) as hit_n",
     ]
-    for name in ("cost_sum", "n_quality", "quality_sum", "best_quality_sum"):
-        if name in columns:
-            aggs.append(F.sum(name).alias(name))
-    if "cost_sum" in columns:
-        aggs.append(F.sum(F.when(known, F.col("cost_sum"))).alias("labelled_cost_sum"))
-    for name in ("label_cost_sum", "top3", "top5"):
-        if name in columns:
-            aggs.append(F.sum(F.when(known, F.col(name))).alias(name))
+    aggs += [f"sum({c}) as {c}" for c in ("cost_sum", "n_quality", "quality_sum", "best_quality_sum") if c in columns]
+    aggs += [f"sum(if(label is not null, {c}, null)) as {c}" for c in ("label_cost_sum", "top3", "top5") if c in columns]
     if "model_cost_sum0" in columns:
-        aggs.append(
-            F.array(*[F.sum(F.when(known, F.col(f"model_cost_sum{i}"))) for i in range(m)]).alias("model_cost_sum")
-        )
-    return cell.agg(*aggs)
+        sums = ", ".join(f"sum(if(label is not null, model_cost_sum{i}, null))" for i in range(m))
+        aggs.append(f"array({sums}) as model_cost_sum")
+    return cell.agg(*[F.expr(a) for a in aggs])
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -22,7 +22,7 @@ from switchyard.operators import encode as E
 from switchyard.operators import profiles as P
 from switchyard.operators import targets as S
 from switchyard.operators import text_features as TF
-from switchyard.session import materialise
+from switchyard.session import materialise, spread
 
 WEIGHT_FLOOR = 1e-9
 
@@ -236,7 +236,8 @@ def fit_router(items: DataFrame, models: Models, config: RouterConfig, prepared:
     fused = rows_in.withColumn("terms", E.terms(F.col("features")))
     for stage in stages:
         fused = stage.transform(fused)
-    fused = fused.select("fused", "target")
+    # Scaling and the classifier pass over the rows many times: store them.
+    fused = materialise(spread(fused.select("fused", "target")), "training")
     # Both blocks start at 0, so dividing by the largest value is the min-max
     # scaling and keeps the one-hot block sparse.
     scaler = MaxAbsScaler(inputCol="fused", outputCol="vector").fit(fused)

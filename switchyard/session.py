@@ -8,6 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Session settings the operators count on; results do not depend on them.
+
+    The JVM never compiles methods above 8,000 bytes of bytecode.  Wide feature
+    rows fuse into such methods and then run interpreted, at half the speed;
+    with this limit Spark splits them instead.
+    """
+    if spark.conf.get(_HUGE_METHOD, None) != "8000":
+        spark.conf.set(_HUGE_METHOD, "8000")
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +58,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small file is one partition and would run on one core.  Input that
     already has a partition per core is returned as it is, so on large tables
-    this adds no shuffle.
+    this adds no shuffle.  Rows differ in length, hence a few parts per core.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores)
