@@ -161,11 +161,16 @@ def min_max(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
     One aggregate whose state is one vector per task; no row per dimension is
     made.  Only the two result vectors reach the driver.
     """
-    vector = F.col(column) if isinstance(df.schema[column].dataType, VectorUDT) else array_to_vector(F.col(column).cast("array<double>"))
-    found = df.select(vector.alias("v")).agg(
-        Summarizer.min(F.col("v")).alias("low"), Summarizer.max(F.col("v")).alias("high")
-    ).first()
-    if found["low"] is None:
+    is_vector = isinstance(df.schema[column].dataType, VectorUDT)
+    vector = F.col(column) if is_vector else array_to_vector(F.col(column).cast("array<double>"))
+    # Grouped by a constant: an empty table then gives no row instead of an error.
+    found = (
+        df.select(F.lit(0).alias("all"), vector.alias("v"))
+        .groupBy("all")
+        .agg(Summarizer.min(F.col("v")).alias("low"), Summarizer.max(F.col("v")).alias("high"))
+        .first()
+    )
+    if found is None:
         return [], []
     return [float(x) for x in found["low"]], [float(x) for x in found["high"]]
 

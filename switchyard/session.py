@@ -29,14 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``.  Only a local master, where
     driver and executors are one process, may fall back to a temporary folder.
     """
-    folder = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(_CHECKPOINT_DIR)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="switchyard-")
-    spark.conf.set(_CHECKPOINT_DIR, folder)
-    return folder
+    context = spark.sparkContext
+    folder = context.getConf().get(_CHECKPOINT_DIR) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="switchyard-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
