@@ -177,12 +177,11 @@ def separation(profile: DataFrame, parent: str | None = None) -> DataFrame:
         F.sum("t").alias("total"), F.sum(F.col("t") * F.log2("t") - F.col("tl")).alias("inner")
     )
     merged = profile.groupBy(*keys, "key", "value").agg(F.sum("mass").alias("mass"))
-    outer = merged.groupBy(*keys).agg(
+    whole = merged.groupBy(*keys).agg(
         (F.log2(F.sum("mass")) - F.sum(F.col("mass") * F.log2("mass")) / F.sum("mass")).alias("whole")
     )
-    if parent:
-        joined = within.join(outer, parent)
-    else:  # one row on either side
-        joined = within.withColumn("_k", F.lit(1)).join(outer.withColumn("_k", F.lit(1)), "_k")
+    # One row per parent on either side, brought together by a grouping.
+    both = within.withColumn("whole", F.lit(None).cast("double")).unionByName(whole, allowMissingColumns=True)
+    together = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("total", "inner", "whole")])
     value = F.greatest(F.lit(0.0), F.col("whole") - F.col("inner") / F.col("total"))
-    return joined.select(*keys, value.alias("separation"))
+    return together.select(*keys, value.alias("separation"))
