@@ -221,7 +221,7 @@ def fit_router(items: DataFrame, models: Models, config: RouterConfig, prepared:
         gamma=config.blend_costaware,
         beta=config.beta,
     )
-    rows_in = S.cluster_labels(labelled, resolved, models).withColumn("target", F.array(*target))
+    rows_in = S.cluster_labels(spread(labelled), resolved, models).withColumn("target", F.array(*target))
 
     vocabulary = E.fit_vocabulary(labelled)
     encoders = C.coarse_stages(vocabulary)
@@ -237,7 +237,7 @@ def fit_router(items: DataFrame, models: Models, config: RouterConfig, prepared:
     for stage in stages:
         fused = stage.transform(fused)
     # Scaling and the classifier pass over the rows many times: store them.
-    fused = materialise(spread(fused.select("fused", "target")), "training")
+    fused = materialise(fused.select("fused", "target"), "training")
     # Both blocks start at 0, so dividing by the largest value is the min-max
     # scaling and keeps the one-hot block sparse.
     scaler = MaxAbsScaler(inputCol="fused", outputCol="vector").fit(fused)

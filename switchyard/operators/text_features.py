@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,14 @@ def with_characters(df: DataFrame, text_col: str = "prompt", name: str = "_chars
     return df.withColumn(name, F.when(cleaned != "", F.split(cleaned, "")).otherwise(F.array().cast("array<string>")))
 
 
+def _likely_enough(buckets: int, limit: int) -> int:
+    """Grams after which a text has nearly always shown ``limit`` buckets: the
+    expected number for random buckets, and as much again less a fifth."""
+    if limit >= buckets:
+        return 8 * buckets
+    return math.ceil(1.8 * buckets * math.log(buckets / (buckets - limit)))
+
+
 def with_hash_buckets(
     df: DataFrame,
     text_col: str = "prompt",
@@ -80,7 +90,7 @@ def with_hash_buckets(
     the whole text only where they do not settle it; the result is that of the
     whole text either way.
     """
-    tried = 4 * limit
+    tried = _likely_enough(buckets, limit)
     df = with_characters(df, text_col)
     df = df.withColumns({f"_head{n}": _first_seen("_chars", n, buckets, tried) for n in NGRAMS})
 

@@ -60,7 +60,7 @@ def spread(df: DataFrame) -> DataFrame:
     already has a partition per core is returned as it is, so on large tables
     this adds no shuffle.  Rows differ in length, hence a few parts per core.
     """
-    if df.isStreaming:
-        return df
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # partitioned already; asking for its partitions would run the shuffle
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores)
