@@ -111,7 +111,7 @@ def hash_embedding_udf(dim: int):
 
     Arrow batches in Python: a task hashes each different gram once.  The same
     in built-in expressions hashes every occurrence and needs two shuffles to
-    sum per text; it took more than ten times as long on the test tables.
+    sum per text; it took several times as long on the test tables.
     """
 
     @F.pandas_udf("array<double>")
