@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from switchyard.llm import simhash
+from switchyard.llm import divergence, kdshard, simhash, urlmodel, warc
 from switchyard.llm.common import table
+from switchyard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,38 @@ def query(name: str, oracle: str | None = None):
 def simhash_neardup(spark, sf_dir):
     """Four-word shingles and four bits, as the query's contract has it."""
     return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
+_ORIGINALS = (
+    "select sha256(coalesce(html, '')) as digest, min(page_id) as original from pages "
+    "where strlen(coalesce(html, '')) >= 100 group by 1 having count(*) > 1"
+)
+
+
+@query(
+    "op5_warc_revisit",
+    "select p.page_id, strlen(coalesce(p.html, ''))::bigint as payload_bytes, sha256(coalesce(p.html, '')) as payload_digest, "
+    "case when o.original is null or p.page_id = o.original then 'response' else 'revisit' end as record_type, "
+    "case when p.page_id <> o.original then o.original end as refers_to "
+    f"from pages p left join ({_ORIGINALS}) o on o.digest = sha256(coalesce(p.html, ''))",
+)
+def warc_revisit(spark, sf_dir):
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return warc.read_archives(spark, path).select(*columns)
+
+
+@query("op9_distribution_divergence")
+def distribution_divergence(spark, sf_dir):
+    return divergence.assess(table(spark, sf_dir, "documents"))
+
+
+@query("op2_kd_shards")
+def kd_shards(spark, sf_dir):
+    return kdshard.assign(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query("op7_url_model")
+def url_model(spark, sf_dir):
+    return urlmodel.judge(table(spark, sf_dir, "pages"))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from switchyard.session import configure
+
 # The characters that separate words, U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -20,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, with Arrow batches small enough for a modest Python worker.
 
     A batch holds a single row where that row alone is larger."""
-    spark.conf.set(_BATCH_BYTES, "16m")
+    configure(spark).conf.set(_BATCH_BYTES, "16m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
