@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from switchyard.llm import divergence, kdshard, simhash, urlmodel, warc
+from switchyard.llm import bpe, chunks, divergence, kdshard, packing, simhash, urlmodel, warc
 from switchyard.llm.common import table
 from switchyard.session import scratch_path
 
@@ -63,3 +65,35 @@ def kd_shards(spark, sf_dir):
 @query("op7_url_model")
 def url_model(spark, sf_dir):
     return urlmodel.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op6_byte_bpe")
+def byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op8_tiered_packing")
+def tiered_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op10_chunk_dedup")
+def chunk_dedup(spark, sf_dir):
+    """Per document the cut text, what was cut, and which documents keep it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("chars_before"))
+    cut = chunks.deduplicate(docs)
+    return cut.select(
+        "doc_id",
+        "text",
+        (F.col("chars_before") - F.length("text")).alias("removed_chars"),
+        F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["sources"])))).alias("source_doc_ids"),
+    )
