@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchyard.llm import bpe, chunks, divergence, kdshard, packing, simhash, urlmodel, warc
+from switchyard.llm import bpe, chunks, divergence, kdshard, packing, simhash, toxicity, urlmodel, warc
 from switchyard.llm.common import table
 from switchyard.session import scratch_path
 
@@ -97,3 +97,13 @@ def chunk_dedup(spark, sf_dir):
         F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["sources"])))).alias("source_doc_ids"),
     )
+
+
+@query("op4_compression_toxicity")
+def compression_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.outside(table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted"
+    )

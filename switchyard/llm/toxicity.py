@@ -1,20 +1,23 @@
 """Toxicity by compression distance: two zstandard dictionaries, windows of words.
 
-A window of ``WINDOW`` words is compressed twice, with a dictionary trained on toxic
-text and with one trained on ordinary text; the bytes that the toxic dictionary saves
-speak for toxic text.  Both dictionaries end differently but begin with the same part,
-trained on ordinary text, so that ordinary words cost the same with either and only what
-tells the classes apart changes a window's length.  The toxic part is trained on the
-marked words of toxic training texts: those that hold a piece of word (4 to 10
-characters) far more frequent in toxic than in ordinary training texts.
+Every window of ``WINDOW`` words is compressed twice, with a dictionary trained on toxic
+text and with one trained on ordinary text.  The bytes that the toxic dictionary saves
+speak for toxic text, and those that the ordinary one saves against it.
+
+Training.  A dictionary holds the pieces of words (4 to 10 characters) that are far more
+frequent in its class, in the order of the bytes they save; a word that holds an earlier
+piece is explained by it.  What both classes share would cost the same with either
+dictionary, so neither holds it.  Both end with the frame that surrounds every window:
+matching it pays for the headers of a compressed block, so that each further match shows
+in the length, and a match can begin up to the window's last word.
 
 A document's score is a logistic function of the largest, second largest and mean saving,
-and of how many windows save bytes; it is fitted on other labelled documents than the
-dictionaries, and 0.5 is the threshold.
+and of how many windows save bytes.  It is calibrated on labelled documents other than
+those of the dictionaries, and 0.5 is the threshold.
 
-Fitting uses at most ``FIT_ROWS`` labelled texts of each class (smallest hashes first) and
-of these at most ``FIT_CHARS`` characters: whole texts until the sum is reached.  Scoring
-reads all documents whole and needs the dictionaries only, a few ten thousand bytes.
+Fitting uses at most ``FIT_ROWS`` labelled texts of a class (smallest hashes first) and of
+these at most ``FIT_CHARS`` characters: whole texts until the sum is reached.  Scoring
+reads all documents whole; of the fit it needs the dictionaries only, a few thousand bytes.
 """
 
 from __future__ import annotations
@@ -33,18 +36,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-FIT_ROWS = 2500
-FIT_CHARS = 10_000_000
-WINDOW = 8
-SHARED_BYTES, CLASS_BYTES = 65_536, 4_096
+#: Labelled rows used of each class (ordinary, toxic), and characters of each.
+FIT_ROWS = (6000, 2500)
+FIT_CHARS = 16_000_000
+WINDOW = 5
+DICTIONARY_BYTES = 4096
 FEATURES = ["most", "second", "mean", "share_one", "share_two", "log_one", "log_two", "log_windows"]
-_SAMPLES = 40_000
+_FRAME = bytes(range(1, 9)) * 2
 
 
 def windows(text: str) -> list[bytes]:
-    """The whole text in windows of lower-case words, two spaces between words."""
+    """The whole text in framed windows of lower-case words, two spaces between words."""
     words = text.lower().split()
-    return [(" " + "  ".join(words[i : i + WINDOW]) + " ").encode("utf-8", "replace") for i in range(0, len(words), WINDOW)]
+    parts = (" " + "  ".join(words[i : i + WINDOW]) + " " for i in range(0, len(words), WINDOW))
+    return [_FRAME + p.encode("utf-8", "replace") + _FRAME for p in parts]
 
 
 @dataclass(frozen=True)
@@ -58,11 +63,11 @@ def _pieces(word: str) -> set[str]:
     return {word[i : i + n] for n in range(4, 11) for i in range(len(word) - n + 1)}
 
 
-def marked_pieces(toxic: list[str], ordinary: list[str], ratio: float = 20, least: int = 8) -> list[str]:
-    """Pieces of words that mark toxic texts, the one that explains most first; a word that
+def marked_pieces(own: list[str], others: list[str], ratio: float = 40, least: int = 8) -> list[str]:
+    """Pieces of words that mark the texts ``own``, the one that explains most first; a word that
     holds an earlier piece is explained and counts no more."""
-    seen = [Counter(w for t in texts for w in set(t.lower().split())) for texts in (toxic, ordinary)]
-    scale = max(len(toxic), 1) / max(len(ordinary), 1)
+    seen = [Counter(w for t in texts for w in set(t.lower().split())) for texts in (own, others)]
+    scale = max(len(own), 1) / max(len(others), 1)
     rare = {w: n for w, n in seen[0].items() if n >= 2 and n > ratio / 2 * (seen[1][w] + 0.5) * scale}
     count: Counter[str] = Counter()
     for word, n in rare.items():
@@ -77,7 +82,7 @@ def marked_pieces(toxic: list[str], ordinary: list[str], ratio: float = 20, leas
             holders.setdefault(piece, []).append(word)
     left, chosen = {p: count[p] for p in good}, []
     # A class mark is seen in many texts; what is left below this is chance.
-    floor = max(least, len(toxic) // 40)
+    floor = max(least, len(own) // 40)
     while left:
         best = max(left, key=lambda p: (left[p] * (len(p) - 2), p))
         if left[best] < floor:
@@ -92,31 +97,17 @@ def marked_pieces(toxic: list[str], ordinary: list[str], ratio: float = 20, leas
     return chosen
 
 
-def _train(size: int, samples: list[bytes]) -> bytes:
-    """A zstandard dictionary; the end of the samples where they are too few to train on."""
-    samples = [s for s in samples if len(s) >= 8]
-    if len(samples) >= 64 and sum(map(len, samples)) >= 4 * size:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    return b"".join(samples)[-size:]
+def _content(pieces: list[str]) -> bytes:
+    """Dictionary content, the best piece last: near matches cost least."""
+    content = b""
+    for piece in pieces:
+        if len(content) + len(piece.encode()) < DICTIONARY_BYTES:
+            content = piece.encode("utf-8", "replace") + b"\0" + content
+    return content + _FRAME
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Dictionaries:
-    pieces = marked_pieces(toxic, ordinary)
-    plain = sorted({w for t in ordinary for w in windows(t)}, key=lambda w: hash_bytes(w))
-    shared = _train(SHARED_BYTES, plain[:_SAMPLES])
-    marked: list[bytes] = []
-    if pieces:
-        has = re.compile("|".join(re.escape(p) for p in pieces)).search
-        words = [f" {w} " for t in toxic for w in t.lower().split() if has(f" {w} ")]
-        marked = ["".join(words[i : i + 8]).encode("utf-8", "replace") for i in range(0, len(words), 8)]
-    ends = _train(CLASS_BYTES, marked), _train(CLASS_BYTES, plain[_SAMPLES : 2 * _SAMPLES] or plain)
-    return Dictionaries(shared + ends[0], shared + ends[1])
-
-
-def hash_bytes(data: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(data)
+    return Dictionaries(_content(marked_pieces(toxic, ordinary)), _content(marked_pieces(ordinary, toxic)))
 
 
 @cache
@@ -125,16 +116,15 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         window_log=17,
         chain_log=16,
         hash_log=16,
-        search_log=5,
+        search_log=6,
         min_match=5,
-        target_length=32,
+        target_length=64,
         strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=False,
         write_checksum=False,
         write_dict_id=False,
     )
-    # A few bytes are no dictionary to zstandard.
-    data = zstandard.ZstdCompressionDict(content or b"        ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(compression_params=options)
     return zstandard.ZstdCompressor(compression_params=options, dict_data=data)
 
@@ -194,7 +184,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def _sample(labelled: DataFrame, toxic: int) -> DataFrame:
     rows = labelled.where(F.col("toxic") == toxic).withColumn("order", F.xxhash64("doc_id", "text"))
-    few = rows.orderBy("order").limit(FIT_ROWS)
+    few = rows.orderBy("order").limit(FIT_ROWS[toxic])
     # At most FIT_ROWS rows here: one partition is enough for a running sum.
     upto = F.sum(F.length("text")).over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
     return few.withColumn("upto", upto).where(F.col("upto") - F.length("text") < FIT_CHARS).drop("upto")
@@ -203,15 +193,15 @@ def _sample(labelled: DataFrame, toxic: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from all of ``labels`` (doc_id, toxic) that it is given, within the bounds above.
 
-    Half of the sample, by hash, trains the dictionaries, the other half the score."""
+    Three quarters of the sample, by hash, train the dictionaries, the rest the score."""
     marks = labels.where("doc_id is not null and toxic is not null").select(
         F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")
     )
     texts = docs.where("text is not null").select("doc_id", "text")
     labelled = texts.join(marks.distinct(), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
     rows = _sample(labelled, 1).union(_sample(labelled, 0)).collect()
-    learn = [r for r in rows if r["order"] % 2 == 0]
-    rest = [r for r in rows if r["order"] % 2]
+    learn = [r for r in rows if r["order"] % 4]
+    rest = [r for r in rows if r["order"] % 4 == 0]
     dictionaries = train(*([r["text"] for r in learn if r["toxic"] == k] for k in (1, 0)))
     if not rest:
         return Model(dictionaries, _calibrate(np.zeros((0, len(FEATURES))), np.zeros(0)))
