@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchyard.llm import bpe, chunks, divergence, kdshard, packing, simhash, toxicity, urlmodel, warc
+from switchyard.llm import bpe, chunks, divergence, kdshard, packing, parsing, simhash, toxicity, urlmodel, warc
 from switchyard.llm.common import table
 from switchyard.session import scratch_path
 
@@ -107,3 +107,8 @@ def compression_toxicity(spark, sf_dir):
     return toxicity.score(docs, model, ["doc_id"]).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted"
     )
+
+
+@query("op3_consistent_parsing")
+def consistent_parsing(spark, sf_dir):
+    return parsing.compare_with_next(table(spark, sf_dir, "documents"))
