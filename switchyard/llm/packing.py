@@ -33,12 +33,13 @@ SHORTEST = 128
 STEP_TOKENS = 1 << 15
 #: Tokens kept back between batches, so that gaps find pieces that fit.
 RESERVE = 64 * WINDOW
-#: Distinct words kept encoded; beyond, the store starts afresh.
-KNOWN = 400_000
+#: Distinct words kept encoded by a worker.
+KNOWN = 1_200_000
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window long, step long"
 )
 _SPLIT = re.compile(r" (?=\s)")
+_ODD = re.compile(r"\s|<\|")
 
 
 @cache
@@ -46,19 +47,44 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-class _Words(dict):
-    """A word -> the ids of the word with a space before it, as bytes."""
+class _Words:
+    """Words -> the ids of the word with a space before it, as bytes.
+
+    Two generations: when the young one is full it becomes the old one, and words that
+    come again move on, so frequent words stay."""
 
     def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > KNOWN:
-            self.clear()
-        new = [w for w in words if w not in self]
-        found = self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        (self.line,) = tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def ids(self, words: list[str]) -> bytes:
+        missing = set(words).difference(self.young)
+        if missing:
+            if len(self.young) + len(missing) > KNOWN // 2:
+                self.old, self.young = self.young, {}
+                missing = set(words)
+            again = missing & self.old.keys()
+            self.young.update((w, self.old[w]) for w in again)
+            self._learn(list(missing - again))
+        return b"".join(map(self.young.__getitem__, words))
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words line by line in one text; words with line ends or special tokens alone."""
+        plain = [w for w in words if not _ODD.search(w)]
+        if plain:
+            text = "".join(f" {w}\n" for w in plain)
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(found == self.line).tolist()
+            starts = [0, *(e + 1 for e in ends[:-1])]
+            self.young.update((w, found[a:b].tobytes()) for w, a, b in zip(plain, starts, ends, strict=True))
+        for word in set(words).difference(plain):
+            self.young[word] = _encoded(self.tokenizer, " " + word)
+
+
+def _encoded(tokenizer: Tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @cache
@@ -66,33 +92,25 @@ def _store(path: str) -> _Words:
     return _Words(_tokenizer(path))
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
+def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
     No pre-token of a byte-level vocabulary reaches over a space that stands before
     another character than white space; texts are cut there and each different word is
     encoded once.  Texts with longer runs of white space are encoded whole."""
     tokenizer, store = _tokenizer(path), _store(path)
-    out = []
     for text in texts:
         if text[:1].isspace() or _SPLIT.search(text) or (text[-1:] == " " and text[-2:-1].isspace()):
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            yield _encoded(tokenizer, text)
             continue
         first, *rest = text.split(" ")
+        tail = b""
         if rest and not rest[-1]:  # a space ends the text
             rest.pop()
-            tail = np.array(tokenizer.encode(" ", add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            tail = b""
-        head = np.array(tokenizer.encode(first, add_special_tokens=False).ids, "<u4").tobytes()
-        for at in range(0, len(rest), KNOWN):  # a text may have more words than are kept
-            part = rest[at : at + KNOWN]
-            unknown = {w for w in part if w not in store}
-            if unknown:
-                store.learn(set(part) if len(store) + len(unknown) > KNOWN else unknown)
-            head += b"".join(map(store.__getitem__, part))
-        out.append(head + tail)
-    return out
+            tail = _encoded(tokenizer, " ")
+        # A text may have more different words than are kept.
+        parts = (store.ids(rest[at : at + KNOWN // 4]) for at in range(0, len(rest), KNOWN // 4))
+        yield b"".join([_encoded(tokenizer, first), *parts, tail])
 
 
 class _Packer:
