@@ -153,9 +153,14 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, all columns unchanged; the text is read twice and never shuffled."""
-    refs = materialise(references(tallies(docs.select("text", "lang")).select("language", *_TALLIES)), "references")
+    """The documents that pass, all columns unchanged.
+
+    The rows are stored once with their measured columns: the verdict needs the references
+    of all of them, and a filter on columns that are not stored would have each step of
+    their computation repeated for each use."""
     # The measured columns could clash with those of the input: carry the row as one value.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")
-    judged = verdicts(compare(repeats(tallies(rows)), refs))
-    return judged.where("kept").select("_row.*")
+    counted = repeats(tallies(rows)).select("_row", "language", *BASE, "base_failed", *_TALLIES)
+    stored = materialise(counted, "histograms")
+    refs = materialise(references(stored), "references")
+    return verdicts(compare(stored, refs)).where("kept").select("_row.*")
