@@ -182,12 +182,20 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return (*slopes.tolist(), float(w[-1] - slopes @ mean))
 
 
-def _sample(labelled: DataFrame, toxic: int) -> DataFrame:
-    rows = labelled.where(F.col("toxic") == toxic).withColumn("order", F.xxhash64("doc_id", "text"))
-    few = rows.orderBy("order").limit(FIT_ROWS[toxic])
+def _sample(texts: DataFrame, marks: DataFrame, toxic: int) -> DataFrame:
+    """The texts of the labelled ids with the smallest hashes.
+
+    Ids are chosen before texts are read: the broadcast side has at most FIT_ROWS rows."""
+    most = FIT_ROWS[toxic]
+    present = texts.select(F.col("doc_id").alias("label_id"))
+    ids = marks.where(F.col("toxic") == toxic).join(present, "label_id", "left_semi")
+    ids = ids.withColumn("order", F.xxhash64("label_id")).orderBy("order", "label_id").limit(most)
+    found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "order")
+    few = found.orderBy("order", F.xxhash64("text")).limit(most)  # an id may have several rows
     # At most FIT_ROWS rows here: one partition is enough for a running sum.
-    upto = F.sum(F.length("text")).over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
-    return few.withColumn("upto", upto).where(F.col("upto") - F.length("text") < FIT_CHARS).drop("upto")
+    line = Window.orderBy("order", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("text")
+    return few.withColumn("upto", F.sum(size).over(line)).where(F.col("upto") - size < FIT_CHARS).drop("upto")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -197,9 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marks = labels.where("doc_id is not null and toxic is not null").select(
         F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")
     )
-    texts = docs.where("text is not null").select("doc_id", "text")
-    labelled = texts.join(marks.distinct(), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
-    rows = _sample(labelled, 1).union(_sample(labelled, 0)).collect()
+    texts, marks = docs.where("text is not null").select("doc_id", "text"), marks.distinct()
+    rows = [r for k in (1, 0) for r in _sample(texts, marks, k).collect()]
     learn = [r for r in rows if r["order"] % 4]
     rest = [r for r in rows if r["order"] % 4 == 0]
     dictionaries = train(*([r["text"] for r in learn if r["toxic"] == k] for k in (1, 0)))
