@@ -40,10 +40,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has too; ``n_chars`` follows."""
-    cut = chunks.deduplicate(docs)
+    cut = chunks.deduplicate(docs, name="_spans")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+        cut = cut.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

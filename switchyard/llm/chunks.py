@@ -116,12 +116,13 @@ def without_spans(text: str, spans: str):
     return F.when(cuts.isNull(), whole).otherwise(F.concat_ws("", parts))
 
 
-def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cut, and ``spans`` (null if nothing was cut).
+def deduplicate(docs: DataFrame, least: int = LEAST, name: str = "spans") -> DataFrame:
+    """All columns of ``docs`` with ``text`` cut, and column ``name``: the spans, null if
+    nothing was cut.  A column of that name is replaced.
 
     A null text stays null, a row without an id stays as it is.  An id should name one
     text; repeated rows are cut alike.  A text may end up empty: the row stays."""
-    name = "_spans_doc_id"
-    spans = repeated_spans(docs, least).withColumnRenamed("doc_id", name)
-    rows = docs.drop("spans").join(spans, F.col("doc_id").cast("long") == F.col(name), "left").drop(name)
-    return rows.withColumn("text", without_spans("text", "spans"))
+    key = "_spans_doc_id"
+    spans = repeated_spans(docs, least).select(F.col("doc_id").alias(key), F.col("spans").alias(name))
+    rows = docs.drop(name).join(spans, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    return rows.withColumn("text", without_spans("text", name))

@@ -75,7 +75,8 @@ def parse(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         labels = (2 * low + bit.astype(np.uint8)).astype(np.uint8)
     begin = start.copy()
     if n > 2:
-        peak = (labels[1:-1] > labels[:-2]) & (labels[1:-1] >= labels[2:])
+        # A text's last name begins no phrase: what follows belongs to another text.
+        peak = (labels[1:-1] > labels[:-2]) & (labels[1:-1] >= labels[2:]) & ~start[2:]
         begin[1:-1] |= peak
     at = np.flatnonzero(begin)
     lengths = np.diff(np.append(at, n))
