@@ -152,7 +152,7 @@ def assignment(spark, sf_dir):
     """Each record to the cluster of its bucket that loses least information."""
     given = materialise(records(spark, sf_dir), "records")
     probs, weights = C.profile_table(given.withColumn("n", F.lit(1)))
-    found = C.assign(given.drop("local"), probs, weights, 2)
+    found = C.assign(given.drop("local"), probs, weights)
     return found.withColumn("loss", r9("loss"))
 
 

@@ -13,7 +13,6 @@ from switchyard.operators import annotated as A
 from switchyard.operators import encode as E
 from switchyard.operators import text_features as TF
 from switchyard.operators.clusters import nearest_centre
-from switchyard.session import spread
 
 
 def _bucket(value: str, thresholds) -> str:
@@ -151,15 +150,14 @@ VIEWS["t_grams"] = (
 )
 VIEWS["t_hash"] = (
     ("t_grams",),
-    "select query_id, 'hash' || substr(n, 2) || '_' || idx as key from (select *, row_number() over (partition by query_id, n "
-    "order by first_i) as rk from (select query_id, n, ('0x' || substr(md5(gram), 31, 2))::bigint % 128 as idx, "
-    "min(i) as first_i from t_grams group by 1, 2, 3) a) b where rk <= 64",
+    "select distinct query_id, 'hash' || substr(n, 2) || '_' || ('0x' || substr(md5(gram), 31, 2))::bigint % 128 as key "
+    "from t_grams",
 )
 
 
 @query("b13_hash_flags", sql("select query_id, key from t_hash", "t_hash"))
 def hash_flags(spark, sf_dir):
-    hashed = TF.with_hash_buckets(spread(D.queries(spark, sf_dir)))
+    hashed = TF.with_hash_buckets(D.queries(spark, sf_dir))
     return hashed.select("query_id", F.explode_outer(TF.hash_keys()).alias("key")).where(F.col("key").isNotNull())
 
 
@@ -218,7 +216,7 @@ for _pattern, _replacement in (
 @query(
     "b18_shape_top",
     sql(
-        "select query_id, 'shape_top' || rk as key, substr(shape, 1, 12) as value from (select *, row_number() over ("
+        "select query_id, 'shape_top' || rk as key, shape as value from (select *, row_number() over ("
         "partition by query_id order by n desc, first_pos) as rk from (select query_id, shape, count(*) as n, "
         "min(pos) as first_pos from (select query_id, unnest(w) as shape, generate_subscripts(w, 1) as pos from ("
         f"select query_id, regexp_extract_all({_SHAPED}, '{_WORDS}') as w from f_queries) s) t "

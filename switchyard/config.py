@@ -20,7 +20,6 @@ class RouterConfig:
     prob_temp: float = 1.0
     embedding_dim: int = 384
     hash_buckets: int = 128
-    max_hash_per_ngram: int = 64
     embed_k: int | None = None
     cost_weight: float = 0.5
     softmax_temperature: float = 0.5

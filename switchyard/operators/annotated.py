@@ -9,7 +9,6 @@ from switchyard.operators.ranking import top_values
 
 POS_TOP_K = 3
 SHAPE_TOP_K = 2
-SHAPE_WIDTH = 12
 
 
 def pos_top(tokens: DataFrame, id_col: str = "query_id") -> DataFrame:
@@ -25,7 +24,7 @@ def shape_top(shapes: DataFrame, id_col: str = "query_id") -> DataFrame:
     return top_values(shapes, id_col, "shape", "pos", SHAPE_TOP_K).select(
         id_col,
         F.concat(F.lit("shape_top"), F.col("rank")).alias("key"),
-        F.substring("shape", 1, SHAPE_WIDTH).alias("value"),
+        F.col("shape").alias("value"),
     )
 
 

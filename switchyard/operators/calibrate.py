@@ -98,55 +98,42 @@ def nll_by_temperature(out: DataFrame, models: Models, temperatures: list[float]
     )
 
 
-def _gradients(logits: DataFrame, m: int, temperatures: list[float]) -> np.ndarray:
-    """Mean d NLL / dT at several temperatures, in one distributed pass."""
+def _slopes(logits: DataFrame, m: int, temperatures: list[float]) -> list[float | None]:
+    """T * T times d NLL / dT at several temperatures, in one distributed pass."""
     z = rows.entries("z", m)
     expected = rows.total([p * c for p, c in zip(rows.softmax(z, F.col("t")), z)])
-    slope = (rows.pick(z, F.col("label")) - expected) / (F.col("t") * F.col("t"))
-    found = _at_temperatures(logits, temperatures).groupBy("i").agg(F.avg(slope).alias("g")).collect()
-    at = {r["i"]: r["g"] for r in found}  # one number per temperature
-    return np.array([at.get(i, np.nan) for i in range(len(temperatures))], dtype=float)
+    slope = rows.pick(z, F.col("label")) - expected
+    found = _at_temperatures(logits, temperatures).groupBy("i").agg(F.avg(slope).alias("s")).collect()
+    at = {r["i"]: r["s"] for r in found}  # one number per temperature
+    return [at.get(i) for i in range(len(temperatures))]
 
 
 def fit_temperature(
-    out: DataFrame,
-    models: Models,
-    *,
-    steps: int = 100,
-    rate: float = 0.1,
-    decay: float = 0.95,
-    tolerance: float = 1e-5,
-    nodes: int = 9,
-    width: float = 0.25,
+    out: DataFrame, models: Models, *, low: float = TEMPERATURE_FLOOR, high: float = 1000.0, nodes: int = 16, tolerance: float = 1e-7
 ) -> float:
-    """Temperature >= 0.001 minimising the NLL, by at most ``steps`` gradient steps.
+    """The temperature in [``low``, ``high``] with the least NLL; 1 without labelled rows.
 
-    The gradient depends on the one number T and is smooth, so each pass over
-    the data measures it at a few temperatures around the current one and the
-    steps inside that interval use the interpolating polynomial: a handful of
-    passes instead of one per step.
+    The expected logit falls as the temperature rises, so the slope changes its sign once
+    at most, from falling to rising NLL.  Each pass measures it at ``nodes`` temperatures
+    in equal ratios and keeps the two between which the sign changes.  Without a change
+    the NLL is least at an end: at ``low`` if the most likely model is always right, at
+    ``high`` if uniform answers are best.
     """
     m = len(models)
     logits = _labelled_logits(out, m).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        t, interval, curve = 1.0, None, None
-        for _ in range(steps):
-            if interval is None or not interval[0] <= t <= interval[1]:
-                low = max(TEMPERATURE_FLOOR, t * (1.0 - width))
-                interval = (low, max(t * (1.0 + width), 2 * low))
-                angles = (2 * np.arange(nodes) + 1) * np.pi / (2 * nodes)
-                # Chebyshev nodes keep the interpolation error even.
-                xs = sum(interval) / 2 + (interval[1] - interval[0]) / 2 * np.cos(angles)
-                gradients = _gradients(logits, m, [float(x) for x in xs])
-                if np.isnan(gradients).any():  # no labelled rows
-                    return 1.0
-                curve = np.polynomial.Chebyshev.fit(xs, gradients, nodes - 1, domain=list(interval))
-            new = max(TEMPERATURE_FLOOR, t - rate * float(curve(t)))
-            if abs(new - t) < tolerance:
-                break
-            t = new
-            rate *= decay
-        return max(t, TEMPERATURE_FLOOR)
+        while high / low > 1.0 + tolerance:
+            grid = [float(t) for t in np.geomspace(low, high, nodes)]
+            slopes = _slopes(logits, m, grid)
+            if slopes[0] is None:
+                return 1.0
+            rising = next((i for i, s in enumerate(slopes) if s >= 0), None)
+            if rising is None:
+                return grid[-1]
+            if rising == 0:
+                return grid[0]
+            low, high = grid[rising - 1], grid[rising]
+        return (low * high) ** 0.5
     finally:
         logits.unpersist()
 

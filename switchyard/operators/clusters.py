@@ -3,9 +3,10 @@
 A coarse stage (k-means on one-hot vectors) cuts the table into buckets; inside
 each bucket an information-bottleneck clustering (Andritsos et al., EDBT 2004)
 merges the records whose union loses least information,
-``dI = (w1 + w2) * JS(p(V|c1), p(V|c2))``.  Merging runs on a bounded seeded
-sample of different records per bucket; every row, sampled or not, is then
-assigned to the cluster with the least loss, which is plain DataFrame work.
+``dI = (w1 + w2) * JS(p(V|c1), p(V|c2))``.  The order of merges is found on a bounded,
+seeded set of different records per bucket.  Every record then joins the cluster with
+the least loss, the profiles are counted anew from all records, and all rows are assigned
+by them, which is plain DataFrame work.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,12 +27,9 @@ from switchyard.config import RouterConfig
 from switchyard.functions import rows
 from switchyard.operators import encode
 from switchyard.operators.ranking import top_k_salted
-from switchyard.session import materialise, spread
+from switchyard.session import materialise
 
-HASHED_DIM = 1 << 18
 COARSE_ITERATIONS = 200
-# Up to this many clusters per bucket are compared in columns of one row.
-WIDE_CLUSTERS = 32
 
 
 # --- input checks -----------------------------------------------------------------
@@ -48,9 +45,9 @@ def check_inputs(df: DataFrame, n_models: int) -> int:
         F.count_if(F.exists("quality", lambda q: q.isNull())).alias("holes"),
     ).first()
     if found["n"] == 0:
-        raise ValueError("records cannot be empty")
+        raise ValueError("there is no record to cluster")
     if found["with_quality"] != found["n"]:
-        raise ValueError("every record needs a quality row")
+        raise ValueError("some records have no quality values")
     if found["complete"] != found["n"] or found["holes"]:
         raise ValueError("quality needs one value per model")
     return int(found["n"])
@@ -70,15 +67,8 @@ def check_matching(records: DataFrame, quality: DataFrame, id_col: str = "query_
 
 
 def coarse_stages(vocab: DataFrame) -> list:
-    """Stages from ``terms`` to the unit vector ``onehot``.
-
-    A vocabulary too large to copy to the executors is hashed instead.
-    """
-    term_list = encode.vocabulary_terms(vocab)
-    if term_list:
-        return encode.one_hot_stages(term_list)
-    hashed = HashingTF(numFeatures=HASHED_DIM, binary=True, inputCol="terms", outputCol="onehot_raw")
-    return [hashed, Normalizer(p=2.0, inputCol="onehot_raw", outputCol="onehot")]
+    """Stages from ``terms`` to the unit vector ``onehot`` over the exact vocabulary."""
+    return encode.one_hot_stages(encode.vocabulary_terms(vocab))
 
 
 def with_vector(df: DataFrame, stages: list, features: str = "features") -> DataFrame:
@@ -89,11 +79,18 @@ def with_vector(df: DataFrame, stages: list, features: str = "features") -> Data
     return out.drop("terms", "onehot_raw")
 
 
-def fit_coarse(vectors: DataFrame, k: int, seed: int = 42, column: str = "onehot") -> KMeansModel:
+class OneBucket:
+    """The coarse stage for a single bucket, for which k-means has nothing to do."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("coarse_id", F.lit(0))
+
+
+def fit_coarse(vectors: DataFrame, k: int, seed: int = 42, column: str = "onehot") -> KMeansModel | OneBucket:
     """Seeded k-means; k is clamped by the caller to the number of rows."""
-    return KMeans(
-        featuresCol=column, predictionCol="coarse_id", k=max(2, k), seed=seed, maxIter=COARSE_ITERATIONS
-    ).fit(vectors)
+    if k <= 1:
+        return OneBucket()
+    return KMeans(featuresCol=column, predictionCol="coarse_id", k=k, seed=seed, maxIter=COARSE_ITERATIONS).fit(vectors)
 
 
 def coarse_sizes(df: DataFrame) -> DataFrame:
@@ -251,34 +248,6 @@ def profile_table(records: DataFrame, features: str = "features") -> tuple[DataF
     return probs, weights
 
 
-def _side_by_side(table: DataFrame, keys: list[str], value: str, prefix: str, k: int) -> DataFrame:
-    """One column per local cluster: prefix0 .. prefix{k-1}; null where absent."""
-    return table.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("local") == i, F.col(value))).alias(f"{prefix}{i}") for i in range(k)]
-    )
-
-
-def assign(
-    df: DataFrame,
-    feature_probs: DataFrame,
-    weights: DataFrame,
-    k: int,
-    features: str = "features",
-    id_col: str = "query_id",
-) -> DataFrame:
-    """(id, coarse_id, local, loss): the cluster of its bucket that loses least
-    information, in records times bits, when the record joins it; local is null
-    in a bucket never seen.
-
-    With record weight 1 and cluster weight w the shares are a = 1/(1+w) and
-    b = w/(1+w).  A feature the record lacks adds b * p * log2(1/b), so only the
-    record's own features are needed: with S the sum of p over them,
-    JS = sum(a/m log2((1/m)/mix) + b p log2(p/mix)) + b log2(1/b) (1 - S).
-    """
-    find = _assign_wide if k <= WIDE_CLUSTERS else _assign_long
-    return find(df, feature_probs, weights, k, features, id_col)
-
-
 def _feature_loss(own: Column, w: Column, p: Column) -> Column:
     a, b = 1.0 / (1.0 + w), w / (1.0 + w)
     mix = a * own + b * p
@@ -298,42 +267,28 @@ def _pairs(df: DataFrame, features: str, id_col: str) -> DataFrame:
     return df.select(id_col, "coarse_id", m.alias("m"), F.explode_outer(features).alias("key", "value"))
 
 
-def _assign_wide(df, feature_probs, weights, k, features, id_col) -> DataFrame:
-    """A column per cluster: a record's features are summed inside the task and
-    one row per record is shuffled.  The profile tables hold one row per bucket
-    and feature; their size decides whether the engine broadcasts them."""
-    w_wide = _side_by_side(weights, ["coarse_id"], "w", "w", k)
-    p_wide = _side_by_side(feature_probs, ["coarse_id", "key", "value"], "p", "p", k)
-    joined = (
-        _pairs(df, features, id_col)
-        .join(w_wide, "coarse_id", "left")
-        .join(p_wide, ["coarse_id", "key", "value"], "left")
-    )
-    own = F.when(F.col("key").isNotNull(), 1.0 / F.col("m")).otherwise(0.0)
-    sums = joined.groupBy(id_col, "coarse_id").agg(
-        *[
-            F.sum(_feature_loss(own, F.col(f"w{i}"), F.coalesce(F.col(f"p{i}"), F.lit(0.0)))).alias(f"s{i}")
-            for i in range(k)
-        ],
-        *[F.max(f"w{i}").alias(f"w{i}") for i in range(k)],
-    )
-    losses = [F.col(f"l{i}") for i in range(k)]
-    return sums.select(
-        id_col, "coarse_id", *[_total_loss(F.col(f"w{i}"), F.col(f"s{i}")).alias(f"l{i}") for i in range(k)]
-    ).select(id_col, "coarse_id", rows.argmin(losses).alias("local"), rows.row_min(losses).alias("loss"))
-
-
-def _assign_long(df, feature_probs, weights, k, features, id_col) -> DataFrame:
-    """A row per cluster, for any number of clusters.
+def assign(
+    df: DataFrame,
+    feature_probs: DataFrame,
+    weights: DataFrame,
+    features: str = "features",
+    id_col: str = "query_id",
+) -> DataFrame:
+    """(id, coarse_id, local, loss): the cluster of its bucket that loses least
+    information, in records times bits, when the record joins it; local is null
+    in a bucket never seen.
 
-    A feature the cluster lacks costs the same whichever it is, so each record
-    starts from that cost for all its features and only shared features, found
-    by an equi-join, correct it.
+    With record weight 1 and cluster weight w the shares are a = 1/(1+w) and
+    b = w/(1+w).  A feature the record lacks adds b * p * log2(1/b), so only the
+    record's own features are needed: with S the sum of p over them,
+    JS = sum(a/m log2((1/m)/mix) + b p log2(p/mix)) + b log2(1/b) (1 - S).
     """
     own = 1.0 / F.col("m")
     w = F.col("w")
     zero = F.lit(0.0)
-    size = F.size(features)
+    # A feature the cluster lacks costs the same whichever it is: each record starts from that
+    # cost for all its features, and shared features, found by an equi-join, correct it.
+    size = F.greatest(F.coalesce(F.size(features), F.lit(0)), F.lit(0))
     start = df.select(id_col, "coarse_id", size.alias("size"), F.greatest(size, F.lit(1)).cast("double").alias("m"))
     base = start.join(weights, "coarse_id").select(
         id_col, "coarse_id", "local", "w", (F.col("size") * _feature_loss(own, w, zero)).alias("part")
@@ -366,7 +321,7 @@ def check_seen(assigned: DataFrame) -> None:
     """Raises when a record fell into a bucket that had no training rows."""
     unseen = assigned.where(F.col("local").isNull()).select("coarse_id").limit(1).collect()
     if unseen:
-        raise ValueError(f"coarse cluster {unseen[0]['coarse_id']} was not seen during fit")
+        raise ValueError(f"no training record fell into bucket {unseen[0]['coarse_id']}")
 
 
 # --- the whole fit --------------------------------------------------------------------------
@@ -378,7 +333,7 @@ class FittedClusters:
 
     k: int
     stages: list
-    coarse: KMeansModel
+    coarse: KMeansModel | OneBucket
     feature_probs: DataFrame
     weights: DataFrame
     offsets: DataFrame
@@ -391,7 +346,7 @@ class FittedClusters:
     def predict(self, df: DataFrame, features: str = "features", id_col: str = "query_id") -> DataFrame:
         """(id, coarse_id, local, cluster_id, loss)."""
         placed = self.coarse_ids(df.select(id_col, features), features)
-        found = assign(placed, self.feature_probs, self.weights, self.k, features, id_col)
+        found = assign(placed, self.feature_probs, self.weights, features, id_col)
         return found.join(self.offsets.select("coarse_id", "offset"), "coarse_id", "left").select(
             id_col, "coarse_id", "local", (F.col("offset") + F.col("local")).cast("int").alias("cluster_id"), "loss"
         )
@@ -402,26 +357,32 @@ def fit_clusters(
 ) -> FittedClusters:
     """Cluster (id, features); ``df`` should be stored, it is read several times."""
     stages = coarse_stages(encode.fit_vocabulary(df, features))
-    vectors = with_vector(spread(df.select(id_col, features)), stages, features)
+    vectors = with_vector(df.select(id_col, features), stages, features)
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     coarse = fit_coarse(vectors, config.coarse_count(n_rows), config.seed)
     placed = coarse.transform(vectors).drop("onehot")
 
     unique = materialise(unique_records(placed, features, id_col), "unique-records")
-    sample = bounded_sample(unique, config.cluster_fit_size, config.seed)
-    # Representatives carry the features; there are at most cap x buckets.
-    chosen = sample.withColumnRenamed("first_id", id_col).join(placed.select(id_col, features), id_col)
-    chosen = materialise(chosen.withColumn("terms", encode.terms(F.col(features))), "cluster-sample")
+    # Representatives carry the features of their record.
+    every = unique.withColumnRenamed("first_id", id_col).join(placed.select(id_col, features), id_col)
+    every = materialise(every, "records")
     vectors.unpersist()
 
+    seeds = bounded_sample(unique, config.cluster_fit_size, config.seed).select("coarse_id", "record_key")
+    chosen = every.join(seeds, ["coarse_id", "record_key"]).withColumn("terms", encode.terms(F.col(features)))
+    chosen = materialise(chosen, "cluster-seeds")
     merged = merge_buckets(
         chosen.select("coarse_id", "record_key", "n", "terms"), max(1, config.num_clusters), config.cluster_tau
     )
     local = materialise(chosen.drop("terms").join(merged, ["coarse_id", "record_key"]), "cluster-local")
+    # Every record joins the nearest merged cluster, and the profiles count all of them.
+    probs, weights = (materialise(t, "seed-profiles") for t in profile_table(local, features))
+    joined = assign(every, probs, weights, features, id_col).select(id_col, "local")
+    full = materialise(every.join(joined, id_col), "cluster-records")
+    probs, weights = profile_table(full, features)
     counts = local.groupBy("coarse_id").agg((F.max("local") + 1).alias("local_clusters"))
     # A merge stopped early by tau may leave more clusters than asked for.
     k = int(counts.agg(F.max("local_clusters")).first()[0])
-    probs, weights = profile_table(local, features)
     return FittedClusters(
         k=k,
         stages=stages,

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from switchyard.functions.grams import gram_sums
 from switchyard.operators.ranking import dense_index
-from switchyard.session import spread
 
-# A vocabulary up to this size may be copied to every executor.
+# The largest vocabulary that a model may carry to every executor.
 VOCAB_LIMIT = 1 << 20
 # Separates key and value in a vocabulary term.
 TERM_SEPARATOR = "\x1f"
@@ -46,13 +45,16 @@ def terms(features: Column) -> Column:
     return F.transform(F.map_entries(features), lambda e: F.concat(e["key"], F.lit(TERM_SEPARATOR), e["value"]))
 
 
-def vocabulary_terms(vocab: DataFrame) -> list[str] | None:
-    """The terms in index order, or None when there are too many to copy."""
+def vocabulary_terms(vocab: DataFrame) -> list[str]:
+    """The terms in index order, for models that carry them to the executors.
+
+    Raises beyond VOCAB_LIMIT: other vectors than the exact ones would be other answers."""
     found = vocab.limit(VOCAB_LIMIT + 1).collect()
     if len(found) > VOCAB_LIMIT:
-        return None
+        raise ValueError(f"more than {VOCAB_LIMIT} different feature values; leave out features that name single queries")
     found.sort(key=lambda r: r["idx"])
-    return [r["key"] + TERM_SEPARATOR + r["value"] for r in found]
+    # No feature has this term: without known terms every vector is zero.
+    return [r["key"] + TERM_SEPARATOR + r["value"] for r in found] or [TERM_SEPARATOR * 2]
 
 
 def one_hot_stages(term_list: list[str], input_col: str = "terms", output_col: str = "onehot") -> list:
@@ -68,25 +70,8 @@ def one_hot_stages(term_list: list[str], input_col: str = "terms", output_col: s
 def one_hot(df: DataFrame, vocab: DataFrame, id_col: str = "query_id", features: str = "features") -> DataFrame:
     """(id, idx, value) with value 1/sqrt(known features), known features only.
 
-    A vocabulary within the limit is looked up inside each row, with no
-    shuffle; a larger one is joined on its key.
-    """
-    term_list = vocabulary_terms(vocab)
-    if term_list is None:
-        return one_hot_joined(df, vocab, id_col, features)
-    if not term_list:
-        return df.select(id_col, F.lit(0).alias("idx"), F.lit(0.0).alias("value")).where(F.lit(False))
-    out = df.select(id_col, terms(F.col(features)).alias("terms"))
-    for stage in one_hot_stages(term_list):
-        out = stage.transform(out)
-    return sparse_entries(out, id_col, "onehot")
-
-
-def one_hot_joined(df: DataFrame, vocab: DataFrame, id_col: str = "query_id", features: str = "features") -> DataFrame:
-    """The same entries by a join, for a vocabulary of any size.
-
-    Feature pairs repeat across rows (a flag may be set in a third of them), so
-    the join is left to the engine's skew handling rather than hinted.
+    A join, for a vocabulary of any size.  Feature pairs repeat across rows (a flag may be
+    set in a third of them), so the join is left to the engine's skew handling.
     """
     known = feature_pairs(df, id_col, features).join(vocab, ["key", "value"]).select(id_col, "idx")
     grouped = known.groupBy(id_col).agg(F.collect_list("idx").alias("ids"))
@@ -95,14 +80,6 @@ def one_hot_joined(df: DataFrame, vocab: DataFrame, id_col: str = "query_id", fe
     )
 
 
-def sparse_entries(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, idx, value) of the non-zero entries of a sparse vector column."""
-    parts = F.from_json(F.to_json(F.struct(F.unwrap_udt(vector).alias("v"))), "v struct<indices:array<int>,values:array<double>>")
-    return df.select(id_col, parts["v"].alias("v")).select(
-        id_col, F.inline(F.arrays_zip("v.indices", "v.values")).alias("idx", "value")
-    )
-
-
 def hash_embedding_udf(dim: int):
     """text -> dense hash embedding, divided by its norm; no gram -> zeros.
 
@@ -136,7 +113,7 @@ def hash_embedding(
     df: DataFrame, dim: int = 384, text_col: str = "prompt", name: str = "embedding"
 ) -> DataFrame:
     """Add the dense hash embedding of a text column; row-local, no shuffle."""
-    return spread(df).withColumn(name, hash_embedding_udf(dim)(F.col(text_col)))
+    return df.withColumn(name, hash_embedding_udf(dim)(F.col(text_col)))
 
 
 def embedding_or_hash(
@@ -144,15 +121,16 @@ def embedding_or_hash(
 ) -> DataFrame:
     """(id, embedding): the given embedding, else the hash embedding.
 
-    One join; only texts without a given embedding are hashed.
+    Ids decide which rows have one; only texts without are hashed.
     """
     given = embeddings.where(F.col("embedding").isNotNull()).select(
         id_col, F.col("embedding").cast("array<double>").alias("_given")
     )
-    unknown = F.when(F.col("_given").isNull(), F.coalesce(F.col(text_col), F.lit("")))
-    joined = spread(df.select(id_col, text_col)).join(given, id_col, "left")
-    hashed = joined.select(id_col, "_given", hash_embedding_udf(dim)(unknown).alias("_hash"))
-    return hashed.select(id_col, F.coalesce("_given", "_hash").alias("embedding"))
+    known = given.select(id_col).distinct()
+    rest = df.select(id_col, text_col).join(known, id_col, "left_anti")
+    hashed = rest.select(id_col, hash_embedding_udf(dim)(F.coalesce(F.col(text_col), F.lit(""))).alias("embedding"))
+    kept = df.select(id_col).join(given, id_col).select(id_col, F.col("_given").alias("embedding"))
+    return kept.union(hashed)
 
 
 def min_max(df: DataFrame, column: str) -> tuple[list[float], list[float]]:

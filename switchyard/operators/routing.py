@@ -22,7 +22,7 @@ from switchyard.operators import encode as E
 from switchyard.operators import profiles as P
 from switchyard.operators import targets as S
 from switchyard.operators import text_features as TF
-from switchyard.session import materialise, spread
+from switchyard.session import materialise
 
 WEIGHT_FLOOR = 1e-9
 
@@ -118,7 +118,7 @@ def prepare(df: DataFrame, config: RouterConfig) -> DataFrame:
     A given ``embedding`` column is kept; rows without one are hashed.
     """
     if config.use_query_features:
-        df = TF.extract(df, "text", config.hash_buckets, config.max_hash_per_ngram, name="_derived")
+        df = TF.extract(df, "text", config.hash_buckets, name="_derived")
     else:
         df = df.withColumn("_derived", TF.empty_map())
     merged = df.withColumn("features", TF.merge(F.col("features"), F.col("_derived"))).drop("_derived")
@@ -221,11 +221,11 @@ def fit_router(items: DataFrame, models: Models, config: RouterConfig, prepared:
         gamma=config.blend_costaware,
         beta=config.beta,
     )
-    rows_in = S.cluster_labels(spread(labelled), resolved, models).withColumn("target", F.array(*target))
+    rows_in = S.cluster_labels(labelled, resolved, models).withColumn("target", F.array(*target))
 
     vocabulary = E.fit_vocabulary(labelled)
     encoders = C.coarse_stages(vocabulary)
-    width = len(encoders[0].vocabulary) if hasattr(encoders[0], "vocabulary") else C.HASHED_DIM
+    width = len(encoders[0].vocabulary)
     dims = len(low)
     stages = [
         *encoders,

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from hashlib import md5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from switchyard.functions import text as T
-from switchyard.functions.digest import digest_mod
-from switchyard.session import spread
 
-# N-gram lengths and limits of the hash flags.
+# N-gram lengths and buckets of the hash flags.
 NGRAMS = (3, 4, 5)
 HASH_BUCKETS = 128
-MAX_HASH_PER_NGRAM = 64
+# Different grams a task keeps the buckets of.
+GRAM_CACHE = 1 << 18
 
 _STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -27,7 +28,7 @@ def surface_columns(df: DataFrame, text_col: str = "prompt", id_col: str = "quer
     """One column per surface feature."""
     counts = T.surface_counts(F.col(text_col))
     return (
-        spread(df)
+        df
         .select(id_col, *[c.alias(n) for n, c in counts.items()])
         .select(id_col, *[c.alias(n) for n, c in T.surface_features().items()])
     )
@@ -37,74 +38,44 @@ def linguistic_columns(df: DataFrame, text_col: str = "prompt", id_col: str = "q
     """One column per rule-based sentence / word feature."""
     counts = T.linguistic_counts(F.col(text_col))
     return (
-        spread(df)
+        df
         .select(id_col, *[c.alias(n) for n, c in counts.items()])
         .select(id_col, *[c.alias(n) for n, c in T.linguistic_features().items()])
     )
 
 
-def _first_seen(chars: str, n: int, buckets: int, upto: int | None = None) -> Column:
-    """Distinct gram buckets of a character array, in order of appearance; of
-    the first ``upto`` grams if given."""
-    last = F.size(chars) - n + 1
-    if upto is not None:
-        last = F.least(last, F.lit(upto))
-    positions = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(
-        F.transform(
-            positions,
-            lambda i: digest_mod(F.md5(T.gram_at(F.col(chars), i, n).cast("binary")), buckets).cast("int"),
-        )
-    )
-
-
-def with_characters(df: DataFrame, text_col: str = "prompt", name: str = "_chars") -> DataFrame:
-    """Lower-cased, stripped text as an array of characters.
-
-    Splitting once makes every gram a constant-time lookup; taking substrings
-    by position would walk the text again for each of them.
-    """
-    cleaned = F.regexp_replace(F.lower(F.col(text_col)), _STRIP, "")
-    return df.withColumn(name, F.when(cleaned != "", F.split(cleaned, "")).otherwise(F.array().cast("array<string>")))
-
+def hash_buckets_udf(buckets: int):
+    """cleaned text -> a row of one array per gram length: the different buckets of all its grams, sorted.
 
-def _likely_enough(buckets: int, limit: int) -> int:
-    """Grams after which a text has nearly always shown ``limit`` buckets: the
-    expected number for random buckets, and as much again less a fifth."""
-    if limit >= buckets:
-        return 8 * buckets
-    return math.ceil(1.8 * buckets * math.log(buckets / (buckets - limit)))
+    Arrow batches in Python: a task hashes each different gram once."""
 
+    @F.pandas_udf(", ".join(f"hash{n} array<int>" for n in NGRAMS))
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for texts in batches:
+            out: dict[str, list] = {f"hash{n}": [] for n in NGRAMS}
+            for text in texts:
+                text = text or ""
+                for n in NGRAMS:
+                    own = set()
+                    for gram in {text[i : i + n] for i in range(len(text) - n + 1)}:
+                        bucket = known.get(gram)
+                        if bucket is None:
+                            bucket = known[gram] = int(md5(gram.encode()).hexdigest(), 16) % buckets
+                        own.add(bucket)
+                    out[f"hash{n}"].append(sorted(own))
+                if len(known) > GRAM_CACHE:
+                    known.clear()
+            yield pd.DataFrame(out)
 
-def with_hash_buckets(
-    df: DataFrame,
-    text_col: str = "prompt",
-    buckets: int = HASH_BUCKETS,
-    limit: int = MAX_HASH_PER_NGRAM,
-) -> DataFrame:
-    """Add hash3, hash4, hash5: the first ``limit`` distinct gram buckets of
-    the whole text, in order of appearance.
+    return found
 
-    Once some leading grams show ``limit`` different buckets, the rest of the
-    text cannot change the answer.  So the leading grams are hashed first and
-    the whole text only where they do not settle it; the result is that of the
-    whole text either way.
-    """
-    tried = _likely_enough(buckets, limit)
-    df = with_characters(df, text_col)
-    df = df.withColumns({f"_head{n}": _first_seen("_chars", n, buckets, tried) for n in NGRAMS})
-
-    def settled(n: int) -> Column:
-        return (F.size(f"_head{n}") >= limit) | (F.size("_chars") - n + 1 <= tried)
 
-    return df.withColumns(
-        {
-            f"hash{n}": F.slice(
-                F.when(settled(n), F.col(f"_head{n}")).otherwise(_first_seen("_chars", n, buckets)), 1, limit
-            )
-            for n in NGRAMS
-        }
-    ).drop("_chars", *[f"_head{n}" for n in NGRAMS])
+def with_hash_buckets(df: DataFrame, text_col: str = "prompt", buckets: int = HASH_BUCKETS) -> DataFrame:
+    """Add hash3, hash4, hash5: every gram bucket of the whole lower-cased, stripped text."""
+    cleaned = F.regexp_replace(F.lower(F.col(text_col)), _STRIP, "")
+    found = df.withColumn("_hashes", hash_buckets_udf(buckets)(cleaned))
+    return found.withColumns({f"hash{n}": F.col(f"_hashes.hash{n}") for n in NGRAMS}).drop("_hashes")
 
 
 def hash_keys() -> Column:
@@ -124,14 +95,13 @@ def flags_map(keys: Column) -> Column:
 def shape_tokens(df: DataFrame, text_col: str = "prompt", id_col: str = "query_id") -> DataFrame:
     """(id, pos, shape): one row per word."""
     shapes = F.posexplode_outer(T.word_shapes(F.col(text_col))).alias("pos", "shape")
-    return spread(df).select(id_col, shapes).where(F.col("shape").isNotNull())
+    return df.select(id_col, shapes).where(F.col("shape").isNotNull())
 
 
 def extract(
     df: DataFrame,
     text_col: str = "prompt",
     buckets: int = HASH_BUCKETS,
-    limit: int = MAX_HASH_PER_NGRAM,
     hash_flags: bool = True,
     name: str = "features",
 ) -> DataFrame:
@@ -142,10 +112,10 @@ def extract(
     """
     counts = T.surface_counts(F.col(text_col)) | T.linguistic_counts(F.col(text_col))
     kept = df.columns
-    out = spread(df).withColumns(counts)
+    out = df.withColumns(counts)
     parts = [_as_map(T.surface_features()), _as_map(T.linguistic_features())]
     if hash_flags:
-        out = with_hash_buckets(out, text_col, buckets, limit)
+        out = with_hash_buckets(out, text_col, buckets)
         parts.insert(1, flags_map(hash_keys()))
     return out.select(*kept, F.map_concat(*parts).alias(name))
 

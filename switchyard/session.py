@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,19 +23,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local master, where
-    driver and executors are one process, may fall back to a temporary folder.
-    """
+    """The folder every executor can read: the one named in ``spark.checkpoint.dir``, or
+    else a folder of the warehouse, which all executors share as well."""
     context = spark.sparkContext
     folder = context.getConf().get(_CHECKPOINT_DIR) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="switchyard-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -52,15 +43,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for work that is heavy per row.
-
-    A small file is one partition and would run on one core.  Input that
-    already has a partition per core is returned as it is, so on large tables
-    this adds no shuffle.  Rows differ in length, hence a few parts per core.
-    """
-    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df  # partitioned already; asking for its partitions would run the shuffle
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores)

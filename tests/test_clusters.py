@@ -92,37 +92,37 @@ def loss_by_definition(record, cluster):
 def test_assignment_follows_the_definition(records):
     stored = records.collect()
     probs, weights = C.profile_table(records.withColumn("n", F.lit(1)))
-    for way in (C._assign_wide, C._assign_long):
-        got = way(records.drop("local"), probs, weights, 2, "features", "query_id").collect()
-        assert len(got) == len(stored)
-        by_id = {r.query_id: r for r in stored}
-        for r in got:
-            losses = {
-                local: loss_by_definition(
-                    by_id[r.query_id].features,
-                    [s.features for s in stored if s.coarse_id == r.coarse_id and s.local == local],
-                )
-                for local in (0, 1)
-            }
-            assert math.isclose(r.loss, min(losses.values()), abs_tol=1e-9)
-            assert math.isclose(losses[r.local], min(losses.values()), abs_tol=1e-9)
+    got = C.assign(records.drop("local"), probs, weights).collect()
+    assert len(got) == len(stored)
+    by_id = {r.query_id: r for r in stored}
+    for r in got:
+        losses = {
+            local: loss_by_definition(
+                by_id[r.query_id].features,
+                [s.features for s in stored if s.coarse_id == r.coarse_id and s.local == local],
+            )
+            for local in (0, 1)
+        }
+        assert math.isclose(r.loss, min(losses.values()), abs_tol=1e-9)
+        assert math.isclose(losses[r.local], min(losses.values()), abs_tol=1e-9)
 
 
 def test_unseen_bucket(spark, records):
     probs, weights = C.profile_table(records.withColumn("n", F.lit(1)))
     new = spark.sql("select 900L as query_id, 77 as coarse_id, map('k0', '1') as features")
-    for way in (C._assign_wide, C._assign_long):
-        found = way(new, probs, weights, 2, "features", "query_id")
-        assert found.first().local is None
-        with pytest.raises(ValueError, match="not seen"):
-            C.check_seen(found)
+    found = C.assign(new, probs, weights)
+    assert found.first().local is None
+    with pytest.raises(ValueError, match="no training record"):
+        C.check_seen(found)
 
 
 def test_record_without_features(spark, records):
+    """An empty map and no map at all are the same record."""
     probs, weights = C.profile_table(records.withColumn("n", F.lit(1)))
-    empty = spark.sql("select 901L as query_id, 0 as coarse_id, map_from_arrays(cast(array() as array<string>), cast(array() as array<string>)) as features")
-    got = [way(empty, probs, weights, 2, "features", "query_id").first() for way in (C._assign_wide, C._assign_long)]
-    assert got[0].local == got[1].local and math.isclose(got[0].loss, got[1].loss)
+    empty = "map_from_arrays(cast(array() as array<string>), cast(array() as array<string>))"
+    both = spark.sql(f"select 901L as query_id, 0 as coarse_id, {empty} as features union all select 902L, 0, null")
+    got = C.assign(both, probs, weights).collect()
+    assert got[0].local == got[1].local is not None and math.isclose(got[0].loss, got[1].loss)
 
 
 def test_skewed_bucket_keeps_its_exact_sample(spark):
@@ -170,7 +170,7 @@ def test_fit_and_predict(spark, records):
 def test_early_stop_keeps_more_clusters(spark, records):
     df = records.select("query_id", "features")
     fitted = C.fit_clusters(df, RouterConfig(num_clusters=1, coarse_clusters=2, cluster_tau=0.0), 120)
-    assert fitted.k > C.WIDE_CLUSTERS  # nothing is merged: the long way assigns
+    assert fitted.k > 32  # nothing is merged
     assert fitted.predict(df).where("cluster_id is null").isEmpty()
 
 
@@ -178,11 +178,11 @@ def test_input_checks(spark):
     good = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, quality array<double>")
     assert C.check_inputs(good, 2) == 2
     C.check_matching(good, good)
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no record"):
         C.check_inputs(good.limit(0), 2)
     with pytest.raises(ValueError, match="per model"):
         C.check_inputs(good, 3)
-    with pytest.raises(ValueError, match="quality row"):
+    with pytest.raises(ValueError, match="no quality values"):
         C.check_inputs(good.union(spark.createDataFrame([(3, None)], good.schema)), 2)
     with pytest.raises(ValueError, match="match"):
         C.check_matching(good, good.limit(1))
@@ -231,3 +231,12 @@ def test_dense_index_and_splits(spark):
     first = {r.query_id: r.split for r in hash_split(df).collect()}
     assert first == {r.query_id: r.split for r in hash_split(df.repartition(5)).collect()}
     assert 700 < sum(s == "train" for s in first.values()) < 900
+
+
+def test_profiles_count_every_record(records):
+    """Also when fewer records are merged than there are, and in a single bucket."""
+    df = records.select("query_id", "features")
+    for buckets in (3, 1):
+        fitted = C.fit_clusters(df, RouterConfig(num_clusters=2, coarse_clusters=buckets, cluster_fit_size=5), 120)
+        assert fitted.weights.agg(F.sum("w")).first()[0] == 120
+        assert fitted.predict(df).select("coarse_id").distinct().count() <= buckets

@@ -100,23 +100,22 @@ def predictions(spark, n=400, seed=1, unlabelled=7):
     return spark.createDataFrame(data, schema), probs, labels, quality, costs
 
 
-def test_temperature_matches_step_by_step_descent(spark):
-    df, probs, labels, _, _ = predictions(spark)
-    known = [i for i, y in enumerate(labels) if y is not None]
-    z = np.log(probs[known])
-    z -= z.mean(axis=1, keepdims=True)
-    y = np.eye(3)[[labels[i] for i in known]]
-    t, rate = 1.0, 0.1
-    for _ in range(100):
-        e = np.exp(z / t - (z / t).max(axis=1, keepdims=True))
-        p = e / e.sum(axis=1, keepdims=True)
-        new = max(1e-3, t - rate * ((p - y) * (-z) / t**2).sum() / len(known))
-        if abs(new - t) < 1e-5:
-            break
-        t, rate = new, rate * 0.95
-    assert math.isclose(K.fit_temperature(df, THREE), t, abs_tol=1e-5)
-    nll = {r.temperature: r.nll for r in K.nll_by_temperature(df, THREE, [1.0, t]).collect()}
-    assert nll[t] <= nll[1.0]
+def test_temperature_has_the_least_nll(spark):
+    df, *_ = predictions(spark)
+    found = K.fit_temperature(df, THREE)
+    scan = [found * (1 + d) for d in (-0.5, -0.1, -0.01, -0.001, 0.001, 0.01, 0.1, 1.0)]
+    nll = {r.temperature: r.nll for r in K.nll_by_temperature(df, THREE, [*scan, found]).collect()}
+    assert all(nll[found] <= nll[t] for t in scan) and 0.5 < found < 5
+
+
+def test_temperature_at_the_ends(spark):
+    """Always right: as sharp as allowed; always wrong: as flat as allowed; nothing known: unchanged."""
+    df, probs, *_ = predictions(spark, n=60)
+    best = F.expr("cast(array_position(probs, array_max(probs)) - 1 as int)")
+    worst = F.expr("cast(array_position(probs, array_min(probs)) - 1 as int)")
+    assert K.fit_temperature(df.withColumn("label", best), THREE) == K.TEMPERATURE_FLOOR
+    assert math.isclose(K.fit_temperature(df.withColumn("label", worst), THREE), 1000.0)
+    assert K.fit_temperature(df.withColumn("label", F.lit(None).cast("int")), THREE) == 1.0
 
 
 def test_frontier_matches_brute_force(spark):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,9 +19,9 @@ TEXTS = [
     "",
     "x",
     " \n\t ",
-    "I love machine learning and NLP.",
-    "请解释一下Transformer的自注意力机制。",
-    "What is the capital of France? SEE https://a.b WWW.c.d!!",
+    "We tested HTTP and I agree.",
+    "日本で一番高い山はFujiです。",
+    "Which river runs through Prague? SEE https://a.b WWW.c.d!!",
     "def f(x): return x**2 + 3*x - 1 ```code``` class defclass",
     "ÉTÉ Été été ÑÁ ß Aß 12 345 ٣ ½ ² x1 A1 中文 中A",
     "One. Two! Three?? Four... five",
@@ -29,45 +30,21 @@ TEXTS = [
 ]
 
 
-def bucket(value, thresholds):
-    return str(next((i for i, t in enumerate(thresholds) if value <= t), len(thresholds)))
-
-
-def expected_surface(text):
-    tokens = text.split()
-    n, t = max(1, len(text)), max(1, len(tokens))
-    digits = sum(ch.isdecimal() for ch in text)
-    maths = sum(ch in "=<>±×÷∑√∫π∞+-*/" for ch in text)
-    import re
-
-    code = len(re.findall(r"```|\bdef\b|\bclass\b", text))
-    punct = sum(ch in "!?,.;:" for ch in text)
-    upper = sum(w.isupper() for w in tokens if w.isalpha())
-    return {
-        "len_bucket": bucket(len(text), T.LEN_THRESHOLDS),
-        "token_bucket": bucket(len(tokens), T.TOKEN_THRESHOLDS),
-        "has_number": str(int(digits > 0)),
-        "number_density_bucket": bucket(int(digits / n * 100), T.NUMBER_THRESHOLDS),
-        "has_math_symbol": str(int(maths > 0)),
-        "math_density_bucket": bucket(int(maths / t * 100), T.MATH_THRESHOLDS),
-        "has_code_pattern": str(int(code > 0)),
-        "punct_density_bucket": bucket(int(punct / t * 100), T.PUNCT_THRESHOLDS),
-        "contains_url": str(int(bool(re.search(r"https?://|www\.", text, re.I)))),
-        "upper_density_bucket": bucket(int(upper / t * 100), T.UPPER_THRESHOLDS),
-    }
-
-
-def expected_flags(text, buckets=128, limit=64):
-    text = text.lower().strip()
-    out = set()
-    for n in (3, 4, 5):
-        seen = []
-        for i in range(max(0, len(text) - n + 1)):
-            b = int(hashlib.md5(text[i : i + n].encode()).hexdigest(), 16) % buckets
-            if b not in seen:
-                seen.append(b)
-        out |= {f"hash{n}_{b}" for b in seen[:limit]}
-    return out
+# Worked out by hand: prompt -> features that differ from those of an empty one.
+EMPTY = {
+    "len_bucket": "0", "token_bucket": "0", "has_number": "0", "number_density_bucket": "0", "has_math_symbol": "0",
+    "math_density_bucket": "0", "has_code_pattern": "0", "punct_density_bucket": "0", "contains_url": "0", "upper_density_bucket": "0",
+}
+WORKED = {
+    "": {},
+    "x": {},
+    " \n\t ": {},
+    "Now 1234567890": {"has_number": "1", "number_density_bucket": "4"},
+    "see HTTPS://a.b": {"contains_url": "1", "punct_density_bucket": "4", "has_math_symbol": "1", "math_density_bucket": "3"},
+    "a class of its own": {"has_code_pattern": "1"},
+    "declassified defend": {},
+    "a ± b": {"has_math_symbol": "1", "math_density_bucket": "3"},
+}
 
 
 @pytest.fixture(scope="module")
@@ -88,24 +65,30 @@ def test_safe_ratio(spark):
     assert [r[0] for r in df.select(T.safe_ratio(F.col("a"), F.col("b"))).collect()] == [0.5, 0.0, 0.0]
 
 
-def test_surface_features(texts):
-    prompts = {r.query_id: r.prompt for r in texts.collect()}
-    for row in TF.surface_columns(texts).collect():
+def test_surface_features(spark):
+    given = list(WORKED)
+    df = spark.createDataFrame(list(enumerate(given)), "query_id long, prompt string")
+    for row in TF.surface_columns(df).collect():
         got = row.asDict()
-        assert expected_surface(prompts[got.pop("query_id")]) == got
+        text = given[got.pop("query_id")]
+        assert got == EMPTY | WORKED[text], text
 
 
 def test_hash_flags_cover_whole_texts(texts):
-    for limit in (64, 5):
-        for row in TF.extract(texts, limit=limit).collect():
-            got = {k for k in row.features if k.startswith("hash")}
-            assert got == expected_flags(row.prompt, limit=limit), row.query_id
+    """A flag is set exactly if some gram of the whole text has the bucket."""
+    for row in TF.extract(texts).collect():
+        got = {k for k in row.features if k.startswith("hash")}
+        clean = row.prompt.lower().strip()
+        for n in (3, 4, 5):
+            grams_of = {clean[i : i + n] for i in range(len(clean) - n + 1)}
+            want = {f"hash{n}_{int.from_bytes(hashlib.md5(g.encode()).digest(), 'big') % 128}" for g in grams_of}
+            assert {k for k in got if k.startswith(f"hash{n}_")} == want, row.query_id
 
 
 def test_sentences_and_titles(texts):
     got = {r.query_id: (r.s, r.t) for r in texts.select("query_id", T.sentence_count(F.col("prompt")).alias("s"), T.title_count(F.col("prompt")).alias("t")).collect()}
     assert got[0] == (0, 0) and got[2] == (0, 0)
-    assert got[3] == (1, 1)  # "NLP" and "I love": only the single capital counts
+    assert got[3] == (1, 2)  # "We" and the single capital "I", not "HTTP"
     assert got[8] == (5, 4)
 
 
@@ -121,14 +104,15 @@ def test_digest_mod(spark):
 
 
 def brute_embedding(text, dim):
-    v = np.zeros(dim)
-    if text:
-        for n in (3, 4, 5):
-            for i in range(max(1, len(text) - n + 1)):
-                idx, w = grams.gram_entry(text[i : i + n], dim)
-                v[idx] += w
-    norm = np.sqrt((v * v).sum())
-    return v / norm if norm else v
+    """Per gram length the multiset of grams, weighted and summed."""
+    sums = np.zeros(dim)
+    for n in (3, 4, 5) if text else ():
+        pieces = [text] if len(text) < n else [text[i : i + n] for i in range(len(text) - n + 1)]
+        for piece, times in Counter(pieces).items():
+            place, weight = grams.gram_entry(piece, dim)
+            sums[place] += times * weight
+    length = np.linalg.norm(sums)
+    return sums if length == 0 else sums / length
 
 
 def test_hash_embedding(texts):
@@ -177,17 +161,18 @@ def test_one_hot_norm_and_unknown(spark):
     new = spark.sql("select 2 as query_id, map('a','1','b','1','c','1','d','1','e','9') as features union all select 3, map('z','0')")
     vocab = E.fit_vocabulary(fit)
     assert [(r.key, r.idx) for r in vocab.orderBy("idx").collect()] == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
-    for way in (E.one_hot, E.one_hot_joined):
-        got = way(new, vocab).collect()
-        assert {r.query_id for r in got} == {2}
-        assert sorted((r.idx, round(r.value, 12)) for r in got) == [(i, 0.5) for i in range(4)]
+    got = E.one_hot(new, vocab).collect()
+    assert {r.query_id for r in got} == {2}
+    assert sorted((r.idx, round(r.value, 12)) for r in got) == [(i, 0.5) for i in range(4)]
 
 
-def test_large_vocabulary_is_joined(spark, monkeypatch):
+def test_vocabulary_bound(spark, monkeypatch):
+    """A model's vocabulary is exact or refused; the joined vectors have no bound."""
     monkeypatch.setattr(E, "VOCAB_LIMIT", 2)
     fit = spark.sql("select 1 as query_id, map('a','1','b','1','c','1','d','1') as features")
     vocab = E.fit_vocabulary(fit)
-    assert E.vocabulary_terms(vocab) is None
+    with pytest.raises(ValueError):
+        E.vocabulary_terms(vocab)
     assert E.one_hot(fit, vocab).count() == 4
 
 
