@@ -127,26 +127,6 @@ def scaled(spark, sf_dir):
     ).withColumn("value", r9("value"))
 
 
-@query(
-    "c06_fused",
-    sql(
-        "select query_id, model_idx as dim, round(0.3e0 * quality, 9) as value from f_obs where query_id in "
-        "(select vec_id from embeddings) union all select vec_id, dim + 5, round(0.7e0 * value, 9) from e_scaled "
-        "where vec_id in (select query_id from f_queries)",
-        "f_obs",
-        "e_scaled",
-    ),
-)
-def fused(spark, sf_dir):
-    left = D.observations(spark, sf_dir).select("query_id", "quality")
-    right = scaled_embeddings(spark, sf_dir).withColumnRenamed("vec_id", "query_id")
-    return (
-        left.join(right, "query_id")
-        .select("query_id", F.posexplode(E.fuse(F.col("quality"), F.col("scaled"), 0.3)).alias("dim", "value"))
-        .withColumn("value", r9("value"))
-    )
-
-
 @query(
     "c07_softmax",
     sql(
@@ -174,6 +154,32 @@ def argmax(spark, sf_dir):
 VIEWS["f_unembedded"] = (("f_queries",), "select * from f_queries where query_id not in (select vec_id from embeddings)")
 
 
+@query(
+    "c06_fused",
+    sql(
+        "select query_id, model_idx as dim, round(0.3e0 * quality, 9) as value from f_obs where quality <> 0 union all "
+        "select e.vec_id, e.dim + 5, round(0.7e0 * e.x, 9) from e_long e join f_queries q on q.query_id = e.vec_id where e.x <> 0 "
+        f"union all select query_id, idx + 5, round(0.7e0 * value, 9) from ({_hash_embedding_sql(64, 'f_unembedded')}) h "
+        "where value <> 0",
+        "f_obs",
+        "e_long",
+        "f_queries",
+        "f_unembedded",
+    ),
+)
+def fused(spark, sf_dir):
+    """Every document: one without an embedding has its hash embedding."""
+    left = D.observations(spark, sf_dir).select("query_id", "quality")
+    given = D.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "query_id")
+    right = E.embedding_or_hash(D.queries(spark, sf_dir), given, 64)
+    return (
+        left.join(right, "query_id")
+        .select("query_id", F.posexplode(E.fuse(F.col("quality"), F.col("embedding"), 0.3)).alias("dim", "value"))
+        .where("value != 0")
+        .withColumn("value", r9("value"))
+    )
+
+
 @query(
     "c09_embedding_or_hash",
     sql(

@@ -66,8 +66,14 @@ def train_and_eval(spark, sf_dir):
     return runs.metric_rows(trained(spark, sf_dir).metrics, "run-1")
 
 
+# Graded quality: the label comes from the yes-or-no one, so settings can miss it.
+VIEWS["x_graded"] = (
+    ("f_obs", "f_queries", "f_models"),
+    "select o.*, ((o.query_id*31 + o.model_idx*17 + q.n_chars) % 10 + m.skill) / 20.0e0 as graded "
+    "from f_obs o join f_queries q using (query_id) join f_models m using (model_idx)",
+)
 VIEWS["x_grid"] = (
-    ("f_obs", "s_cluster", "f_labels", "f_models"),
+    ("x_graded", "s_cluster", "f_labels", "f_models"),
     "select point, threshold, alpha, avg(cost) as avg_cost, avg(case when label is null then null when model_idx = label "
     "then 1.0e0 else 0.0e0 end) as top1_acc from (select *, row_number() over (partition by point, query_id "
     "order by round(target, 9) desc, model_idx) as rk from (select g.point, g.threshold, g.alpha, o.query_id, o.model_idx, o.cost, l.label, "
@@ -75,14 +81,15 @@ VIEWS["x_grid"] = (
     "o.w / sum(o.w) over w when o.model_idx = 0 then 1.0e0 else 0.0e0 end) as target from "
     "(select i * 3 + j as point, t.threshold, a.alpha from (values (0, 0.4e0), (1, 0.6e0), (2, 0.8e0)) t(i, threshold), "
     "(values (0, 0.2e0), (1, 0.5e0), (2, 0.8e0)) a(j, alpha)) g cross join lateral "
-    "(select *, exp((quality - g.alpha * price / 0.03e0) / 0.5e0) as e, case when quality >= g.threshold then 1 / price "
-    "else 0 end as w from f_obs) o join s_cluster c using (query_id, model_idx) join f_labels l using (query_id) "
+    "(select *, exp((graded - g.alpha * price / 0.03e0) / 0.5e0) as e, case when graded >= g.threshold then 1 / price "
+    "else 0 end as w from x_graded) o join s_cluster c using (query_id, model_idx) join f_labels l using (query_id) "
     "window w as (partition by g.point, o.query_id)) z) y where rk = 1 group by 1, 2, 3",
 )
 
 
 def target_grid(spark, sf_dir):
-    df = _targets.with_cluster_soft(spark, sf_dir)
+    graded = [((F.col("query_id") * 31 + i * 17 + F.col("n_chars")) % 10 + skill) / F.lit(20.0) for i, (*_, skill) in enumerate(D.SPEC)]
+    df = _targets.with_cluster_soft(spark, sf_dir).withColumn("quality", F.array(*graded))
     found = X.target_grid(df, MODELS, [0.4, 0.6, 0.8], [0.2, 0.5, 0.8], [0.5], [0.5], [0.5])
     return found.select(
         "point", "threshold", "alpha", r9("avg_cost").alias("avg_cost"), r9("top1_acc").alias("top1_acc")

@@ -16,14 +16,14 @@ from switchyard.models import Models
 from switchyard.session import configure
 
 # Name, price per 1,000 characters, skill out of 10.
-_SPEC = (
+SPEC = (
     ("m-a", 0.001, 5),
     ("m-b", 0.030, 9),
     ("m-c", 0.015, 8),
     ("m-d", 0.002, 6),
     ("m-e", 0.006, 7),
 )
-MODELS = Models(tuple(n for n, _, _ in _SPEC), tuple(p for _, p, _ in _SPEC))
+MODELS = Models(tuple(n for n, _, _ in SPEC), tuple(p for _, p, _ in SPEC))
 M = len(MODELS)
 
 
@@ -56,9 +56,9 @@ def observations(spark: SparkSession, sf_dir: str, prompt: bool = False) -> Data
     missing on every 11th query.
     """
     quality = [
-        f"if((query_id * 31 + {i * 17} + n_chars) % 10 < {skill}, 1.0D, 0.0D)" for i, (_, _, skill) in enumerate(_SPEC)
+        f"if((query_id * 31 + {i * 17} + n_chars) % 10 < {skill}, 1.0D, 0.0D)" for i, (_, _, skill) in enumerate(SPEC)
     ]
-    cost = [f"{price}D * (n_chars / 1000.0D)" for _, price, _ in _SPEC]
+    cost = [f"{price}D * (n_chars / 1000.0D)" for _, price, _ in SPEC]
     weight = [f"cast(1 + (query_id * 13 + {i * 29} + n_chars * 7) % 100 as double)" for i in range(M)]
     ranked = ", ".join(f"struct(-quality[{i}] as q, cost[{i}] as c, {i} as idx)" for i in range(M))
     total = " + ".join(f"weight[{i}]" for i in range(M))
