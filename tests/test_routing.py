@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from switchyard.config import RouterConfig
 from switchyard.models import Models
+from switchyard.operators import split
 from switchyard.operators.routing import Router, fit_router
 from switchyard.plans.grid import configs, grid_search
 from switchyard.plans.train import log_run, train_and_evaluate
@@ -167,3 +168,15 @@ def test_metric_rows_csv(spark, tmp_path):
     runs.log_metrics(runs.metric_rows(row, "r"), str(tmp_path / "m"), "csv")
     got = {r.metric: (r.value, r.text) for r in runs.metrics_of(spark, str(tmp_path / "m"), "r", "csv").collect()}
     assert got == {"avg_cost": (1.5, None), "best_name": (None, "a")}
+
+
+@pytest.mark.parametrize(("few", "ratio"), [(1000, 0.2), (3, 0.2), (1, 0.5), (1000, 1.0)])
+def test_exact_split_counts(spark, monkeypatch, few, ratio):
+    """However far the histogram is refined; repeated ids stay together."""
+    monkeypatch.setattr(split, "_FEW", few)
+    df = spark.range(500).select(F.col("id").alias("query_id"))
+    parts = split.exact_split(df, val_ratio=ratio).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in parts}.get("train", 0) == int(500 * (1 - ratio))
+    same = spark.range(90).select((F.col("id") % 3).alias("query_id"))
+    sides = split.exact_split(same, val_ratio=0.4).distinct().groupBy("query_id").count().collect()
+    assert all(r["count"] == 1 for r in sides)
