@@ -18,9 +18,10 @@ from switchyard.llm.common import GAP, words
 from switchyard.session import materialise
 
 MIN_WORDS = 50
-#: A document is rejected above either distance.
-MAX_CHARS = 0.45
-MAX_WORDS = 0.75
+#: A document is rejected above either distance.  On texts that pass the base rules the distance of
+#: characters has two groups, ordinary ones below 0.25 and those full of symbols above 0.30.
+MAX_CHARS = 0.30
+MAX_WORDS = 0.50
 # Characters that count as symbols, and ten frequent words per language.
 SYMBOLS = "#*$%&|<>"
 COMMON = {
