@@ -88,6 +88,16 @@ def bounded_sample(spark, sf_dir):
     return C.bounded_sample(C.unique_records(records(spark, sf_dir)), 20).select("coarse_id", "record_key", "n")
 
 
+@query(
+    "d05_profile_weights",
+    sql("select count(*) as n_records from f_queries", "f_queries"),
+)
+def profile_weights(spark, sf_dir):
+    """The profiles count every record, merged or assigned."""
+    found, _ = fitted(spark, sf_dir)
+    return found.weights.agg(F.sum("w").cast("bigint").alias("n_records"))
+
+
 @query("d05_merged_clusters")
 def merged_clusters(spark, sf_dir):
     """(query_id, coarse_id, cluster_id) after merging and assignment."""
@@ -418,6 +428,16 @@ def embedding_clusters(spark, sf_dir):
     return C.predict_embedding_clusters(vectors, model).select("vec_id", "embed_cluster")
 
 
+@query("d22_assigned_is_nearest", "select vec_id, true as is_nearest from embeddings")
+def assigned_is_nearest(spark, sf_dir):
+    """Whether each vector has the cluster whose centre is nearest to it."""
+    vectors = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = C.fit_embedding_clusters(vectors, 10, n_init=2)
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    found = C.predict_embedding_clusters(vectors, model)
+    return found.select("vec_id", (F.col("embed_cluster") == C.nearest_centre(F.col("embedding"), centres)).alias("is_nearest"))
+
+
 @query("d23_nearest_centre", sql("select vec_id, centre from e_nearest", "e_nearest"))
 def nearest_centre(spark, sf_dir):
     centres = _features.label_centres(spark, sf_dir)

@@ -317,6 +317,16 @@ def fitted_temperature(spark, sf_dir):
     return K.nll_by_temperature(given, MODELS, [1.0, fitted])
 
 
+@query("g23_temperature_is_least", "select true as is_least from (select count(*) from documents) d")
+def temperature_is_least(spark, sf_dir):
+    """No temperature around the fitted one has a lower NLL."""
+    given = D.observations(spark, sf_dir)
+    fitted = K.fit_temperature(given, MODELS)
+    around = K.nll_by_temperature(given, MODELS, [fitted, *(fitted * f for f in (0.5, 0.9, 0.99, 1.01, 1.1, 2.0))])
+    own = F.abs(F.col("temperature") - fitted) < 1e-12 * fitted
+    return around.agg((F.max(F.when(own, F.col("nll"))) <= F.min("nll")).alias("is_least"))
+
+
 def _recalibrated(spark, sf_dir):
     out = outcomes(spark, sf_dir)
     probs = K.recalibrated(rows.entries("probs", M), TEMPERATURE)

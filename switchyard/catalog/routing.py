@@ -152,3 +152,58 @@ def reloaded_router(spark, sf_dir):
         "query_id", F.col("model_name").alias("reloaded_name"), F.col("probability").alias("reloaded_probability")
     )
     return before.join(after, "query_id")
+
+
+# --- properties that hold whatever the model has learned -------------------------------
+
+VIEWS["x_validation"] = (
+    ("f_queries", "f_labels"),
+    "select s.query_id, l.label from (select query_id, row_number() over (order by md5('42:' || query_id), query_id) as rn, "
+    "floor((select count(*) from f_queries) * (1.0e0 - 0.2e0)) as k from f_queries) s join f_labels l using (query_id) "
+    "where s.rn > s.k",
+)
+
+
+@query("f01_validation_rows", sql("select query_id, label, true as is_distribution from x_validation", "x_validation"))
+def validation_rows(spark, sf_dir):
+    """The rows that were held out, their labels, and whether their answers are distributions."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    inside = F.forall("probs", lambda p: (p >= 0) & (p <= 1)) & (F.size("probs") == M) & (F.abs(total - 1) < 1e-9)
+    return trained(spark, sf_dir).predictions.select("query_id", "label", inside.alias("is_distribution"))
+
+
+@query(
+    "f05_row_counts",
+    sql("select count(*) as n_all, count(label) as n_labelled from x_validation", "x_validation"),
+)
+def row_counts(spark, sf_dir):
+    metrics = trained(spark, sf_dir).metrics
+    return metrics.select(*[F.col(c).cast("bigint").alias(c) for c in ("n_all", "n_labelled")])
+
+
+def _same(left, right):
+    """Per query: whether two tables of answers name the same model with the same probability."""
+    other = right.select(
+        "query_id", F.col("model_name").alias("other_name"), F.col("probability").alias("other_probability")
+    )
+    equal = (F.col("model_name") == F.col("other_name")) & (F.abs(F.col("probability") - F.col("other_probability")) < 1e-9)
+    return left.join(other, "query_id", "full").select("query_id", F.coalesce(equal, F.lit(False)).alias("same"))
+
+
+@query("f04_stream_equals_batch", sql("select query_id, true as same from f_queries", "f_queries"))
+def stream_equals_batch(spark, sf_dir):
+    return _same(stream_routing(spark, sf_dir), batch_routing(spark, sf_dir))
+
+
+@query("a16_reloaded_equals_fitted", sql("select query_id, true as same from f_queries", "f_queries"))
+def reloaded_equals_fitted(spark, sf_dir):
+    path = scratch_path(spark, "router")
+    trained(spark, sf_dir).router.save(path)
+    return _same(_answers(Router.load(spark, path).route(items(spark, sf_dir))), batch_routing(spark, sf_dir))
+
+
+@query("f03_answers", sql("select query_id, true as is_answer from f_queries", "f_queries"))
+def every_query_answered(spark, sf_dir):
+    """A known model and a share that is the largest of as many as there are models."""
+    fine = F.col("model_name").isin(list(MODELS.names)) & F.col("probability").between(1.0 / M - 1e-9, 1.0)
+    return batch_routing(spark, sf_dir).select("query_id", fine.alias("is_answer"))
