@@ -39,7 +39,7 @@ VIEWS["k_unique"] = (
 def records(spark, sf_dir):
     """(query_id, features, coarse_id, local): surface features of documents."""
     lang = F.col("lang")
-    return TF.extract(D.queries(spark, sf_dir), hash_flags=False).select(
+    return TF.extract(D.queries(spark, sf_dir), hash_flags=False, shapes=False).select(
         "query_id",
         "features",
         F.when(lang == "de", 0).when(lang == "en", 1).when(lang == "es", 2).otherwise(4).alias("coarse_id"),

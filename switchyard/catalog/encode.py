@@ -20,7 +20,7 @@ VIEWS["u_vocab"] = (
 
 
 def _conversation_features(spark, sf_dir):
-    return TF.extract(_features.user_prompts(spark, sf_dir), hash_flags=False).select("query_id", "features")
+    return TF.extract(_features.user_prompts(spark, sf_dir), hash_flags=False, shapes=False).select("query_id", "features")
 
 
 @query("c01_vocabulary", sql("select key, value, idx from u_vocab", "u_vocab"))
@@ -40,7 +40,7 @@ _ONE_HOT = sql(
 def one_hot(spark, sf_dir):
     """Documents against the conversations' vocabulary: unknown pairs drop out."""
     vocab = E.fit_vocabulary(_conversation_features(spark, sf_dir))
-    documents = TF.extract(D.queries(spark, sf_dir), hash_flags=False)
+    documents = TF.extract(D.queries(spark, sf_dir), hash_flags=False, shapes=False)
     return E.one_hot(documents, vocab).withColumn("value", r9("value"))
 
 
@@ -48,7 +48,7 @@ def one_hot(spark, sf_dir):
 def one_hot_joined(spark, sf_dir):
     """The way taken for a vocabulary too large to copy."""
     vocab = E.fit_vocabulary(_conversation_features(spark, sf_dir))
-    documents = TF.extract(D.queries(spark, sf_dir), hash_flags=False)
+    documents = TF.extract(D.queries(spark, sf_dir), hash_flags=False, shapes=False)
     return E.one_hot(documents, vocab).withColumn("value", r9("value"))
 
 

@@ -213,24 +213,29 @@ for _pattern, _replacement in (
     _SHAPED = f"regexp_replace({_SHAPED}, '{_pattern}', '{_replacement}', 'g')"
 
 
-@query(
-    "b18_shape_top",
-    sql(
-        "select query_id, 'shape_top' || rk as key, shape as value from (select *, row_number() over ("
-        "partition by query_id order by n desc, first_pos) as rk from (select query_id, shape, count(*) as n, "
-        "min(pos) as first_pos from (select query_id, unnest(w) as shape, generate_subscripts(w, 1) as pos from ("
-        f"select query_id, regexp_extract_all({_SHAPED}, '{_WORDS}') as w from f_queries) s) t "
-        "group by query_id, shape) a) b where rk <= 2",
-        "f_queries",
-    ),
+VIEWS["t_shapes"] = (
+    ("f_queries",),
+    "select query_id, 'shape_top' || rk as key, shape as value from (select *, row_number() over ("
+    "partition by query_id order by n desc, first_pos) as rk from (select query_id, shape, count(*) as n, "
+    "min(pos) as first_pos from (select query_id, unnest(w) as shape, generate_subscripts(w, 1) as pos from ("
+    f"select query_id, regexp_extract_all({_SHAPED}, '{_WORDS}') as w from f_queries) s) t "
+    "group by query_id, shape) a) b where rk <= 2",
 )
+
+
+@query("b18_shape_top", sql("select * from t_shapes", "t_shapes"))
 def shape_top(spark, sf_dir):
     return A.shape_top(TF.shape_tokens(D.queries(spark, sf_dir)))
 
 
 @query(
     "b20_feature_map",
-    sql("select * from t_features union all select query_id, key, '1' as value from t_hash", "t_features", "t_hash"),
+    sql(
+        "select * from t_features union all select query_id, key, '1' as value from t_hash union all select * from t_shapes",
+        "t_features",
+        "t_hash",
+        "t_shapes",
+    ),
 )
 def feature_map(spark, sf_dir):
     return E.feature_pairs(TF.extract(D.queries(spark, sf_dir)))
@@ -247,7 +252,7 @@ def feature_map(spark, sf_dir):
 def merged_features(spark, sf_dir):
     """A given key that is derived as well takes the derived value; a null
     value becomes an empty string."""
-    derived = TF.extract(D.queries(spark, sf_dir), hash_flags=False, name="derived")
+    derived = TF.extract(D.queries(spark, sf_dir), hash_flags=False, shapes=False, name="derived")
     given = F.create_map(
         F.lit("eval"), F.col("eval_name"),
         F.lit("lang"), F.when(F.col("lang") == "en", F.col("lang")),

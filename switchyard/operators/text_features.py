@@ -13,6 +13,7 @@ from switchyard.functions import text as T
 
 # N-gram lengths and buckets of the hash flags.
 NGRAMS = (3, 4, 5)
+SHAPE_TOP_K = 2
 HASH_BUCKETS = 128
 # Different grams a task keeps the buckets of.
 GRAM_CACHE = 1 << 18
@@ -98,16 +99,35 @@ def shape_tokens(df: DataFrame, text_col: str = "prompt", id_col: str = "query_i
     return df.select(id_col, shapes).where(F.col("shape").isNotNull())
 
 
+def shape_map(text: Column, k: int = SHAPE_TOP_K) -> Column:
+    """shape_top1..k of a text: its most common word shapes, ties by first occurrence.
+
+    Counted inside the row: a text has few different shapes."""
+    shapes = F.coalesce(T.word_shapes(text), F.array().cast("array<string>"))
+
+    def ranked(own: Column) -> Column:
+        def entry(shape: Column) -> Column:
+            n = F.size(F.filter(own, lambda x: x == shape))
+            return F.struct((-n).alias("n"), F.array_position(own, shape).alias("first"), shape.alias("shape"))
+
+        best = F.slice(F.array_sort(F.transform(F.array_distinct(own), entry)), 1, k)
+        return F.transform(best, lambda b, i: F.struct(F.concat(F.lit("shape_top"), i + 1).alias("key"), b["shape"].alias("value")))
+
+    # The array is made once, as the only element that the outer function runs over.
+    return F.map_from_entries(F.flatten(F.transform(F.array(shapes), ranked)))
+
+
 def extract(
     df: DataFrame,
     text_col: str = "prompt",
     buckets: int = HASH_BUCKETS,
     hash_flags: bool = True,
+    shapes: bool = True,
     name: str = "features",
 ) -> DataFrame:
-    """Add one feature map: surface features, hash flags, sentence / word features.
+    """Add one feature map: surface features, hash flags, sentence / word features, shapes.
 
-    The three groups have different keys, so the union needs no rule for
+    The groups have different keys, so the union needs no rule for
     duplicates.  Row-local; no shuffle.
     """
     counts = T.surface_counts(F.col(text_col)) | T.linguistic_counts(F.col(text_col))
@@ -117,6 +137,8 @@ def extract(
     if hash_flags:
         out = with_hash_buckets(out, text_col, buckets)
         parts.insert(1, flags_map(hash_keys()))
+    if shapes:
+        parts.append(shape_map(F.col(text_col)))
     return out.select(*kept, F.map_concat(*parts).alias(name))
 
 
