@@ -34,7 +34,7 @@ STEP_TOKENS = 1 << 15
 #: Tokens kept back between batches, so that gaps find pieces that fit.
 RESERVE = 64 * WINDOW
 #: Distinct words kept encoded by a worker.
-KNOWN = 1_200_000
+KNOWN = 2_000_000
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window long, step long"
 )
@@ -58,6 +58,7 @@ class _Words:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         (self.line,) = tokenizer.encode("\n", add_special_tokens=False).ids
+        self.marks = {m: _encoded(tokenizer, m) for m in ".,"}
 
     def ids(self, words: list[str]) -> bytes:
         missing = set(words).difference(self.young)
@@ -67,7 +68,11 @@ class _Words:
                 missing = set(words)
             again = missing & self.old.keys()
             self.young.update((w, self.old[w]) for w in again)
-            self._learn(list(missing - again))
+            missing -= again
+            # Letters and a closing mark are two pre-tokens.
+            closed = {w for w in missing if w[-1:] in self.marks and w[:-1].isalpha()}
+            self._learn(list((missing - closed) | {w[:-1] for w in closed}.difference(self.young)))
+            self.young.update((w, self.young[w[:-1]] + self.marks[w[-1]]) for w in closed)
         return b"".join(map(self.young.__getitem__, words))
 
     def _learn(self, words: list[str]) -> None:
