@@ -38,13 +38,17 @@ from switchyard.session import materialise
 SHARD = 4096
 SEED = 42
 _SLICE = 1 << 16
-#: For documents alike in most shingles: bits that may differ, bytes of a sketch, pairs of
-#: smallest hashes that name shards, and the estimate that stands for a similarity of 0.8
-#: (an estimate from ``BINS`` values is off by 0.035 in two of three cases).
+#: For documents that share ``SIMILAR`` or more of their shingles: bits that may differ, bytes
+#: of a sketch, pairs of smallest hashes that name shards, and the estimate from which on two
+#: documents are compared exactly (an estimate from ``BINS`` values is off by 0.035 in two of
+#: three cases: 3 in 100,000 pairs at 0.8 lie below).
+SIMILAR = 0.8
 WIDE_RADIUS = 16
 BINS = 128
 TABLES = 10
-ESTIMATE = 0.76
+ESTIMATE = 0.65
+#: Hashes in a part of a group whose members are compared exactly.
+HASHES = 1 << 20
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -212,6 +216,90 @@ def shard_links(entries: DataFrame, radius: int, similarity: float | None = None
     return shards.mapInArrow(run, "u long, v long")
 
 
+def exact_links(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """(rep, sketch, digest, component) rows of ``docs`` -> links (u, v) that connect, in each
+    component, all members that share ``SIMILAR`` or more of their different shingles.
+
+    The shingles are hashed again, of members only, and each set travels once; a component
+    of more than ``SHARD`` members or ``HASHES`` hashes is dealt into cells as a shard is."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch["text"]]
+            # An id can have several texts.
+            own = pa.array([_digest(h) == d for h, d in zip(sets, batch["digest"].to_pylist(), strict=True)], pa.bool_())
+            columns = [*batch.columns[:4], pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["component", "rep", "digest", "sketch", "hashes"]).filter(own)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id") == F.col("rep"))
+    sets = texts.select("component", "rep", "digest", "sketch", "text").mapInArrow(
+        hashed, "component long, rep long, digest long, sketch binary, hashes binary"
+    )
+    sets = materialise(sets.dropDuplicates(["component", "rep", "digest"]), "sets")
+    parts = F.greatest(F.ceil(F.count("*") / SHARD), F.ceil(F.sum(F.length("hashes")) / (8 * HASHES))).cast("int")
+    hot = sets.groupBy("component").agg(parts.alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("rep", "digest"), F.col("parts")).cast("int")
+    cells = F.when(
+        F.col("parts").isNotNull(),
+        F.transform(
+            F.sequence(F.lit(0), F.col("parts") - 1),
+            lambda x: F.struct(F.least(x, part).alias("a"), F.greatest(x, part).alias("b")),
+        ),
+    ).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))))
+    dealt = (
+        sets.join(hot, "component", "left")
+        .withColumn("cell", F.explode(cells))
+        .select("component", "cell.a", "cell.b", "rep", "sketch", "hashes")
+        .repartition("component", "a", "b")
+        .sortWithinPartitions("component", "a", "b")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in sorted_groups(batches, ["component", "a", "b"]):
+            reps = group["rep"].to_pylist()
+            pairs = similar_pairs(group["sketch"].to_pylist(), group["hashes"].to_pylist())
+            out += [(reps[i], reps[j]) for i, j in pairs]
+            if len(out) >= 50_000:
+                yield _links(out)
+                out = []
+        yield _links(out)
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def similar_pairs(sketches: list[bytes], sets: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs that connect all members whose hashes have a Jaccard similarity of ``SIMILAR`` or
+    more; members that are connected already, or whose sketches are far apart, are not compared."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), BINS)
+    hashes = [np.frombuffer(h, np.uint64) for h in sets]
+    part, found = np.arange(len(sketches)), []
+    for i in range(1, len(rows)):
+        used = np.count_nonzero(rows[:i] | rows[i], axis=1)
+        agreed = np.count_nonzero((rows[:i] == rows[i]) & (rows[i] > 0), axis=1)
+        near = np.flatnonzero(agreed >= ESTIMATE * used)
+        # The most alike first: in a dense group the first comparison connects.
+        for j in near[np.argsort(-agreed[near] / np.maximum(used[near], 1), kind="stable")].tolist():
+            if part[i] != part[j] and _similar(hashes[i], hashes[j]):
+                part[part == part[i]] = part[j]
+                found.append((i, j))
+    return found
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, sorted, have a Jaccard similarity of at least ``SIMILAR``."""
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / max(len(both) - shared, 1) >= SIMILAR
+
+
+def _digest(hashes: bytes) -> int:
+    """Signed 64-bit name of a set of hashes."""
+    return xxhash.xxh64_intdigest(hashes, SEED) - (1 << 63)
+
+
 def _agreement(sketches: list[bytes], similarity: float) -> Callable[[int, int], bool]:
     """Whether two members' sketches estimate a Jaccard similarity of at least ``similarity``."""
     rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), BINS)
@@ -254,15 +342,21 @@ def near_groups(docs: DataFrame, shingle: int = 5, radius: int = 4, doc_id: str
     )
 
 
-def outline(text: str | None, shingle: int) -> tuple[int, bytes, list[int]]:
-    """Fingerprint, sketch and shard keys of a text.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted."""
+    slices = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(slices)) if slices else np.zeros(0, np.uint64)
+
+
+def outline(text: str | None, shingle: int) -> tuple[int, bytes, int, list[int]]:
+    """Fingerprint, sketch, digest of the different shingles, and shard keys of a text.
 
     The sketch has a byte for each of ``BINS`` ranges of hashes, made from the smallest
     hash there, 0 where there is none.  A key joins two smallest hashes under other
     orders; texts that share a part ``s`` of their shingles share it with chance s * s."""
     slices = list(shingle_hashes(text, shingle))
     if not slices:
-        return 0, bytes(BINS), []
+        return 0, bytes(BINS), _digest(b""), []
     h = np.unique(np.concatenate(slices))
     bins = (h >> np.uint64(57)).astype(np.int64)
     at = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
@@ -273,21 +367,22 @@ def outline(text: str | None, shingle: int) -> tuple[int, bytes, list[int]]:
         mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x1000193 * turn)
         least.append(int((mixed ^ (mixed >> np.uint64(29))).min()))
     keys = [(a * 0x100000001B3 ^ b) & ((1 << 63) - 1) for a, b in zip(least[::2], least[1::2], strict=True)]
-    return majority(slices), sketch.tobytes(), keys
+    return majority(slices), sketch.tobytes(), _digest(h.tobytes()), keys
 
 
 def outlines(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fingerprint, sketch, keys) of rows with an id."""
+    """(doc_id, fingerprint, sketch, digest, keys) of rows with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [outline(t.as_py(), shingle) for t in batch.column(1)]
             prints = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            columns = [pa.array(prints), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fingerprint", "sketch", "keys"])
+            sketches, digests = pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())
+            columns = [pa.array(prints), sketches, digests, pa.array([r[3] for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fingerprint", "sketch", "digest", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, fingerprint long, sketch binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, fingerprint long, sketch binary, digest long, keys array<long>")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -297,17 +392,22 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     choice of blocks of so few bits tells that from chance.  So the shards are named by
     smallest hashes of shingles, ``TABLES`` pairs of them (two texts with 0.8 in common
     miss all of them with a chance of 4 in 100,000), a tree in each shard finds fingerprints
-    within the radius, and the sketches decide.  Texts without words are one group."""
+    within the radius, and sketches that estimate ``ESTIMATE`` or more connect loosely.  Inside
+    these loose groups the different shingles themselves decide.  Texts without words are one
+    group, as are those with the same shingles."""
     own = materialise(outlines(docs, shingle), "outlines")
-    same = own.groupBy("fingerprint", "sketch").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    names = ["fingerprint", "sketch", "digest"]
+    same = own.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     same = materialise(same, "different")
     entries = same.select(F.posexplode("keys").alias("band", "key"), "fingerprint", "rep", "sketch")
-    found = components(shard_links(entries, WIDE_RADIUS, ESTIMATE))
+    loose = components(shard_links(entries, WIDE_RADIUS, ESTIMATE))
+    members = same.join(loose, same["rep"] == loose["id"]).select("rep", "sketch", "digest", "component")
+    found = components(exact_links(docs, members, shingle))
     named = same.join(found, same["rep"] == found["id"], "left").select(
-        F.col("fingerprint").alias("print"), F.col("sketch").alias("outline"), F.coalesce("component", "rep").alias("component_id")
+        *[F.col(c).alias(f"same_{c}") for c in names], F.coalesce("component", "rep").alias("component_id")
     )
-    joined = own.join(named, (F.col("fingerprint") == F.col("print")) & (F.col("sketch") == F.col("outline")))
-    return joined.select("doc_id", "component_id")
+    equal = [F.col(c) == F.col(f"same_{c}") for c in names]
+    return own.join(named, equal).select("doc_id", "component_id")
 
 
 def one_per_group(docs: DataFrame, shingle: int = 5) -> DataFrame:

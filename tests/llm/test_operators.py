@@ -148,6 +148,30 @@ def test_similar_documents_leave_one(spark):
     )
 
 
+def shingles(text, width=5):
+    words = text.split()
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+@pytest.mark.parametrize("shard", [4096, 5])
+def test_similar_groups_are_exact(spark, monkeypatch, shard):
+    """Pairs around 0.8 and a chain of them against brute force, also dealt into cells."""
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    rng = random.Random(4)
+    texts = []
+    for i in range(160):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        cut = 4 + 396 * (70 + i % 21) // 100  # that share of the shingles stays, the others go
+        texts += [" ".join(words), " ".join(words[:cut])]
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    texts += [" ".join(words[at : at + 400]) for at in range(0, 500, 35)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    sets = [shingles(t) for t in texts]
+    want = grouped(range(len(texts)), lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))
+    assert not [(i, found[i], want[i]) for i in want if found[i] != want[i]]
+
+
 def test_shards(spark, odd, none):
     rng = random.Random(4)
     data = [(i, sentence(rng, rng.randint(1, 60)), "en" if i % 3 else "fr", "hot" if i % 2 else str(i)) for i in range(3000)]
