@@ -172,6 +172,16 @@ def test_similar_groups_are_exact(spark, monkeypatch, shard):
     assert not [(i, found[i], want[i]) for i in want if found[i] != want[i]]
 
 
+@pytest.mark.parametrize("times", [1, 5, 8, 19])
+def test_repeated_lines_stay_within_the_radius(times):
+    rng = random.Random(times)
+    for _ in range(50):
+        shared = " ".join(f"w{rng.randrange(10**6)}" for _ in range(204))
+        line = " ".join(f"v{rng.randrange(10**6)}" for _ in range(6))
+        a, b = simhash.outline(shared, 5), simhash.outline(f"{shared}\n" + f"{line}\n" * times, 5)
+        assert (a[0] ^ b[0]).bit_count() <= simhash.WIDE_RADIUS
+
+
 def test_shards(spark, odd, none):
     rng = random.Random(4)
     data = [(i, sentence(rng, rng.randint(1, 60)), "en" if i % 3 else "fr", "hot" if i % 2 else str(i)) for i in range(3000)]
