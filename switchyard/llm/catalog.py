@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchyard.llm import bpe, chunks, divergence, kdshard, packing, parsing, records, simhash, toxicity, urlmodel, warc
+from switchyard.llm import bpe, chunks, divergence, kdshard, packing, parsing, records, repair, simhash, toxicity, urlmodel, warc
 from switchyard.llm.common import table
 from switchyard.session import scratch_path
 
@@ -119,3 +119,8 @@ def binary_records(spark, sf_dir):
     path = scratch_path(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return records.read_records(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op12_conversation_repair")
+def conversation_repair(spark, sf_dir):
+    return repair.repair(table(spark, sf_dir, "conversations"))
