@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchyard.llm import bpe, chunks, divergence, kdshard, packing, parsing, records, repair, simhash, toxicity, urlmodel, warc
+from switchyard.llm import bpe, chunks, divergence, kdshard, negatives, packing, parsing, records, repair, simhash, toxicity, urlmodel, warc
 from switchyard.llm.common import table
 from switchyard.session import scratch_path
 
@@ -124,3 +124,8 @@ def binary_records(spark, sf_dir):
 @query("op12_conversation_repair")
 def conversation_repair(spark, sf_dir):
     return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_hard_negatives")
+def hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
