@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 FILE_BYTES = 256 << 20
-#: Distinct words that a worker keeps encoded.
-KNOWN = 500_000
+#: Distinct words that a worker keeps encoded in each of two generations.
+KNOWN = 1_000_000
 #: Rows of a batch that leaves a task, and bytes of ids after which it leaves earlier.
 OUT_ROWS, OUT_BYTES = 512, 8 << 20
 # Fixed value: what a masked checksum adds, as in the TFRecord layout.
@@ -50,30 +50,49 @@ MASK = 0xA282EAD8
 _LENGTH = struct.Struct("<QI")
 _HEAD = struct.Struct("<BBq")
 _CHECK = struct.Struct("<I")
-_ENTRY = struct.Struct("<QQQ")
+_ENTRY, _ENTRY_SIZE = "<QQQ", 24
 MANIFEST = "part long, seq int, file string, index string, records long, tokens long, bytes long"
 RECORDS = "doc_id long, start long, n_tokens long, ids binary"
 
 _BESIDE_SPACE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_ODD = re.compile(r".\s|<\|", re.DOTALL)
-_RARE = re.compile(r"[^\S \n]|<\||\s\s")
+_ODD = re.compile(r".\s|<\||\A ", re.DOTALL)
+_RARE = re.compile(r"[^\S \n]|<\||\s\s|\A\s|\s\Z")
 _MARKS = ".,"
 
 
+class _Store(dict):
+    """Keys -> ids as bytes, in two generations: when this one is full it becomes the old one,
+    and keys that come again move on.  Unknown keys give None and are noted in ``pending``."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.pending: list[str] = []
+
+    def __missing__(self, key: str) -> bytes | None:
+        found = self.old.get(key)
+        if found is None:
+            self.pending.append(key)
+        else:
+            self[key] = found
+        return found
+
+    def turn(self, room: int) -> None:
+        if len(self) > room:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Texts -> ids, each different word of a batch encoded once.
+    """Texts -> ids, each different word encoded once.
 
     No pre-token of a byte-level vocabulary goes on beyond a single space or line end
     that stands between two other characters, so texts are cut before those.  A word's
-    key is the word itself after a space, and the word with its line end after one.
-    Two generations of words are kept: when the young one is full it becomes the old
-    one, and words that come again move on."""
+    key is the word itself after a space, and the word with its line end after one."""
 
     def __init__(self, tokenizer: Tokenizer, known: int = KNOWN):
-        self.tokenizer, self.known = tokenizer, known
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.tokenizer, self.known, self.store = tokenizer, known, _Store()
         self.line = self._each(["\n"])[0]
         self.marks = dict(zip(_MARKS, self._each(list(_MARKS)), strict=True))
 
@@ -82,13 +101,15 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, keys: set[str], rare: bool) -> None:
+        """``rare`` says whether keys can hold white space or the mark of a special token."""
+        store = self.store
         odd = [k for k in keys if _ODD.search(k)] if rare else []
+        store.update(zip(odd, self._each([k if k[:1] in ("\n", " ") else " " + k for k in odd]), strict=True))
         plain = list(keys.difference(odd))
-        self.young.update(zip(odd, self._each([k if k[:1] in ("\n", " ") else " " + k for k in odd]), strict=True))
         # Letters and a closing mark are two pre-tokens.
         closed = [k for k in plain if k[-1:] in self.marks and k[:-1].lstrip("\n").isalpha()]
         base = {k[:-1] for k in closed}
-        plain = [k for k in base.union(plain).difference(closed) if k not in self.young]
+        plain = [k for k in base.union(plain).difference(closed) if k not in store]
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
             text = "".join([f"{k[1:]}\n" if k[:1] == "\n" else f" {k}\n" for k in part])
@@ -97,23 +118,10 @@ class Encoder:
             raw, begin = found.tobytes(), 0
             for key, end in zip(part, ends, strict=True):
                 ids = raw[4 * begin : 4 * end]
-                self.young[key] = self.line + ids if key[:1] == "\n" else ids
+                store[key] = self.line + ids if key[:1] == "\n" else ids
                 begin = end + 1
-        young = self.young
         for key in closed:
-            young[key] = young[key[:-1]] + self.marks[key[-1]]
-
-    def _know(self, keys: set[str], rare: bool) -> None:
-        """``rare`` says whether keys can hold white space or the mark of a special token."""
-        missing = keys.difference(self.young)
-        if not missing:
-            return
-        if len(self.young) + len(missing) > self.known:
-            self.old, self.young = self.young, {}
-            missing = keys
-        again = missing & self.old.keys()
-        self.young.update((k, self.old[k]) for k in again)
-        self._learn(missing - again, rare)
+            store[key] = store[key[:-1]] + self.marks[key[-1]]
 
     def _keys(self, text: str) -> list[str]:
         """The first key stands for a text that begins behind a line end."""
@@ -122,30 +130,40 @@ class Encoder:
             return [p[1:] if p[:1] == " " and not p[1:2].isspace() and len(p) > 1 else p for p in parts]
         return ("\n" + text).replace("\n", " \n")[1:].split(" ")
 
+    def _found(self, lists: list[list[str]], rare: bool) -> Iterator[bytes]:
+        """The joined ids of each list of keys: one look-up per key, new keys learned together."""
+        store, found, ends = self.store, [], []
+        store.turn(self.known)
+        store.pending = []
+        for keys in lists:
+            found.append(list(map(store.__getitem__, keys)))
+            ends.append(len(store.pending))
+        pending, begin = store.pending, 0
+        if pending:
+            self._learn(set(pending), rare)
+        for ids, end in zip(found, ends, strict=True):
+            at = -1
+            for key in pending[begin:end]:
+                at = ids.index(None, at + 1)
+                ids[at] = store[key]
+            begin = end
+            yield b"".join(ids)
+
+    def _whole(self, text: str, ids: bytes) -> bytes:
+        return ids if not text or text[0].isspace() else ids[len(self.line) :]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         for at in range(0, len(texts), 32):
             part = texts[at : at + 32]
-            if sum(map(len, part)) > 1 << 20:  # long texts alone, in parts that the store can hold
-                yield from map(self._long, part)
+            if sum(map(len, part)) > 1 << 20:  # long texts by parts that the store can hold
+                for text in part:
+                    keys = self._keys(text) if text else []
+                    parts = (keys[a : a + self.known // 4] for a in range(0, len(keys), self.known // 4))
+                    yield self._whole(text, b"".join(next(self._found([k], True)) for k in parts))
                 continue
-            keys = [self._keys(t) if t else [] for t in part]
-            self._know(set().union(*keys), any(map(_RARE.search, part)))
-            known = self.young.__getitem__
-            for text, ks in zip(part, keys, strict=True):
-                ids = b"".join(map(known, ks))
-                yield ids if not text or text[0].isspace() else ids[len(self.line) :]
-
-    def _long(self, text: str) -> bytes:
-        if not text:
-            return b""
-        keys, out = self._keys(text), []
-        for at in range(0, len(keys), self.known // 4):
-            part = keys[at : at + self.known // 4]
-            self._know(set(part), True)
-            out.extend(map(self.young.__getitem__, part))
-        ids = b"".join(out)
-        return ids if text[0].isspace() else ids[len(self.line) :]
+            lists = [self._keys(t) if t else [] for t in part]
+            yield from map(self._whole, part, self._found(lists, any(map(_RARE.search, part))))
 
 
 @cache
@@ -218,7 +236,7 @@ class _Files:
             self.records = self.tokens = self.size = 0
         record = frame(doc_id, ids)
         self.data.write(record)
-        self.index.write(_ENTRY.pack(self.size, len(record) - _LENGTH.size - _CHECK.size, len(ids)))
+        self.index.write(struct.pack(_ENTRY, self.size, len(record) - _LENGTH.size - _CHECK.size, len(ids)))
         self.records, self.tokens, self.size = self.records + 1, self.tokens + len(ids), self.size + len(record)
         if self.size >= self.limit:
             self.close()
@@ -305,9 +323,9 @@ def index(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, name, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    while part := stream.read(_ENTRY.size * 4096):
+                    while part := stream.read(_ENTRY_SIZE * 4096):
                         rows = []
-                        for offset, length, n in _ENTRY.iter_unpack(part):
+                        for offset, length, n in struct.iter_unpack(_ENTRY, part):
                             rows.append((file, offset, length, start, n))
                             start += n
                         yield _batch(rows, schema)
