@@ -109,20 +109,22 @@ def references(counted: DataFrame) -> DataFrame:
 
 
 def _distance(names: list[str]) -> Column:
-    """Jensen-Shannon distance of columns ``x`` and ``ref_x``; 0 where either is empty."""
-    own = [F.col(n).cast("double") for n in names]
-    ref = [F.col(f"ref_{n}").cast("double") for n in names]
-    n_own, n_ref = (reduce(lambda a, b: a + b, side) for side in (own, ref))
+    """Jensen-Shannon distance of columns ``x`` and ``ref_x``; 0 where either is empty.
+
+    The columns become two arrays: a sum over bins spelled out makes a method that is too
+    large to compile."""
+    own, ref = (F.array(*[F.col(f"{side}{n}").cast("double") for n in names]) for side in ("", "ref_"))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
 
     def term(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
-    parts = []
-    for a, b in zip(own, ref, strict=True):
-        p, q = a / n_own, b / n_ref
-        parts += [term(p, q), term(q, p)]
-    total = reduce(lambda a, b: a + b, parts) / 2
-    return F.when((n_own > 0) & (n_ref > 0), F.sqrt(F.greatest(total, F.lit(0.0)))).otherwise(0.0)
+    n_own, n_ref = total(own), total(ref)
+    shares = F.transform(own, lambda x: x / n_own), F.transform(ref, lambda x: x / n_ref)
+    divergence = total(F.zip_with(*shares, lambda p, q: term(p, q) + term(q, p))) / 2
+    return F.when((n_own > 0) & (n_ref > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(0.0)
 
 
 def compare(counted: DataFrame, refs: DataFrame) -> DataFrame:

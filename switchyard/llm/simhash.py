@@ -412,12 +412,21 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return own.join(named, equal).select("doc_id", "component_id")
 
 
-def one_per_group(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id, all columns unchanged.
-
-    Of repeated rows of an id one stays.  Rows without an id stay; none of them is
-    compared."""
-    kept = similar_groups(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+def one_per_group(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """Of each group of documents that ``near_groups`` links one row, all columns unchanged.
+
+    The smallest id stays; an id with several texts has a row for each of them to be
+    grouped, and of those in one group the text with the smallest SHA-256 stays.  Of rows
+    equal in id and text one stays.  Rows without an id stay; none of them is compared."""
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    row = F.struct(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
     known = docs.where("doc_id is not null")
-    chosen = known.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    own = materialise(fingerprints(known.select(row.alias("doc_id"), "text"), shingle), "fingerprints")
+    prints = materialise(own.select("fingerprint", F.col("fingerprint").alias("rep")).distinct(), "different")
+    found = components(fingerprint_links(prints, radius))
+    group = F.coalesce("component", "fingerprint")
+    first = own.join(found, own["fingerprint"] == found["id"], "left").groupBy(group.alias("_group")).agg(F.min("doc_id").alias("_row"))
+    kept = first.select(F.col("_row.id").alias("_kept_id"), F.col("_row.text").alias("_kept_text"))
+    same = (F.col("doc_id").cast("long") == F.col("_kept_id")) & (text == F.col("_kept_text"))
+    chosen = known.join(kept, same, "left_semi").withColumn("_kept_text", text).dropDuplicates(["doc_id", "_kept_text"]).drop("_kept_text")
     return chosen.union(docs.where("doc_id is null"))

@@ -34,6 +34,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Labelled rows used of each class (ordinary, toxic), and characters of each.
@@ -149,8 +150,8 @@ def measure(docs: DataFrame, dictionaries: Dictionaries, keep: list[str]) -> Dat
             columns = [pa.array(c, pa.float64()) for c in np.array(rows, np.float64).reshape(-1, len(FEATURES)).T]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, *FEATURES])
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(f, DoubleType()) for f in FEATURES])
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -132,20 +132,22 @@ def test_near_groups_of_odd_texts(odd, none):
     assert simhash.near_groups(none).count() == 0
 
 
-def test_similar_documents_leave_one(spark):
+def test_linked_documents_leave_one(spark):
     rng = random.Random(3)
     rows = []
     for i in range(0, 60, 3):
-        words = sentence(rng, 200).split()
-        changed = list(words)
-        for at in (20, 120):  # ten of about two hundred shingles
-            changed[at] = f"new{i}"
-        rows += [(i, " ".join(words), 1), (i + 1, " ".join(changed), 1), (i + 2, sentence(rng, 200), 1)]
-    rows += [(0, rows[0][1], 1), (None, "without id", 1)]
-    kept = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, component long"), 5).collect()
-    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept) == sorted(
-        [-1] + [i for i in range(60) if i % 3 != 1]
-    )
+        words = sentence(rng, 400).split()
+        rows += [(i, " ".join(words), 1), (i + 1, " ".join([*words[:200], f"new{i}", *words[200:]]), 1), (i + 2, sentence(rng, 200), 1)]
+    # A repeated row, an id with another text, a row without an id.
+    rows += [(0, rows[0][1], 1), (5, sentence(rng, 90), 1), (5, rows[0][1], 1), (None, rows[0][1], 1)]
+    kept = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, component long")).collect()
+    known = [(i, t) for i, t, _ in rows if i is not None]
+    prints = [shingle_print(t) for _, t in known]
+    groups = grouped(range(len(known)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    want = {min((known[m] for m in groups if groups[m] == g), key=lambda r: (r[0], hashlib.sha256(r[1].encode()).hexdigest())) for g in groups.values()}
+    assert len(want) < len(set(known)) - 10
+    assert sorted(tuple(r)[:2] for r in kept if r.doc_id is not None) == sorted(want)
+    assert [r.text for r in kept if r.doc_id is None] == [rows[0][1]]
 
 
 def shingles(text, width=5):

@@ -29,7 +29,7 @@ def test_stages(spark):
     verdicts = {r.doc_id: r.kept for r in divergence.assess(before).collect()}
     assert {r.doc_id for r in after.collect()} == {i for i, k in verdicts.items() if k}
     before, after = results["near_duplicates"]
-    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(before).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.near_groups(before, shingle=4, radius=4).collect()}
     assert {r.doc_id for r in after.collect()} == set(groups.values())
     before, after = results["repeated_passages"]
     assert after.count() == before.count() and after.where(F.length("text") != F.col("n_chars")).count() == 0
@@ -37,6 +37,19 @@ def test_stages(spark):
     assert sizes and all(r.n <= 2048 and r.n & (r.n - 1) == 0 for r in sizes)
 
 
+def test_stages_on_odd_and_no_rows(spark):
+    """Nulls, blanks, a repeated id with another text, names with spaces and clashing ones."""
+    words = " ".join(f"the word{i} of and to in a" for i in range(30)) + "."
+    rows = [(1, words, "en", "s", 0, 1), (1, "other " + words, None, "s", 0, 2), (None, words, "en", None, 0, 3), (2, None, "en", "s", None, 4)]
+    rows += [(3, "", "en", "s", 0, 5), (4, " \n ", "xx", "s", 0, 6), (5, words, "en", "s", 0, 7), (5, words, "en", "s", 0, 7)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `my col.x` int")
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = materialise(stage(spark, docs, SF_DIR), name)
+            assert out.schema.names == odd.schema.names and out.count() <= docs.count()
+        assert (corpus_pipeline.packed_sequences(spark, docs, SF_DIR).count() > 0) == (docs is odd)
+
+
 def test_one_query_per_operator():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
     assert set(ORACLES) <= set(QUERIES)
