@@ -34,8 +34,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.one_per_group(docs, shingle=5)
+    """One document of each group that the near-duplicate operator links: four-word shingles, four bits."""
+    return simhash.one_per_group(docs, shingle=4, radius=4)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
