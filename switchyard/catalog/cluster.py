@@ -10,6 +10,7 @@ from switchyard.catalog.registry import M, VIEWS, query, r9, sql
 from switchyard.config import RouterConfig
 from switchyard.functions import rows
 from switchyard.operators import clusters as C
+from switchyard.operators import dcf
 from switchyard.operators import profiles as P
 from switchyard.operators import text_features as TF
 from switchyard.session import materialise, scratch_path
@@ -66,6 +67,26 @@ def coarse_clusters(spark, sf_dir):
     return found.coarse_ids(stored).select("query_id", "coarse_id")
 
 
+@query("d01_assigned_is_nearest", sql("select query_id, true as is_nearest from f_queries", "f_queries"))
+def coarse_is_nearest(spark, sf_dir):
+    """No other centre has a smaller Jensen-Shannon divergence, worked out from its definition."""
+    found, stored = fitted(spark, sf_dir)
+    own = found.coarse_ids(stored).select("query_id", "coarse_id")
+    centres = found.centres.select(F.col("local").alias("centre"), F.explode(F.arrays_zip("terms", "p")).alias("t"))
+    centres = centres.select("centre", F.col("t.terms").alias("term"), F.col("t.p").alias("p"))
+    each = stored.select("query_id", (1.0 / F.size("features")).alias("x"), F.explode("features").alias("key", "value"))
+    met = each.select("query_id", "x", F.xxhash64("key", "value").alias("term")).join(centres, "term")
+    x, p, m = F.col("x"), F.col("p"), (F.col("x") + F.col("p")) / 2
+    # A feature of one side only adds half its share.
+    shared = met.withColumn("less", (x + p) / 2 - (x * F.log2(x / m) + p * F.log2(p / m)) / 2)
+    sums = shared.groupBy("query_id", "centre").agg((1 - F.sum("less")).alias("js"))
+    every = stored.select("query_id", F.explode(F.array(*[F.lit(r["local"]) for r in found.centres.select("local").collect()])).alias("centre"))
+    js = every.join(sums, ["query_id", "centre"], "left").withColumn("js", F.coalesce("js", F.lit(1.0)))
+    least = js.groupBy("query_id").agg(F.min("js").alias("least"))
+    mine = js.join(own, "query_id").where("centre = coarse_id").select("query_id", "js")
+    return mine.join(least, "query_id").select("query_id", (F.col("js") <= F.col("least") + 1e-8).alias("is_nearest"))
+
+
 @query("d02_bucket_sizes", sql("select coarse_id, count(*) as coarse_size from k_records group by coarse_id", "k_records"))
 def bucket_sizes(spark, sf_dir):
     return C.coarse_sizes(records(spark, sf_dir))
@@ -88,6 +109,12 @@ def bounded_sample(spark, sf_dir):
     return C.bounded_sample(C.unique_records(records(spark, sf_dir)), 20).select("coarse_id", "record_key", "n")
 
 
+VIEWS["k_unkeyed"] = (
+    ("t_features",),
+    "select query_id, string_agg(key || '=' || value, ',' order by key) as kind from t_features group by query_id",
+)
+
+
 @query(
     "d05_profile_weights",
     sql("select count(*) as n_records from f_queries", "f_queries"),
@@ -98,6 +125,49 @@ def profile_weights(spark, sf_dir):
     return found.weights.agg(F.sum("w").cast("bigint").alias("n_records"))
 
 
+@query("d05_summary_weights", sql("select coarse_id, count(*) as n_records from k_records group by coarse_id", "k_records"))
+def summary_weights(spark, sf_dir):
+    """Before the first merge every record is in one of at most 20 summaries of its bucket."""
+    given = records(spark, sf_dir)
+    kinds = given.groupBy(F.col("coarse_id").alias("bucket"), C.record_key(F.col("features")).alias("record_key")).agg(
+        F.count("*").alias("n"), F.first("features").alias("features")
+    )
+    kinds = kinds.withColumn("terms", dcf.terms_of(F.col("features")))
+    whole, _ = C.summarise(materialise(kinds, "records"), 20)
+    counted = whole.groupBy("coarse_id", "local").agg(F.sum("n").alias("w"))
+    few = counted.groupBy("coarse_id").agg(F.count("*").alias("summaries")).where("summaries > 20").count()
+    if few:
+        raise ValueError("a bucket has more summaries than it may")
+    return counted.groupBy("coarse_id").agg(F.sum("w").cast("bigint").alias("n_records"))
+
+
+def _single_bucket(spark, sf_dir, **settings):
+    stored = materialise(records(spark, sf_dir).select("query_id", "features"), "records")
+    return C.fit_clusters(stored, RouterConfig(coarse_clusters=1, cluster_fit_size=50, **settings), stored.count())
+
+
+@query(
+    "d05_one_cluster",
+    sql(
+        "select key, value, round(count(*) / (13.0e0 * (select count(*) from f_queries)), 9) as p from t_features group by 1, 2",
+        "t_features",
+    ),
+)
+def one_cluster(spark, sf_dir):
+    """Merged down to one cluster, the profile is that of all records."""
+    return _single_bucket(spark, sf_dir, num_clusters=1).feature_probs.select("key", "value", r9("p").alias("p"))
+
+
+@query(
+    "d05_every_kind_a_cluster",
+    sql("select n as w, count(*) as clusters from (select count(*) as n from k_unkeyed group by kind) u group by n", "k_unkeyed"),
+)
+def every_kind_a_cluster(spark, sf_dir):
+    """With as many clusters as different records each record has its own."""
+    found = _single_bucket(spark, sf_dir, num_clusters=1 << 30).weights
+    return found.groupBy(F.col("w").cast("bigint").alias("w")).agg(F.count("*").alias("clusters"))
+
+
 @query("d05_merged_clusters")
 def merged_clusters(spark, sf_dir):
     """(query_id, coarse_id, cluster_id) after merging and assignment."""

@@ -16,7 +16,9 @@ class RouterConfig:
     quality_threshold: float = 0.0
     cluster_tau: float | None = None
     coarse_clusters: int | None = None
-    cluster_fit_size: int = 2000
+    coarse_batch_size: int = 2048
+    coarse_max_iter: int = 200
+    cluster_fit_size: int = 2000  # summaries per bucket; every record is in one
     prob_temp: float = 1.0
     embedding_dim: int = 384
     hash_buckets: int = 128

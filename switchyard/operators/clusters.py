@@ -1,12 +1,15 @@
 """Two-stage clustering of categorical records.
 
-A coarse stage (k-means on one-hot vectors) cuts the table into buckets; inside
-each bucket an information-bottleneck clustering (Andritsos et al., EDBT 2004)
-merges the records whose union loses least information,
-``dI = (w1 + w2) * JS(p(V|c1), p(V|c2))``.  The order of merges is found on a bounded,
-seeded set of different records per bucket.  Every record then joins the cluster with
-the least loss, the profiles are counted anew from all records, and all rows are assigned
-by them, which is plain DataFrame work.
+A coarse stage (centres moved by mini-batches, nearest by divergence) cuts the table into
+buckets; inside each bucket an information-bottleneck clustering (Andritsos et al., EDBT
+2004) merges the records whose union loses least information,
+``dI = (w1 + w2) * JS(p(V|c1), p(V|c2))``.
+
+Every record counts before the first merge.  The heaviest and else seeded-random records of
+a bucket begin a bounded number of summaries; each other record joins the summary to which it
+loses least, and a summary is the weight and profile of all its records.  Their sums are
+merged, so a record is represented by its summary's share and never left out.  With as
+many summaries as different records the result is the plain agglomeration of all of them.
 """
 
 from __future__ import annotations
@@ -24,13 +27,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from switchyard.config import RouterConfig
-from switchyard.functions import rows
-from switchyard.operators import encode
+from switchyard.operators import dcf
 from switchyard.operators.ranking import top_k_salted
+from switchyard.operators.text_features import empty_map
 from switchyard.session import materialise
 
-COARSE_ITERATIONS = 200
-
 
 # --- input checks -----------------------------------------------------------------
 
@@ -66,31 +67,30 @@ def check_matching(records: DataFrame, quality: DataFrame, id_col: str = "query_
 # --- coarse stage -------------------------------------------------------------------
 
 
-def coarse_stages(vocab: DataFrame) -> list:
-    """Stages from ``terms`` to the unit vector ``onehot`` over the exact vocabulary."""
-    return encode.one_hot_stages(encode.vocabulary_terms(vocab))
-
+def different(df: DataFrame, features: str = "features", id_col: str = "query_id") -> DataFrame:
+    """(record_key, n, features, terms): each different record once.
 
-def with_vector(df: DataFrame, stages: list, features: str = "features") -> DataFrame:
-    """Add ``onehot`` from a feature map."""
-    out = df.withColumn("terms", encode.terms(F.col(features)))
-    for stage in stages:
-        out = stage.transform(out)
-    return out.drop("terms", "onehot_raw")
+    Only keys and ids are grouped; one row of each then gives the features."""
+    key = df.select(id_col, record_key(F.col(features)).alias("record_key"))
+    counted = key.groupBy("record_key").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias(id_col))
+    own = df.select(id_col, F.col(features).alias("features"), record_key(F.col(features)).alias("record_key"))
+    found = counted.join(own, [id_col, "record_key"])
+    # An id may have several rows of the same record.
+    return found.dropDuplicates(["record_key"]).select("record_key", "n", "features", dcf.terms_of(F.col("features")).alias("terms"))
 
 
-class OneBucket:
-    """The coarse stage for a single bucket, for which k-means has nothing to do."""
+def fit_coarse(records: DataFrame, k: int, config: RouterConfig) -> DataFrame:
+    """Stored centres (``dcf.PROFILES``, bucket 0) of (record_key, n, terms); k is clamped to the records."""
+    n = records.count()
+    centres = dcf.fit_centres(records, n, max(1, min(k, n)), config.seed, config.coarse_batch_size, config.coarse_max_iter)
+    return materialise(centres, "coarse-centres")
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("coarse_id", F.lit(0))
 
-
-def fit_coarse(vectors: DataFrame, k: int, seed: int = 42, column: str = "onehot") -> KMeansModel | OneBucket:
-    """Seeded k-means; k is clamped by the caller to the number of rows."""
-    if k <= 1:
-        return OneBucket()
-    return KMeans(featuresCol=column, predictionCol="coarse_id", k=k, seed=seed, maxIter=COARSE_ITERATIONS).fit(vectors)
+def coarse_nearest(records: DataFrame, centres: DataFrame) -> DataFrame:
+    """(record_key, terms) -> (record_key, coarse_id, divergence): the centre of least divergence."""
+    found = dcf.nearest(records.select(F.lit(0).alias("bucket"), "record_key", "terms"), centres)
+    # The loss of two sides of weight 1 is twice their divergence.
+    return found.select("record_key", F.col("local").alias("coarse_id"), (F.col("loss") / 2).alias("divergence"))
 
 
 def coarse_sizes(df: DataFrame) -> DataFrame:
@@ -103,7 +103,8 @@ def coarse_sizes(df: DataFrame) -> DataFrame:
 
 def record_key(features: Column) -> Column:
     """128-bit key of a record, independent of the order of its features."""
-    return F.md5(F.to_json(F.array_sort(F.map_entries(features))).cast("binary"))
+    entries = F.coalesce(F.map_entries(features), F.map_entries(empty_map()))
+    return F.md5(F.to_json(F.array_sort(entries)).cast("binary"))
 
 
 def unique_records(df: DataFrame, features: str = "features", id_col: str = "query_id") -> DataFrame:
@@ -143,85 +144,63 @@ def offsets(local_counts: DataFrame) -> DataFrame:
     )
 
 
-# --- merging ------------------------------------------------------------------------------
+# --- summaries and their merging ----------------------------------------------------------
 
 
-def _plogp(p: np.ndarray) -> np.ndarray:
-    return p * np.log2(np.maximum(p, 1e-300))
+def first_summaries(placed: DataFrame, count: int, seed: int = 42) -> DataFrame:
+    """(bucket, record_key, summary): the records that begin a bucket's summaries.
 
+    A seeded draw without replacement by weight, so a record that holds much of a bucket
+    begins one; all of them where a bucket has no more than ``count``."""
+    chance = (F.pmod(F.xxhash64(F.lit(seed), "record_key"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    order = [-F.ln(chance) / F.col("n"), F.col("record_key")]
+    drawn = top_k_salted(placed.select("bucket", "record_key", "n"), "bucket", order, count, F.col("record_key"))
+    number = F.row_number().over(W.partitionBy("bucket").orderBy("record_key")) - 1
+    return drawn.select("bucket", "record_key", number.alias("summary"))
 
-def _first_losses(w: np.ndarray, has: np.ndarray) -> np.ndarray:
-    """Loss of every first merge.
 
-    A record is uniform over its own features, so the loss of joining two
-    records depends on how many features each has and how many they share.
-    """
-    m = np.maximum(has.sum(axis=1), 1.0)
-    shared = has @ has.T
-    joint = w[:, None] + w[None, :]
-    mine = w[:, None] / (joint * m[:, None])
-    yours = mine.T
-    mixed = (
-        (m[:, None] - shared) * _plogp(mine) + (m[None, :] - shared) * _plogp(yours) + shared * _plogp(mine + yours)
+def summarise(placed: DataFrame, count: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(masses, members) of (bucket, record_key, n, features, terms): per summary its weight, and
+    per record its summary.
+
+    masses: (bucket, summary, key, value, m) and a row without key for the weight w;
+    the sums are made per task before anything is shuffled."""
+    begun = materialise(first_summaries(placed, count, seed), "summary-seeds")
+    seeds = placed.join(begun, ["bucket", "record_key"])
+    size = F.size("terms")
+    profiles = seeds.select(
+        "bucket",
+        F.col("summary").alias("local"),
+        F.col("n").cast("double").alias("w"),
+        "terms",
+        F.transform("terms", lambda t: 1.0 / size).alias("p"),
+    )
+    rest = placed.join(begun, ["bucket", "record_key"], "left_anti").select("bucket", "record_key", "terms")
+    joined = dcf.nearest(rest, profiles).select("bucket", "record_key", F.col("local").alias("summary"))
+    members = materialise(begun.union(joined.select("bucket", "record_key", "summary")), "summary-members")
+    whole = placed.join(members, ["bucket", "record_key"]).select(
+        F.col("bucket").alias("coarse_id"), F.col("summary").alias("local"), "n", "features"
     )
-    inner = w * np.log2(m)
-    return joint * -mixed - inner[:, None] - inner[None, :]
+    return whole, members
 
 
-def merge_records(weights: np.ndarray, has: np.ndarray, k: int, tau: float | None = None) -> np.ndarray:
-    """Cluster number per record after merging the cheapest pair again and again.
+def merge_summaries(probs: DataFrame, weights: DataFrame, k: int, tau: float | None = None) -> DataFrame:
+    """(bucket, summary, local) from the summaries' profiles.
 
-    ``has`` is the 0/1 matrix of records and features.  Stops at ``k``
-    clusters, or when the next merge would lose more than ``tau`` bits.
-    """
-    n = len(weights)
-    members = np.arange(n)
-    w = weights.astype(float) / weights.sum()
-    p = has / np.maximum(has.sum(axis=1, keepdims=True), 1.0)
-    inner = w * -_plogp(p).sum(axis=1)  # weighted entropy per cluster
-    loss = _first_losses(w, has)
-    np.fill_diagonal(loss, np.inf)
-    alive = np.arange(n)
-    while len(alive) > k:
-        block = loss[np.ix_(alive, alive)]
-        x, y = np.unravel_index(int(block.argmin()), block.shape)
-        if tau is not None and block[x, y] > tau:
-            break
-        i, j = sorted((int(alive[x]), int(alive[y])))
-        joint = w[i] + w[j]
-        p[i] = (w[i] * p[i] + w[j] * p[j]) / joint
-        w[i] = joint
-        inner[i] = joint * -_plogp(p[i]).sum()
-        members[members == j] = i
-        alive = alive[alive != j]
-        others = alive[alive != i]
-        both = w[i] + w[others]
-        mixed = (w[i] * p[i] + w[others, None] * p[others]) / both[:, None]
-        row = both * -_plogp(mixed).sum(axis=1) - inner[i] - inner[others]
-        loss[i, others] = row
-        loss[others, i] = row
-    return np.unique(members, return_inverse=True)[1]
-
-
-def merge_buckets(sample: DataFrame, k: int, tau: float | None = None) -> DataFrame:
-    """(coarse_id, record_key, local) from (coarse_id, record_key, n, terms).
-
-    The one step in Python: the merge order is sequential.  A group is bounded
-    by the sample cap, and buckets run in parallel.
-    """
+    The one sequential step: a group holds a bucket's summaries, whose number is bounded,
+    and buckets run in parallel."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("record_key", ignore_index=True)
-        vocabulary = {t: i for i, t in enumerate(sorted({t for ts in group["terms"] for t in ts}))}
-        has = np.zeros((len(group), max(1, len(vocabulary))))
-        for r, found in enumerate(group["terms"]):
-            has[r, [vocabulary[t] for t in found]] = 1.0
-        local = merge_records(group["n"].to_numpy(), has, k, tau)
-        return pd.DataFrame(
-            {"coarse_id": group["coarse_id"], "record_key": group["record_key"], "local": local.astype("int32")}
-        )
+        group = group.sort_values("local", ignore_index=True)
+        terms = np.unique(np.concatenate([np.asarray(t, np.int64) for t in group["terms"]]))
+        shares = np.zeros((len(group), max(1, len(terms))))
+        for row, (t, p) in enumerate(zip(group["terms"], group["p"], strict=True)):
+            # Sums differ in their last bits with the order of their parts.
+            shares[row, np.searchsorted(terms, np.asarray(t, np.int64))] = np.round(np.asarray(p, float), 13)
+        local = dcf.merge_profiles(group["w"].to_numpy(), shares, k, tau)
+        return pd.DataFrame({"bucket": group["bucket"], "summary": group["local"], "local": local.astype("int32")})
 
-    return sample.groupBy("coarse_id").applyInPandas(merge, "coarse_id int, record_key string, local int")
+    return dcf.pack(probs, weights).groupBy("bucket").applyInPandas(merge, "bucket int, summary int, local int")
 
 
 # --- assignment -----------------------------------------------------------------------------
@@ -248,25 +227,6 @@ def profile_table(records: DataFrame, features: str = "features") -> tuple[DataF
     return probs, weights
 
 
-def _feature_loss(own: Column, w: Column, p: Column) -> Column:
-    a, b = 1.0 / (1.0 + w), w / (1.0 + w)
-    mix = a * own + b * p
-    return (
-        F.when(own > 0, a * own * F.log2(own / mix)).otherwise(0.0)
-        + F.when(p > 0, b * p * F.log2(p / mix)).otherwise(0.0)
-        - b * F.log2(1.0 / b) * p
-    )
-
-
-def _total_loss(w: Column, features_part: Column) -> Column:
-    return (1.0 + w) * features_part + w * F.log2((1.0 + w) / w)
-
-
-def _pairs(df: DataFrame, features: str, id_col: str) -> DataFrame:
-    m = F.greatest(F.size(features), F.lit(1)).cast("double")
-    return df.select(id_col, "coarse_id", m.alias("m"), F.explode_outer(features).alias("key", "value"))
-
-
 def assign(
     df: DataFrame,
     feature_probs: DataFrame,
@@ -274,47 +234,16 @@ def assign(
     features: str = "features",
     id_col: str = "query_id",
 ) -> DataFrame:
-    """(id, coarse_id, local, loss): the cluster of its bucket that loses least
-    information, in records times bits, when the record joins it; local is null
-    in a bucket never seen.
-
-    With record weight 1 and cluster weight w the shares are a = 1/(1+w) and
-    b = w/(1+w).  A feature the record lacks adds b * p * log2(1/b), so only the
-    record's own features are needed: with S the sum of p over them,
-    JS = sum(a/m log2((1/m)/mix) + b p log2(p/mix)) + b log2(1/b) (1 - S).
-    """
-    own = 1.0 / F.col("m")
-    w = F.col("w")
-    zero = F.lit(0.0)
-    # A feature the cluster lacks costs the same whichever it is: each record starts from that
-    # cost for all its features, and shared features, found by an equi-join, correct it.
-    size = F.greatest(F.coalesce(F.size(features), F.lit(0)), F.lit(0))
-    start = df.select(id_col, "coarse_id", size.alias("size"), F.greatest(size, F.lit(1)).cast("double").alias("m"))
-    base = start.join(weights, "coarse_id").select(
-        id_col, "coarse_id", "local", "w", (F.col("size") * _feature_loss(own, w, zero)).alias("part")
-    )
-    shared = (
-        _pairs(df, features, id_col)
-        .join(feature_probs, ["coarse_id", "key", "value"])
-        .join(weights, ["coarse_id", "local"])
-        .select(
-            id_col,
-            "coarse_id",
-            "local",
-            "w",
-            (_feature_loss(own, w, F.col("p")) - _feature_loss(own, w, zero)).alias("part"),
-        )
-    )
-    summed = base.unionByName(shared).groupBy(id_col, "coarse_id", "local", "w").agg(F.sum("part").alias("s"))
-    found = (
-        summed.withColumn("loss", _total_loss(w, F.col("s")))
-        .groupBy(id_col, "coarse_id")
-        .agg(F.min(F.struct("loss", "local")).alias("best"))
-    )
-    seen = found.select(id_col, "best")
-    return df.select(id_col, "coarse_id").join(seen, id_col, "left").select(
-        id_col, "coarse_id", F.col("best.local").alias("local"), F.col("best.loss").alias("loss")
-    )
+    """(id, coarse_id, local, loss): the cluster of its bucket that loses least information, in
+    records times bits, when the record joins it; local is null in a bucket never seen.
+
+    Each different record is compared once, in a sparse product with its bucket's profiles;
+    rows then take their record's answer."""
+    rows = df.select(id_col, F.col("coarse_id").cast("int").alias("coarse_id"), record_key(F.col(features)).alias("record_key"), F.col(features).alias("_f"))
+    records = rows.groupBy("coarse_id", "record_key").agg(F.first(dcf.terms_of(F.col("_f"))).alias("terms"))
+    found = dcf.nearest(records.withColumnRenamed("coarse_id", "bucket"), dcf.pack(feature_probs, weights))
+    found = found.select(F.col("bucket").alias("coarse_id"), "record_key", "local", "loss")
+    return rows.drop("_f").join(found, ["coarse_id", "record_key"], "left").select(id_col, "coarse_id", "local", "loss")
 
 
 def check_seen(assigned: DataFrame) -> None:
@@ -332,63 +261,71 @@ class FittedClusters:
     """What assignment needs; all tables are stored in the shared folder."""
 
     k: int
-    stages: list
-    coarse: KMeansModel | OneBucket
+    centres: DataFrame
     feature_probs: DataFrame
     weights: DataFrame
     offsets: DataFrame
     info: DataFrame
 
+    def _records(self, df: DataFrame, features: str) -> tuple[DataFrame, DataFrame]:
+        """Keys of all rows, and the different records with their bucket."""
+        rows = df.withColumn("record_key", record_key(F.col(features)))
+        records = rows.groupBy("record_key").agg(F.first(dcf.terms_of(F.col(features))).alias("terms"))
+        return rows, dcf.nearest(records.withColumn("bucket", F.lit(0)), self.centres).select(
+            F.col("local").alias("bucket"), "record_key", "terms"
+        )
+
     def coarse_ids(self, df: DataFrame, features: str = "features") -> DataFrame:
-        vectors = with_vector(df, self.stages, features)
-        return self.coarse.transform(vectors).drop("onehot")
+        """Adds ``coarse_id``: the centre of least divergence."""
+        rows, records = self._records(df, features)
+        return rows.join(records.select("record_key", F.col("bucket").alias("coarse_id")), "record_key", "left").drop("record_key")
 
     def predict(self, df: DataFrame, features: str = "features", id_col: str = "query_id") -> DataFrame:
         """(id, coarse_id, local, cluster_id, loss)."""
-        placed = self.coarse_ids(df.select(id_col, features), features)
-        found = assign(placed, self.feature_probs, self.weights, features, id_col)
-        return found.join(self.offsets.select("coarse_id", "offset"), "coarse_id", "left").select(
-            id_col, "coarse_id", "local", (F.col("offset") + F.col("local")).cast("int").alias("cluster_id"), "loss"
+        rows, records = self._records(df.select(id_col, features), features)
+        found = dcf.nearest(records, dcf.pack(self.feature_probs, self.weights))
+        found = found.join(self.offsets.select(F.col("coarse_id").alias("bucket"), "offset"), "bucket", "left").select(
+            "record_key",
+            F.col("bucket").alias("coarse_id"),
+            "local",
+            (F.col("offset") + F.col("local")).cast("int").alias("cluster_id"),
+            "loss",
         )
+        return rows.select(id_col, "record_key").join(found, "record_key", "left").drop("record_key")
 
 
 def fit_clusters(
     df: DataFrame, config: RouterConfig, n_rows: int, features: str = "features", id_col: str = "query_id"
 ) -> FittedClusters:
     """Cluster (id, features); ``df`` should be stored, it is read several times."""
-    stages = coarse_stages(encode.fit_vocabulary(df, features))
-    vectors = with_vector(df.select(id_col, features), stages, features)
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    coarse = fit_coarse(vectors, config.coarse_count(n_rows), config.seed)
-    placed = coarse.transform(vectors).drop("onehot")
-
-    unique = materialise(unique_records(placed, features, id_col), "unique-records")
-    # Representatives carry the features of their record.
-    every = unique.withColumnRenamed("first_id", id_col).join(placed.select(id_col, features), id_col)
-    every = materialise(every, "records")
-    vectors.unpersist()
-
-    seeds = bounded_sample(unique, config.cluster_fit_size, config.seed).select("coarse_id", "record_key")
-    chosen = every.join(seeds, ["coarse_id", "record_key"]).withColumn("terms", encode.terms(F.col(features)))
-    chosen = materialise(chosen, "cluster-seeds")
-    merged = merge_buckets(
-        chosen.select("coarse_id", "record_key", "n", "terms"), max(1, config.num_clusters), config.cluster_tau
+    records = materialise(different(df, features, id_col), "records")
+    centres = fit_coarse(records, config.coarse_count(n_rows), config)
+    near = coarse_nearest(records, centres).select("record_key", F.col("coarse_id").alias("bucket"))
+    placed = materialise(records.join(near, "record_key"), "placed")
+
+    k = max(1, config.num_clusters)
+    whole, members = summarise(placed, max(k, config.cluster_fit_size), config.seed)
+    probs, weights = (materialise(t, "summaries") for t in profile_table(whole))
+    merged = materialise(merge_summaries(probs, weights, k, config.cluster_tau), "merged")
+    # Sums of summaries are sums of all their records.
+    part = merged.select(F.col("bucket").alias("coarse_id"), F.col("summary").alias("local"), F.col("local").alias("cluster"))
+    joined = weights.join(part, ["coarse_id", "local"])
+    cluster_weights = joined.groupBy("coarse_id", F.col("cluster").alias("local")).agg(F.sum("w").alias("w"))
+    mass = probs.join(joined, ["coarse_id", "local"]).groupBy("coarse_id", "key", "value", F.col("cluster").alias("local"))
+    mass = mass.agg(F.sum(F.col("p") * F.col("w")).alias("m"))
+    cluster_weights = materialise(cluster_weights, "cluster-weights")
+    cluster_probs = mass.join(cluster_weights, ["coarse_id", "local"]).select(
+        "coarse_id", "key", "value", "local", (F.col("m") / F.col("w")).alias("p")
     )
-    local = materialise(chosen.drop("terms").join(merged, ["coarse_id", "record_key"]), "cluster-local")
-    # Every record joins the nearest merged cluster, and the profiles count all of them.
-    probs, weights = (materialise(t, "seed-profiles") for t in profile_table(local, features))
-    joined = assign(every, probs, weights, features, id_col).select(id_col, "local")
-    full = materialise(every.join(joined, id_col), "cluster-records")
-    probs, weights = profile_table(full, features)
-    counts = local.groupBy("coarse_id").agg((F.max("local") + 1).alias("local_clusters"))
+    counts = cluster_weights.groupBy("coarse_id").agg((F.max("local") + 1).alias("local_clusters"))
+    unique = placed.select(F.col("bucket").alias("coarse_id"), "n")
     # A merge stopped early by tau may leave more clusters than asked for.
-    k = int(counts.agg(F.max("local_clusters")).first()[0])
+    most = int(counts.agg(F.max("local_clusters")).first()[0])
     return FittedClusters(
-        k=k,
-        stages=stages,
-        coarse=coarse,
-        feature_probs=materialise(probs, "cluster-probs"),
-        weights=materialise(weights, "cluster-weights"),
+        k=most,
+        centres=centres,
+        feature_probs=materialise(cluster_probs, "cluster-probs"),
+        weights=cluster_weights,
         offsets=materialise(offsets(counts), "cluster-offsets"),
         info=materialise(cluster_info(unique, counts), "cluster-info"),
     )

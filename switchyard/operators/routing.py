@@ -224,7 +224,7 @@ def fit_router(items: DataFrame, models: Models, config: RouterConfig, prepared:
     rows_in = S.cluster_labels(labelled, resolved, models).withColumn("target", F.array(*target))
 
     vocabulary = E.fit_vocabulary(labelled)
-    encoders = C.coarse_stages(vocabulary)
+    encoders = E.one_hot_stages(E.vocabulary_terms(vocabulary))
     width = len(encoders[0].vocabulary)
     dims = len(low)
     stages = [

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from switchyard.config import RouterConfig
 from switchyard.models import Models
 from switchyard.operators import clusters as C
+from switchyard.operators import dcf
 from switchyard.operators import profiles as P
 from switchyard.operators.ranking import dense_index, top_k_salted
 from switchyard.operators.split import exact_split, hash_split
+from switchyard.session import materialise
 
 MODELS = Models(("a", "b", "c"), (1.0, 4.0, 2.0))
 
@@ -43,23 +45,27 @@ def naive_merge(weights, has, k):
     return {frozenset(g) for g in groups}
 
 
+def shares(has):
+    return has / np.maximum(has.sum(axis=1, keepdims=True), 1)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_merging_follows_the_definition(seed):
     rng = np.random.default_rng(seed)
     has = (rng.random((14, 9)) < 0.45).astype(float)
     has[:, 0] = 1
     weights = rng.integers(1, 6, 14).astype(float)
-    labels = C.merge_records(weights, has, 4)
+    labels = dcf.merge_profiles(weights, shares(has), 4)
     got = {frozenset(np.flatnonzero(labels == c).tolist()) for c in set(labels)}
     assert got == naive_merge(weights, has, 4)
 
 
 def test_merging_limits():
     has = np.eye(6)
-    assert len(set(C.merge_records(np.ones(6), has, 10))) == 6
-    assert len(set(C.merge_records(np.ones(6), has, 1))) == 1
-    assert len(set(C.merge_records(np.ones(6), has, 1, tau=0.0))) == 6
-    assert list(C.merge_records(np.ones(1), np.ones((1, 1)), 3)) == [0]
+    assert len(set(dcf.merge_profiles(np.ones(6), has, 10))) == 6
+    assert len(set(dcf.merge_profiles(np.ones(6), has, 1))) == 1
+    assert len(set(dcf.merge_profiles(np.ones(6), has, 1, tau=0.0))) == 6
+    assert list(dcf.merge_profiles(np.ones(1), np.ones((1, 1)), 3)) == [0]
 
 
 @pytest.fixture(scope="module")
@@ -240,3 +246,98 @@ def test_profiles_count_every_record(records):
         fitted = C.fit_clusters(df, RouterConfig(num_clusters=2, coarse_clusters=buckets, cluster_fit_size=5), 120)
         assert fitted.weights.agg(F.sum("w")).first()[0] == 120
         assert fitted.predict(df).select("coarse_id").distinct().count() <= buckets
+
+
+def plain_js(x, y, a=0.5):
+    mix = {t: a * x.get(t, 0) + (1 - a) * y.get(t, 0) for t in x.keys() | y.keys()}
+    return sum(a * p * math.log2(p / mix[t]) for t, p in x.items()) + sum((1 - a) * p * math.log2(p / mix[t]) for t, p in y.items() if p)
+
+
+def test_losses_follow_the_definition():
+    """Records of different sizes, with unknown and no features, against profiles of many shapes."""
+    rng = np.random.default_rng(1)
+    profiles = []
+    for c in range(7):
+        terms = np.sort(rng.choice(40, rng.integers(1, 20), replace=False))
+        p = rng.random(len(terms))
+        profiles.append((c, float(rng.integers(1, 50)), terms.astype(np.int64), p / p.sum()))
+    found = dcf.Profiles(*(np.array(x) for x in list(zip(*profiles))[:2]), [p[2] for p in profiles], [p[3] for p in profiles])
+    lists = [np.sort(rng.choice(60, n, replace=False)) for n in (0, 1, 3, 10, 25)]
+    got = found.losses(np.concatenate(lists).astype(np.int64), np.array([len(x) for x in lists]))
+    for r, terms in enumerate(lists):
+        own = {t: 1 / len(terms) for t in terms}
+        for c, w, t, p in profiles:
+            other, a = dict(zip(t, p)), 1 / (1 + w)
+            want = (1 + w) * plain_js(own, other, a) if own else w * math.log2((1 + w) / w)
+            assert math.isclose(got[r, c], want, abs_tol=1e-9)
+
+
+def test_nearest_of_many_profiles_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(dcf, "PART_ROWS", 50)
+    monkeypatch.setattr(dcf, "_BLOCK", 64)
+    rng = random.Random(6)
+    data = [(str(i), 0 if i < 200 else i % 3, sorted(rng.sample(range(50), rng.randint(0, 9)))) for i in range(300)]
+    records = spark.createDataFrame(data, "record_key string, bucket int, terms array<long>")
+    sides = [(b, c, float(1 + c), t, [1 / len(t)] * len(t)) for b in (0, 1) for c in range(9) for t in [rng.sample(range(50), 8)]]
+    got = dcf.nearest(records, spark.createDataFrame(sides, dcf.PROFILES)).collect()
+    assert len(got) == 300 and all((r.local is None) == (r.bucket == 2) for r in got)
+    for r in got:
+        if r.bucket == 2:
+            continue
+        losses = {}
+        for b, c, w, t, p in sides:
+            if b == r.bucket:
+                own = {x: 1 / len(r.terms) for x in r.terms}
+                losses[c] = (1 + w) * plain_js(own, dict(zip(t, p)), 1 / (1 + w)) if own else w * math.log2((1 + w) / w)
+        assert math.isclose(r.loss, min(losses.values()), abs_tol=1e-9) and losses[r.local] < min(losses.values()) + 1e-9
+
+
+def test_assignment_shuffles_no_row_per_feature_and_cluster(records):
+    probs, weights = (materialise(t, "test") for t in C.profile_table(records.withColumn("n", F.lit(1))))
+    plan = C.assign(records.drop("local"), probs, weights)._jdf.queryExecution().optimizedPlan().toString()
+    # The profiles' copies are dealt out by a sequence; features are never exploded.
+    assert "explode(features" not in plan and plan.count("explode") == plan.count("explode(sequence")
+
+
+@pytest.mark.parametrize("size", [4, 1000])
+def test_every_record_is_in_a_summary(spark, size):
+    """A record that holds a third of the rows begins a summary; the fit ignores partitioning."""
+    rng = random.Random(8)
+    rows = [(i, {"a": "hot", "b": "hot"} if i % 3 == 0 else {"a": str(rng.randint(0, 30)), "b": str(rng.randint(0, 30))}) for i in range(600)]
+    df = spark.createDataFrame(rows, "query_id long, features map<string,string>")
+    placed = C.different(df).withColumn("bucket", F.lit(0)).persist()
+    whole, members = C.summarise(placed, size)
+    assert whole.agg(F.sum("n")).first()[0] == 600 and members.count() == placed.count()
+    assert members.select("summary").distinct().count() == min(size, placed.count())
+    hot = placed.where("n = 200").first().record_key
+    assert not C.first_summaries(placed, size).where(F.col("record_key") == hot).isEmpty()
+    config = RouterConfig(num_clusters=3, coarse_clusters=2, cluster_fit_size=size)
+    labels = [{r.query_id: r.cluster_id for r in C.fit_clusters(d, config, 600).predict(d).collect()} for d in (df, df.repartition(5))]
+    assert labels[0] == labels[1]
+
+
+def test_ends_of_merging_are_exact(spark, records):
+    df = records.select("query_id", "features")
+    kinds = {tuple(sorted(r.features.items())) for r in df.collect()}
+    whole = C.fit_clusters(df, RouterConfig(num_clusters=1, coarse_clusters=1, cluster_fit_size=7), 120)
+    counts = {(r.key, r.value): r.p for r in whole.feature_probs.collect()}
+    seen = [kv for r in df.collect() for kv in r.features.items()]
+    assert counts.keys() == set(seen) and all(math.isclose(p, seen.count(kv) / 600) for kv, p in counts.items())
+    each = C.fit_clusters(df, RouterConfig(num_clusters=500, coarse_clusters=1, cluster_fit_size=7), 120)
+    assert each.k == len(kinds) and each.weights.count() == len(kinds)
+
+
+def test_centres_find_separate_groups(spark):
+    """Mini-batches smaller than the table, few iterations; the same centres for the same seed."""
+    rows = [(i, {f"k{j}": str(i % 4) for j in range(6)} | {"own": str(i % 60)}) for i in range(400)]
+    df = spark.createDataFrame(rows, "query_id long, features map<string,string>")
+    records = C.different(df).persist()
+    for batch, turns in ((16, 200), (5, 2)):
+        config = RouterConfig(coarse_batch_size=batch, coarse_max_iter=turns)
+        centres = C.fit_coarse(records, 4, config)
+        again = C.fit_coarse(records.repartition(5), 4, config)
+        assert sorted(map(str, centres.collect())) == sorted(map(str, again.collect()))
+    centres = C.fit_coarse(records, 4, RouterConfig(coarse_batch_size=16))
+    found = C.FittedClusters(1, centres, None, None, None, None).coarse_ids(df).collect()
+    groups = {r.query_id % 4: r.coarse_id for r in found}
+    assert len(set(groups.values())) == 4 and all(r.coarse_id == groups[r.query_id % 4] for r in found)
