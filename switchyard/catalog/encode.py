@@ -46,10 +46,11 @@ def one_hot(spark, sf_dir):
 
 @query("c02_one_hot_joined", _ONE_HOT)
 def one_hot_joined(spark, sf_dir):
-    """The way taken for a vocabulary too large to copy."""
+    """The same as one sparse vector per document."""
     vocab = E.fit_vocabulary(_conversation_features(spark, sf_dir))
     documents = TF.extract(D.queries(spark, sf_dir), hash_flags=False, shapes=False)
-    return E.one_hot(documents, vocab).withColumn("value", r9("value"))
+    found = E.one_hot_vectors(documents, vocab).select("query_id", F.explode(F.arrays_zip("indices", "values")).alias("e"))
+    return found.select("query_id", F.col("e.indices").alias("idx"), r9("e.values").alias("value"))
 
 
 def _hash_embedding_sql(dim: int, source: str) -> str:

@@ -58,7 +58,7 @@ def stream_routing(spark, sf_dir):
     items(spark, sf_dir).select("query_id", "text", "features").write.json(inbox)
     stream = route_stream(read_queries(spark, inbox), trained(spark, sf_dir).router, out, log)
     stream.awaitTermination()
-    return spark.read.parquet(out).withColumn("probability", r9("probability"))
+    return spark.read.parquet(out).drop("batch").withColumn("probability", r9("probability"))
 
 
 @query("f05_train_and_evaluate")

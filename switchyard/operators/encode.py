@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
@@ -16,10 +15,6 @@ from pyspark.sql import functions as F
 from switchyard.functions.grams import gram_sums
 from switchyard.operators.ranking import dense_index
 
-# The largest vocabulary that a model may carry to every executor.
-VOCAB_LIMIT = 1 << 20
-# Separates key and value in a vocabulary term.
-TERM_SEPARATOR = "\x1f"
 # Different grams a task keeps the hashes of, and texts it sums at a time.
 GRAM_CACHE = 1 << 18
 EMBED_ROWS = 512
@@ -40,33 +35,6 @@ def fit_vocabulary(df: DataFrame, features: str = "features") -> DataFrame:
     return dense_index(pairs, ["key", "value"])
 
 
-def terms(features: Column) -> Column:
-    """A feature map as an array of key/value terms."""
-    return F.transform(F.map_entries(features), lambda e: F.concat(e["key"], F.lit(TERM_SEPARATOR), e["value"]))
-
-
-def vocabulary_terms(vocab: DataFrame) -> list[str]:
-    """The terms in index order, for models that carry them to the executors.
-
-    Raises beyond VOCAB_LIMIT: other vectors than the exact ones would be other answers."""
-    found = vocab.limit(VOCAB_LIMIT + 1).collect()
-    if len(found) > VOCAB_LIMIT:
-        raise ValueError(f"more than {VOCAB_LIMIT} different feature values; leave out features that name single queries")
-    found.sort(key=lambda r: r["idx"])
-    # No feature has this term: without known terms every vector is zero.
-    return [r["key"] + TERM_SEPARATOR + r["value"] for r in found] or [TERM_SEPARATOR * 2]
-
-
-def one_hot_stages(term_list: list[str], input_col: str = "terms", output_col: str = "onehot") -> list:
-    """ML stages: 0/1 vector of the known terms, then divided by its norm.
-
-    Unknown terms are ignored; a row without a known term stays zero.
-    """
-    counts = CountVectorizerModel.from_vocabulary(term_list, inputCol=input_col, outputCol=f"{output_col}_raw")
-    counts.setBinary(True)
-    return [counts, Normalizer(p=2.0, inputCol=f"{output_col}_raw", outputCol=output_col)]
-
-
 def one_hot(df: DataFrame, vocab: DataFrame, id_col: str = "query_id", features: str = "features") -> DataFrame:
     """(id, idx, value) with value 1/sqrt(known features), known features only.
 
@@ -80,6 +48,22 @@ def one_hot(df: DataFrame, vocab: DataFrame, id_col: str = "query_id", features:
     )
 
 
+def one_hot_vectors(df: DataFrame, vocab: DataFrame, id_col: str = "query_id", features: str = "features") -> DataFrame:
+    """(id, indices, values): the sparse unit vector of every row, indices ascending.
+
+    Put together from the joined index, for a vocabulary of any size: nothing of it is
+    collected or sent whole.  A row without a known feature has an empty vector."""
+    known = feature_pairs(df, id_col, features).join(vocab, ["key", "value"]).groupBy(id_col)
+    lists = known.agg(F.array_sort(F.collect_list("idx")).alias("indices"))
+    value = 1.0 / F.sqrt(F.size("indices").cast("double"))
+    found = df.select(id_col).join(lists, id_col, "left")
+    return found.select(
+        id_col,
+        F.coalesce("indices", F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.transform("indices", lambda _: value), F.array().cast("array<double>")).alias("values"),
+    )
+
+
 def hash_embedding_udf(dim: int):
     """text -> dense hash embedding, divided by its norm; no gram -> zeros.
 

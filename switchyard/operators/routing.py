@@ -3,65 +3,63 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeansModel
-from pyspark.ml.feature import ElementwiseProduct, MaxAbsScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.config import RouterConfig
 from switchyard.functions import rows
 from switchyard.models import Models
 from switchyard.operators import clusters as C
+from switchyard.operators import dcf
 from switchyard.operators import encode as E
 from switchyard.operators import profiles as P
+from switchyard.operators import softmax as X
 from switchyard.operators import targets as S
 from switchyard.operators import text_features as TF
 from switchyard.session import materialise
 
-WEIGHT_FLOOR = 1e-9
-
 
 @dataclass
 class Router:
-    """A fitted router.  ``stages`` turns terms and dense vector into model
-    probabilities; the tables describe the clusters it was trained with."""
+    """A fitted router: the weights of features as a table of any size, those of the embedding's
+    dimensions as a short list, and the tables that describe its clusters."""
 
     models: Models
     config: RouterConfig
-    stages: PipelineModel
+    coefficients: DataFrame
+    dense: list[list[float]]
     low: list[float]
     high: list[float]
     embed_model: KMeansModel | None
-    vocabulary: DataFrame
     cluster_probs: DataFrame
     cluster_info: DataFrame
 
     def route(self, df: DataFrame) -> DataFrame:
-        """Add probs, pred, model and prob to (query_id, text, features, ...).
-
-        Row-local up to the embedding function, so it serves batches and
-        streams alike.
-        """
+        """Add probs, pred, model and prob to (query_id, text, features, ...)."""
         return self.score(prepare(df, self.config))
 
     def score(self, prepared: DataFrame) -> DataFrame:
-        """The same from already derived features and embedding."""
+        """The same from already derived features and embedding, which are stored once, as
+        different feature maps are joined with the weights on their own."""
         scored = with_dense(prepared, self.low, self.high)
         if self.embed_model is not None:
             scored = with_embed_cluster(scored, self.embed_model, self.config.embed_k)
-        scored = scored.withColumn("terms", E.terms(F.col("features")))
-        scored = self.stages.transform(scored)
-        m = len(self.models)
-        probs = rows.entries("probs", m)
         kept = [c for c in prepared.columns if c not in ("embedding", "features")]
+        scored = scored.select(*kept, "features", "embedding", C.record_key(F.col("features")).alias("record_key"))
+        scored = materialise(scored, "scored")
+        m, scale = len(self.models), (self.config.beta, 1.0 - self.config.beta)
+        records = scored.select("record_key", "features").dropDuplicates(["record_key"])
+        summed = X.sparse_sums(records, self.coefficients, m)
+        joined = scored.join(summed, "record_key", "left")
+        probs = rows.entries("probs", m)
         return (
-            scored.withColumn("probs", vector_to_array("probability"))
+            joined.withColumn("probs", X.probabilities(F.col("embedding"), F.col("known"), F.col("sums"), self.dense, scale))
             .withColumn("pred", rows.argmax(probs))
             .select(
                 *kept,
@@ -74,12 +72,15 @@ class Router:
         )
 
     def save(self, path: str) -> None:
-        spark = self.vocabulary.sparkSession
-        self.stages.write().overwrite().save(f"{path}/stages")
+        """Store all parts below a version of their own; the manifest, written last, makes it the
+        one that counts.  Until then readers get the version before."""
+        spark = self.coefficients.sparkSession
+        version = f"{path}/versions/{uuid.uuid4().hex}"
         if self.embed_model is not None:
-            self.embed_model.write().overwrite().save(f"{path}/embed_clusters")
+            self.embed_model.write().save(f"{version}/embed_clusters")
         tables = {
-            "vocabulary": self.vocabulary,
+            "coefficients": self.coefficients,
+            "dense": spark.createDataFrame([(i, w) for i, w in enumerate(self.dense)], "dim int, w array<double>"),
             "cluster_probs": self.cluster_probs,
             "cluster_info": self.cluster_info,
             "models": self.models.frame(spark),
@@ -89,12 +90,21 @@ class Router:
             "config": spark.createDataFrame([(json.dumps(self.config.as_dict()),)], "config string"),
         }
         for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            table.write.parquet(f"{version}/{name}")
+        newest = max((r["number"] for r in manifests(spark, path)), default=0) + 1
+        entry = [(newest, version.rsplit("/", 1)[1])]
+        spark.createDataFrame(entry, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "Router":
+    def load(spark: SparkSession, path: str, number: int | None = None) -> "Router":
+        """The newest complete version, or the one with a number."""
+        found = [r for r in manifests(spark, path) if number is None or r["number"] == number]
+        if not found:
+            raise ValueError(f"no complete router below {path}")
+        version = f"{path}/versions/{max(found, key=lambda r: (r['number'], r['version']))['version']}"
+
         def read(name: str) -> DataFrame:
-            return spark.read.parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{version}/{name}")
 
         listed = sorted(read("models").collect(), key=lambda r: r["model_idx"])
         ranges = sorted(read("embedding_range").collect(), key=lambda r: r["dim"])
@@ -102,16 +112,29 @@ class Router:
         return Router(
             models=Models(tuple(r["model"] for r in listed), tuple(r["model_cost"] for r in listed)),
             config=config,
-            stages=PipelineModel.load(f"{path}/stages"),
+            coefficients=read("coefficients"),
+            dense=[list(r["w"]) for r in sorted(read("dense").collect(), key=lambda r: r["dim"])],
             low=[r["low"] for r in ranges],
             high=[r["high"] for r in ranges],
-            embed_model=KMeansModel.load(f"{path}/embed_clusters") if config.embed_k else None,
-            vocabulary=read("vocabulary"),
+            embed_model=KMeansModel.load(f"{version}/embed_clusters") if config.embed_k else None,
             cluster_probs=read("cluster_probs"),
             cluster_info=read("cluster_info"),
         )
 
 
+MANIFEST = "number long, version string"
+
+
+def manifests(spark: SparkSession, path: str) -> list[Row]:
+    """One row per complete version; a folder without a manifest has none."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def prepare(df: DataFrame, config: RouterConfig) -> DataFrame:
     """Replace ``text`` by the merged feature map and the text embedding.
 
@@ -143,36 +166,6 @@ def with_embed_cluster(df: DataFrame, model: KMeansModel, k: int) -> DataFrame:
     return found.withColumn("features", TF.attach_cluster(F.col("features"), k, label)).drop("v", "embed_cluster")
 
 
-def expand_soft_labels(df: DataFrame, m: int, target: str = "target") -> DataFrame:
-    """One weighted row per query and model.
-
-    Weighted cross-entropy over these rows is the KL divergence from the soft
-    target up to a constant.  The tiny floor keeps every model a known class,
-    also one that no target gives weight to.
-    """
-    long = df.select("vector", rows.long_rows({"weight": rows.entries(target, m)}, "class"))
-    return long.select(
-        "vector",
-        F.col("class").cast("double").alias("class"),
-        F.greatest(F.col("weight"), F.lit(WEIGHT_FLOOR)).alias("weight"),
-    )
-
-
-def fit_classifier(df: DataFrame, m: int, iterations: int):
-    """Multinomial logistic regression on (vector, target array)."""
-    estimator = LogisticRegression(
-        featuresCol="vector",
-        labelCol="class",
-        weightCol="weight",
-        predictionCol="_prediction",
-        rawPredictionCol="_raw",
-        probabilityCol="probability",
-        family="multinomial",
-        maxIter=iterations,
-    )
-    return estimator.fit(expand_soft_labels(df, m))
-
-
 def fit_router(items: DataFrame, models: Models, config: RouterConfig, prepared: DataFrame | None = None) -> Router:
     """Fit on (query_id, text, features, quality [, embedding]).
 
@@ -193,7 +186,7 @@ def fit_router(items: DataFrame, models: Models, config: RouterConfig, prepared:
     fitted = C.fit_clusters(base.select("query_id", "features"), config, n_rows)
     placed = fitted.predict(base.select("query_id", "features"))
     labelled = materialise(
-        base.select("query_id", "features", "dense", "quality").join(
+        base.select("query_id", "features", "embedding", "quality").join(
             placed.select("query_id", "coarse_id", "cluster_id"), "query_id"
         ),
         "clustered",
@@ -223,33 +216,21 @@ def fit_router(items: DataFrame, models: Models, config: RouterConfig, prepared:
     )
     rows_in = S.cluster_labels(labelled, resolved, models).withColumn("target", F.array(*target))
 
-    vocabulary = E.fit_vocabulary(labelled)
-    encoders = E.one_hot_stages(E.vocabulary_terms(vocabulary))
-    width = len(encoders[0].vocabulary)
+    training = rows_in.select(
+        "query_id", dcf.terms_of(F.col("features")).alias("terms"), F.col("embedding").alias("dense"), "target"
+    )
     dims = len(low)
-    stages = [
-        *encoders,
-        ElementwiseProduct(scalingVec=Vectors.dense([config.beta] * width), inputCol="onehot", outputCol="left"),
-        ElementwiseProduct(scalingVec=Vectors.dense([1.0 - config.beta] * dims), inputCol="dense", outputCol="right"),
-        VectorAssembler(inputCols=["left", "right"], outputCol="fused"),
-    ]
-    fused = rows_in.withColumn("terms", E.terms(F.col("features")))
-    for stage in stages:
-        fused = stage.transform(fused)
-    # Scaling and the classifier pass over the rows many times: store them.
-    fused = materialise(fused.select("fused", "target"), "training")
-    # Both blocks start at 0, so dividing by the largest value is the min-max
-    # scaling and keeps the one-hot block sparse.
-    scaler = MaxAbsScaler(inputCol="fused", outputCol="vector").fit(fused)
-    classifier = fit_classifier(scaler.transform(fused).select("vector", "target"), m, config.fit_iterations)
+    weights = X.fit(training, dims, m, config.fit_iterations, (config.beta, 1.0 - config.beta))
+    dense = sorted(weights.where(F.col("term").between(0, dims)).collect(), key=lambda r: r["term"])  # dims + 1 rows
+    pairs = labelled.select(F.explode_outer("features").alias("key", "value")).where("key is not null").distinct()
     return Router(
         models=models,
         config=config,
-        stages=PipelineModel([*stages, scaler, classifier]),
+        coefficients=materialise(X.feature_weights(pairs, weights), "coefficients"),
+        dense=[list(r["w"]) for r in dense],
         low=low,
         high=high,
         embed_model=embed_model,
-        vocabulary=vocabulary,
         cluster_probs=resolved,
         cluster_info=fitted.info,
     )

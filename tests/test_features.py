@@ -166,14 +166,17 @@ def test_one_hot_norm_and_unknown(spark):
     assert sorted((r.idx, round(r.value, 12)) for r in got) == [(i, 0.5) for i in range(4)]
 
 
-def test_vocabulary_bound(spark, monkeypatch):
-    """A model's vocabulary is exact or refused; the joined vectors have no bound."""
-    monkeypatch.setattr(E, "VOCAB_LIMIT", 2)
-    fit = spark.sql("select 1 as query_id, map('a','1','b','1','c','1','d','1') as features")
+def test_sparse_vectors_of_a_wide_vocabulary(spark):
+    """More values than any list on the driver should hold; equal to the joined one-hot rows."""
+    n = (1 << 20) + 1000
+    fit = spark.range(n).select(F.col("id").alias("query_id"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("features"))
     vocab = E.fit_vocabulary(fit)
-    with pytest.raises(ValueError):
-        E.vocabulary_terms(vocab)
-    assert E.one_hot(fit, vocab).count() == 4
+    new = spark.sql(
+        "select 1L as query_id, map('k', '1048999', 'other', 'x') as features union all select 2L, map('k', 'none') union all select 3L, null"
+    )
+    found = {r.query_id: (r.indices, r["values"]) for r in E.one_hot_vectors(new, vocab).collect()}
+    index = vocab.where("value = '1048999'").first().idx
+    assert found == {1: ([index], [1.0]), 2: ([], []), 3: ([], [])} and vocab.count() == n
 
 
 def test_constant_dimension(spark):

@@ -1,6 +1,7 @@
 """Sources, sinks and the whole fit on a handful of queries."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from switchyard.config import RouterConfig
 from switchyard.models import Models
 from switchyard.operators import split
-from switchyard.operators.routing import Router, fit_router
+from switchyard.operators.routing import Router, fit_router, manifests
 from switchyard.plans.grid import configs, grid_search
 from switchyard.plans.train import log_run, train_and_evaluate
 from switchyard.sources import benchmark as B
@@ -68,6 +69,30 @@ def test_save_and_load(spark, items, router, tmp_path):
     assert before == after
 
 
+def test_a_broken_save_leaves_the_version_before(spark, items, router, tmp_path, monkeypatch):
+    """Readers see a version when its manifest is there, not before; older ones stay."""
+    path = str(tmp_path / "router")
+    with pytest.raises(ValueError, match="no complete router"):
+        Router.load(spark, path)
+    router.save(path)
+    changed = replace(router, low=[x - 1 for x in router.low])
+
+    class Lost(Exception):
+        pass
+
+    def broken(self, spark):
+        raise Lost
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Models, "frame", broken)
+        with pytest.raises(Lost):
+            changed.save(path)
+    assert Router.load(spark, path).low == router.low
+    changed.save(path)
+    assert Router.load(spark, path).low == changed.low and Router.load(spark, path, 1).low == router.low
+    assert sorted(r["number"] for r in manifests(spark, path)) == [1, 2]
+
+
 def test_stream_answers_equal_batch(spark, items, router, tmp_path):
     inbox = str(tmp_path / "inbox")
     items.select("query_id", "text", "features").write.json(inbox)
