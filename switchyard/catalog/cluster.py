@@ -465,21 +465,31 @@ def separation(spark, sf_dir):
     return found.select(F.round("separation", 5).alias("separation"))
 
 
+@query(
+    "d21_details_add_up",
+    sql("select count(*) as n_records, true as entropies_fit, true as parents_fit from f_queries", "f_queries"),
+)
+def details_add_up(spark, sf_dir):
+    """Sizes sum to the records; a parent's clusters are no more than its different records; no
+    entropy is above that of as many equal features as the cluster can have."""
+    found, stored = fitted(spark, sf_dir)
+    placed = materialise(found.predict(stored).join(stored, "query_id"), "placed")
+    details, _ = P.cluster_details(placed, found.offsets, found.info)
+    values = placed.select("cluster_id", F.explode("features").alias("key", "value")).distinct().groupBy("cluster_id").count()
+    joined = details.join(values, "cluster_id")
+    return joined.agg(
+        F.sum("size").alias("n_records"),
+        F.min(F.col("entropy") <= F.log2("count") + 1e-9).alias("entropies_fit"),
+        F.min((F.col("local_clusters") <= F.col("unique_records")) & (F.col("size") <= F.col("coarse_size"))).alias("parents_fit"),
+    )
+
+
 @query("d21_cluster_details")
 def cluster_details(spark, sf_dir):
     """Size, entropy, separation of its bucket, parent and offset per cluster."""
     found, stored = fitted(spark, sf_dir)
     placed = materialise(found.predict(stored).join(stored, "query_id"), "placed")
-    profile = materialise(P.cluster_features(placed), "cluster-features")
-    parents = placed.groupBy("cluster_id").agg(F.first("coarse_id").alias("coarse_id"), F.count(F.lit(1)).alias("size"))
-    apart = P.separation(profile.join(parents.select("cluster_id", "coarse_id"), "cluster_id"), "coarse_id")
-    return (
-        parents.join(P.entropy(profile), "cluster_id")
-        .join(apart, "coarse_id")
-        .join(found.offsets.select("coarse_id", "offset"), "coarse_id")
-        .join(found.info, "coarse_id")
-        .select("cluster_id", "coarse_id", "offset", "size", "entropy", "separation", "coarse_size", "unique_records", "local_clusters")
-    )
+    return P.cluster_details(placed, found.offsets, found.info)[0]
 
 
 @query("a14_cluster_dump", _PROFILES)

@@ -317,14 +317,20 @@ def fitted_temperature(spark, sf_dir):
     return K.nll_by_temperature(given, MODELS, [1.0, fitted])
 
 
-@query("g23_temperature_is_least", "select true as is_least from (select count(*) from documents) d")
+@query(
+    "g23_temperature_is_least", "select true as is_inside, true as is_least from (select count(*) from documents) d"
+)
 def temperature_is_least(spark, sf_dir):
-    """No temperature around the fitted one has a lower NLL."""
+    """The fitted temperature lies inside the searched interval, and none around it, or at the
+    interval's ends, has a lower NLL."""
     given = D.observations(spark, sf_dir)
-    fitted = K.fit_temperature(given, MODELS)
-    around = K.nll_by_temperature(given, MODELS, [fitted, *(fitted * f for f in (0.5, 0.9, 0.99, 1.01, 1.1, 2.0))])
+    low, high = 0.01, 100.0
+    fitted = K.fit_temperature(given, MODELS, low=low, high=high)
+    near = [min(high, max(low, fitted * f)) for f in (0.5, 0.9, 0.99, 1.01, 1.1, 2.0)]
+    around = K.nll_by_temperature(given, MODELS, sorted({fitted, low, high, *near}))
     own = F.abs(F.col("temperature") - fitted) < 1e-12 * fitted
-    return around.agg((F.max(F.when(own, F.col("nll"))) <= F.min("nll")).alias("is_least"))
+    least = F.max(F.when(own, F.col("nll"))) <= F.min("nll") + 1e-12
+    return around.agg(F.lit(1.01 * low < fitted < 0.99 * high).alias("is_inside"), least.alias("is_least"))
 
 
 def _recalibrated(spark, sf_dir):

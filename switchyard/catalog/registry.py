@@ -32,7 +32,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "f_obs": (
         ("f_models", "f_queries"),
         "select q.query_id, m.model_idx, m.model, "
-        "case when (q.query_id*31 + m.model_idx*17 + q.n_chars) % 10 < m.skill then 1.0e0 else 0.0e0 end as quality, "
+        "case when ((ascii(substr(coalesce(q.lang, 'xx'), 2, 1)) + case when q.n_chars > 1024 then 4 else 0 end + 3*m.model_idx) "
+        "% 10 < m.skill) <> ((q.query_id*31 + m.model_idx*17) % 8 = 0) then 1.0e0 else 0.0e0 end as quality, "
         "m.price * (q.n_chars/1000.0e0) as cost, m.price from f_queries q cross join f_models m",
     ),
     "f_labels": (
@@ -42,11 +43,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "as rn from f_obs) t where rn = 1",
     ),
     "f_preds": (
-        ("f_models", "f_queries"),
+        ("f_obs", "f_queries"),
         "select query_id, model_idx, prob, row_number() over (partition by query_id order by prob desc, model_idx) as rk "
         "from (select query_id, model_idx, e / sum(e) over (partition by query_id) as prob from ("
-        "select q.query_id, m.model_idx, cast(1 + (q.query_id*13 + m.model_idx*29 + q.n_chars*7) % 100 as double) as e "
-        "from f_queries q cross join f_models m) a) b",
+        "select query_id, model_idx, 1 + (query_id*13 + model_idx*29 + n_chars*7) % 100 + 100 * quality as e "
+        "from f_obs join f_queries using (query_id)) a) b",
     ),
     "f_clusters": (
         ("f_queries",),

@@ -13,8 +13,9 @@ from switchyard.plans import grid as X
 from switchyard.plans.train import Trained, refit, train_and_evaluate
 from switchyard.session import scratch_path
 from switchyard.sources import benchmark as B
+from switchyard.sources import requests as R
 from switchyard.sources import runs
-from switchyard.streaming.route import answers, read_queries, route_stream
+from switchyard.streaming.route import answer_requests, answer_stream, answers, read_queries, request_stream, route_stream
 
 MODELS = D.MODELS
 CONFIG = RouterConfig(num_clusters=2, coarse_clusters=6, cluster_fit_size=300, embedding_dim=64, fit_iterations=30)
@@ -104,13 +105,48 @@ def grid_of_targets(spark, sf_dir):
     return target_grid(spark, sf_dir)
 
 
+_searched: dict[tuple[str, str], tuple] = {}
+
+
+def searched(spark, sf_dir):
+    """(path, clusterings): one grid search with stored results, best setting and refit router."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _searched:
+        wide, path, shared = D.wide(spark, sf_dir), scratch_path(spark, "search"), {}
+        grid = X.configs(CONFIG, lambdas=[0.5], thresholds=[0.4, 0.8], clusters=[2], fusion_betas=[None])
+        X.search_and_refit(B.to_items(wide), B.collect_models(wide), grid, path, "grid-1", shared=shared)
+        _searched[key] = path, len(shared)
+    return _searched[key]
+
+
 @query("f06_grid_search")
 def grid_search(spark, sf_dir):
-    """Two settings, each fitted and evaluated on the same stored features."""
-    wide = D.wide(spark, sf_dir)
-    grid = X.configs(CONFIG, lambdas=[0.5], thresholds=[0.4, 0.8], clusters=[2], fusion_betas=[None])
-    results, _ = X.grid_search(B.to_items(wide), B.collect_models(wide), grid)
-    return results
+    """Two settings, each fitted and evaluated on the same stored features and clusters; the stored results."""
+    path, _ = searched(spark, sf_dir)
+    return runs.read_table(spark, f"{path}/grid", "all_results", "grid-1", X.RESULTS)
+
+
+@query(
+    "f06_stored_search",
+    "select 2 as n_points, 1 as n_clusterings, true as best_is_first, true as all_answered from (select count(*) from documents) d",
+)
+def stored_search(spark, sf_dir):
+    """What a search leaves behind: every point, one clustering for all of them, a best point that no
+    other precedes, and a router fitted with it that answers every query."""
+    path, clusterings = searched(spark, sf_dir)
+    results = runs.read_table(spark, f"{path}/grid", "all_results", "grid-1", X.RESULTS)
+    chosen = runs.read_table(spark, f"{path}/grid", "best", "grid-1", X.RESULTS).first()  # one row
+    ahead = (F.col("avg_cost") < chosen["avg_cost"]) | ((F.col("avg_cost") == chosen["avg_cost"]) & (F.col("top1_acc") > chosen["top1_acc"]))
+    router = Router.load(spark, f"{path}/router")
+    fitted_so = router.config.quality_threshold == chosen["quality_threshold"]
+    given = items(spark, sf_dir)
+    answered = _answers(router.route(given)).where("model_name is not null").count() == given.count()
+    return results.agg(
+        F.count("*").alias("n_points"),
+        F.lit(clusterings).alias("n_clusterings"),
+        (~F.max(ahead) & F.lit(fitted_so)).alias("best_is_first"),
+        F.lit(answered).alias("all_answered"),
+    )
 
 
 @query(
@@ -207,3 +243,110 @@ def every_query_answered(spark, sf_dir):
     """A known model and a share that is the largest of as many as there are models."""
     fine = F.col("model_name").isin(list(MODELS.names)) & F.col("probability").between(1.0 / M - 1e-9, 1.0)
     return batch_routing(spark, sf_dir).select("query_id", fine.alias("is_answer"))
+
+
+@query(
+    "f05_beats_fixed",
+    "select true as beats_best_fixed, true as beats_each_share from (select count(*) from documents) d",
+)
+def beats_fixed(spark, sf_dir):
+    """On held-out rows the router names the label more often than any single model would, and its
+    mean divergence from the labels is below that of the label shares."""
+    found = trained(spark, sf_dir).predictions.where("label is not null")
+    hit = F.avg((F.col("pred") == F.col("label")).cast("double"))
+    nll = F.avg(-F.ln(F.get("probs", F.col("label"))))
+    shares = F.array(*[F.avg((F.col("label") == i).cast("double")) for i in range(M)])
+    seen = found.agg(hit.alias("hit"), nll.alias("nll"), shares.alias("shares"))
+    entropy = F.aggregate("shares", F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.ln(p)).otherwise(0.0))
+    return seen.select((F.col("hit") > F.array_max("shares")).alias("beats_best_fixed"), (F.col("nll") < entropy).alias("beats_each_share"))
+
+
+_RECOUNTED = ("avg_cost", "avg_quality", "oracle_quality", "top1_acc")
+
+
+@query(
+    "f05_metrics_recounted",
+    "select unnest(['avg_cost', 'avg_quality', 'oracle_quality', 'top1_acc']) as metric, true as same from (select count(*) from documents) d",
+)
+def metrics_recounted(spark, sf_dir):
+    """Metrics of the job beside a plain count over its stored predictions."""
+    job = trained(spark, sf_dir)
+    chosen = F.coalesce(F.get("cost", F.col("pred")), job.router.models.cost_of(F.col("pred")))
+    labelled = F.col("label").isNotNull()
+    counted = job.predictions.agg(
+        F.avg(chosen).alias("avg_cost"),
+        F.avg(F.get("quality", F.col("pred"))).alias("avg_quality"),
+        F.avg(F.array_max("quality")).alias("oracle_quality"),
+        F.avg(F.when(labelled, (F.col("pred") == F.col("label")).cast("double"))).alias("top1_acc"),
+    )
+    own = counted.unpivot([], list(_RECOUNTED), "metric", "counted")
+    told = job.metrics.select(*[F.col(c).cast("double").alias(c) for c in _RECOUNTED]).unpivot([], list(_RECOUNTED), "metric", "told")
+    return own.join(told, "metric").select("metric", (F.abs(F.col("counted") - F.col("told")) < 1e-9).alias("same"))
+
+
+def _requests(spark, sf_dir):
+    """A request per document, written as JSON lines: its lines are the items, and it allows some of the
+    models, in an order of its own, beside one that no router knows."""
+    path = scratch_path(spark, "requests")
+    own = D.observations(spark, sf_dir, prompt=True).select("query_id", "prompt", "lang")
+    turn = F.col("query_id") % M
+    names = F.array(*[F.lit(n) for n in MODELS.names])
+    order = F.transform(F.sequence(F.lit(0), F.lit(int(M - 1))), lambda i: ((i + turn) % M).cast("int"))
+    allowed = F.filter(order, lambda i: (F.col("query_id") + i) % 3 != 0)
+    allowed = F.when(F.col("query_id") % 10 == 9, F.array().cast("array<int>")).otherwise(allowed)
+    costs = F.array(*MODELS.cost_literals)
+    own.select(
+        F.col("query_id").alias("request_id"),
+        F.array(F.struct(F.col("prompt").alias("text"), F.create_map(F.lit("eval"), F.col("lang")).alias("features"))).alias("items"),
+        F.concat(F.array(F.lit("m-new")), F.transform(allowed, lambda i: F.get(names, i))).alias("model_names"),
+        F.concat(F.array(F.lit(0.5)), F.transform(allowed, lambda i: F.get(costs, i))).alias("model_costs"),
+    ).write.json(path)
+    return path
+
+
+VIEWS["x_allowed"] = (
+    ("f_preds", "f_models"),
+    "select p.query_id, m.model, p.prob, (p.model_idx - p.query_id % 5 + 5) % 5 as place from f_preds p join f_models m using (model_idx) "
+    "where (p.query_id + p.model_idx) % 3 <> 0 and p.query_id % 10 <> 9",
+)
+
+
+@query(
+    "a09_answers_of_own_models",
+    sql(
+        "select q.query_id as request_id, 0 as pos, coalesce(a.model, 'm-new') as model_name, a.probability from f_queries q left join ("
+        "select query_id, arg_min(model, (-prob, place)) as model, round(max(prob) / sum(prob), 9) as probability from x_allowed group by 1) a "
+        "using (query_id)",
+        "x_allowed",
+        "f_queries",
+    ),
+)
+def answers_of_own_models(spark, sf_dir):
+    """Requests read from JSON, each answered among its own models by given probabilities."""
+    asked = R.candidates(R.read_requests(spark, _requests(spark, sf_dir)))
+    given = D.observations(spark, sf_dir).select(F.col("query_id").alias("request_id"), "probs")
+    chosen = R.choose(asked.join(given, "request_id"), list(MODELS.names))
+    return chosen.select("request_id", "pos", "model_name", r9("probability").alias("probability"))
+
+
+@query(
+    "a09_stream_of_requests",
+    sql(
+        "select query_id as request_id, 0 as pos, true as same, query_id % 10 = 9 or not exists "
+        "(select 1 from x_allowed x where x.query_id = q.query_id) as is_unknown from f_queries q",
+        "x_allowed",
+        "f_queries",
+    ),
+)
+def stream_of_requests(spark, sf_dir):
+    """The fitted router answers arriving requests as it does a batch of them; where a request names
+    no model that it knows, without a probability."""
+    path, router = _requests(spark, sf_dir), trained(spark, sf_dir).router
+    out, log = scratch_path(spark, "request-answers"), scratch_path(spark, "request-log")
+    answer_stream(request_stream(spark, path), router, out, log).awaitTermination()
+    batch = answer_requests(R.read_requests(spark, path), router)
+    told = spark.read.parquet(out).select("request_id", "pos", F.col("model_name").alias("told"), F.col("probability").alias("p"))
+    both = batch.join(told, ["request_id", "pos"], "full")
+    near = F.col("probability").eqNullSafe(F.col("p")) | (F.abs(F.col("probability") - F.col("p")) < 1e-9)
+    same = F.coalesce((F.col("model_name") == F.col("told")) & near, F.lit(False))
+    return both.select("request_id", "pos", same.alias("same"), F.col("probability").isNull().alias("is_unknown"))

@@ -51,5 +51,19 @@ class RouterConfig:
         wanted = self.coarse_clusters or max(4 * k, k + 4)
         return max(1, min(wanted, n_rows))
 
+    @property
+    def clustering(self) -> tuple:
+        """The settings that decide the clusters; fits that agree in them can share one."""
+        return (
+            self.num_clusters,
+            self.coarse_clusters,
+            self.coarse_batch_size,
+            self.coarse_max_iter,
+            self.cluster_tau,
+            self.cluster_fit_size,
+            self.embed_k,
+            self.seed,
+        )
+
     def as_dict(self) -> dict[str, object]:
         return asdict(self)

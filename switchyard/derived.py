@@ -1,8 +1,8 @@
 """Router inputs derived from the test tables.
 
 The given tables hold no routing data, so quality, cost, labels and router
-probabilities are computed from each document's id and length by integer
-arithmetic.  All of it is row-local: one scan of ``documents``, no shuffle, and
+probabilities are computed from each document's language, length and id by integer
+arithmetic: language and length carry the signal, the id adds noise.  All of it is row-local: one scan of ``documents``, no shuffle, and
 queries that need no prompt never read the text column.
 """
 
@@ -55,13 +55,16 @@ def observations(spark: SparkSession, sf_dir: str, prompt: bool = False) -> Data
     The label is the best model by quality, then cost, then index, and is
     missing on every 11th query.
     """
+    # What a prompt shows, its language and length, decides which models answer well; one in eight differs.
+    need = "(ascii(substr(coalesce(lang, 'xx'), 2, 1)) + if(n_chars > 1024, 4, 0))"
     quality = [
-        f"if((query_id * 31 + {i * 17} + n_chars) % 10 < {skill}, 1.0D, 0.0D)" for i, (_, _, skill) in enumerate(SPEC)
+        f"if((({need} + {3 * i}) % 10 < {skill}) <> ((query_id * 31 + {i * 17}) % 8 = 0), 1.0D, 0.0D)"
+        for i, (_, _, skill) in enumerate(SPEC)
     ]
     cost = [f"{price}D * (n_chars / 1000.0D)" for _, price, _ in SPEC]
-    weight = [f"cast(1 + (query_id * 13 + {i * 29} + n_chars * 7) % 100 as double)" for i in range(M)]
+    weight = [f"1 + (query_id * 13 + {i * 29} + n_chars * 7) % 100 + 100 * quality[{i}]" for i in range(M)]
     ranked = ", ".join(f"struct(-quality[{i}] as q, cost[{i}] as c, {i} as idx)" for i in range(M))
-    total = " + ".join(f"weight[{i}]" for i in range(M))
+    total = "aggregate(weight, 0D, (a, x) -> a + x)"  # spelled out it would be repeated in every use
     columns = ["query_id", "eval_name", "lang", "n_chars"] + (["prompt"] if prompt else [])
     return (
         queries(spark, sf_dir)
@@ -69,13 +72,13 @@ def observations(spark: SparkSession, sf_dir: str, prompt: bool = False) -> Data
             *columns,
             f"array({', '.join(quality)}) as quality",
             f"array({', '.join(cost)}) as cost",
-            f"array({', '.join(weight)}) as weight",
         )
+        .selectExpr("*", f"array({', '.join(weight)}) as weight")
         .selectExpr(
             *columns,
             "quality",
             "cost",
-            f"array({', '.join(f'weight[{i}] / ({total})' for i in range(M))}) as probs",
+            f"transform(weight, w -> w / {total}) as probs",
             f"if(query_id % 11 != 0, array_min(array({ranked})).idx, null) as label",
         )
     )

@@ -86,9 +86,14 @@ def fit_coarse(records: DataFrame, k: int, config: RouterConfig) -> DataFrame:
     return materialise(centres, "coarse-centres")
 
 
+def _one_bucket() -> Column:
+    """0 for every record, as a computed value: a join on a literal would become a cross join."""
+    return F.pmod(F.xxhash64("record_key"), F.lit(1)).cast("int")
+
+
 def coarse_nearest(records: DataFrame, centres: DataFrame) -> DataFrame:
     """(record_key, terms) -> (record_key, coarse_id, divergence): the centre of least divergence."""
-    found = dcf.nearest(records.select(F.lit(0).alias("bucket"), "record_key", "terms"), centres)
+    found = dcf.nearest(records.select(_one_bucket().alias("bucket"), "record_key", "terms"), centres)
     # The loss of two sides of weight 1 is twice their divergence.
     return found.select("record_key", F.col("local").alias("coarse_id"), (F.col("loss") / 2).alias("divergence"))
 
@@ -271,7 +276,7 @@ class FittedClusters:
         """Keys of all rows, and the different records with their bucket."""
         rows = df.withColumn("record_key", record_key(F.col(features)))
         records = rows.groupBy("record_key").agg(F.first(dcf.terms_of(F.col(features))).alias("terms"))
-        return rows, dcf.nearest(records.withColumn("bucket", F.lit(0)), self.centres).select(
+        return rows, dcf.nearest(records.withColumn("bucket", _one_bucket()), self.centres).select(
             F.col("local").alias("bucket"), "record_key", "terms"
         )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from switchyard.functions import rows
 from switchyard.models import Models
 from switchyard.operators.targets import cheapest_passing
+from switchyard.session import materialise
 
 
 def sizes(labelled: DataFrame) -> DataFrame:
@@ -185,3 +186,21 @@ def separation(profile: DataFrame, parent: str | None = None) -> DataFrame:
     together = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("total", "inner", "whole")])
     value = F.greatest(F.lit(0.0), F.col("whole") - F.col("inner") / F.col("total"))
     return together.select(*keys, value.alias("separation"))
+
+
+def cluster_details(placed: DataFrame, offsets: DataFrame, info: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(details, top features) of clusters, from rows with coarse_id, cluster_id and features.
+
+    details: one row per cluster with its size, entropy, parent, offset and how far apart the
+    clusters of its parent are; top features: the ``k`` most frequent of each."""
+    profile = materialise(cluster_features(placed), "cluster-features")
+    parents = placed.groupBy("cluster_id").agg(F.min("coarse_id").alias("coarse_id"), F.count(F.lit(1)).alias("size"))
+    apart = separation(profile.join(parents.select("cluster_id", "coarse_id"), "cluster_id"), "coarse_id")
+    details = (
+        parents.join(entropy(profile).select("cluster_id", "entropy"), "cluster_id", "left")
+        .join(apart, "coarse_id", "left")
+        .join(offsets.select("coarse_id", "offset"), "coarse_id")
+        .join(info, "coarse_id")
+    )
+    columns = ["cluster_id", "coarse_id", "offset", "size", "entropy", "separation", "coarse_size", "unique_records", "local_clusters"]
+    return details.select(*columns), top_features(profile, k)

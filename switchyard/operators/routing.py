@@ -39,6 +39,8 @@ class Router:
     embed_model: KMeansModel | None
     cluster_probs: DataFrame
     cluster_info: DataFrame
+    cluster_details: DataFrame
+    top_features: DataFrame
 
     def route(self, df: DataFrame) -> DataFrame:
         """Add probs, pred, model and prob to (query_id, text, features, ...)."""
@@ -83,6 +85,8 @@ class Router:
             "dense": spark.createDataFrame([(i, w) for i, w in enumerate(self.dense)], "dim int, w array<double>"),
             "cluster_probs": self.cluster_probs,
             "cluster_info": self.cluster_info,
+            "cluster_details": self.cluster_details,
+            "top_features": self.top_features,
             "models": self.models.frame(spark),
             "embedding_range": spark.createDataFrame(
                 [(i, a, b) for i, (a, b) in enumerate(zip(self.low, self.high))], "dim int, low double, high double"
@@ -119,6 +123,8 @@ class Router:
             embed_model=KMeansModel.load(f"{version}/embed_clusters") if config.embed_k else None,
             cluster_probs=read("cluster_probs"),
             cluster_info=read("cluster_info"),
+            cluster_details=read("cluster_details"),
+            top_features=read("top_features"),
         )
 
 
@@ -166,31 +172,58 @@ def with_embed_cluster(df: DataFrame, model: KMeansModel, k: int) -> DataFrame:
     return found.withColumn("features", TF.attach_cluster(F.col("features"), k, label)).drop("v", "embed_cluster")
 
 
-def fit_router(items: DataFrame, models: Models, config: RouterConfig, prepared: DataFrame | None = None) -> Router:
-    """Fit on (query_id, text, features, quality [, embedding]).
+@dataclass
+class Clustered:
+    """Training rows with their clusters: what fits that differ in targets only can share."""
 
-    ``prepared`` may hand in stored output of ``prepare`` to be shared by
-    several fits.
-    """
-    n_rows = C.check_inputs(items if prepared is None else prepared, len(models))
-    m = len(models)
-    if prepared is None:
-        prepared = materialise(prepare(items, config).select("query_id", "features", "embedding", "quality"), "prepared")
+    rows: DataFrame  # query_id, features, embedding, quality, coarse_id, cluster_id
+    low: list[float]
+    high: list[float]
+    embed_model: KMeansModel | None
+    info: DataFrame
+    details: DataFrame
+    top_features: DataFrame
+
+
+def cluster_training(prepared: DataFrame, models: Models, config: RouterConfig) -> Clustered:
+    """Scale the embeddings of stored ``prepared`` rows, cluster their features, describe the clusters."""
+    n_rows = C.check_inputs(prepared, len(models))
     low, high = E.min_max(prepared, "embedding")
     base = with_dense(prepared.select("query_id", "features", "embedding", "quality"), low, high)
     embed_model = None
     if config.embed_k is not None:
         embed_model = C.fit_embedding_clusters(base, config.embed_k, config.seed)
         base = with_embed_cluster(base, embed_model, config.embed_k)
-
     fitted = C.fit_clusters(base.select("query_id", "features"), config, n_rows)
     placed = fitted.predict(base.select("query_id", "features"))
-    labelled = materialise(
-        base.select("query_id", "features", "embedding", "quality").join(
-            placed.select("query_id", "coarse_id", "cluster_id"), "query_id"
-        ),
-        "clustered",
+    rows_in = base.select("query_id", "features", "embedding", "quality")
+    labelled = materialise(rows_in.join(placed.select("query_id", "coarse_id", "cluster_id"), "query_id"), "clustered")
+    details, top = P.cluster_details(labelled, fitted.offsets, fitted.info)
+    return Clustered(
+        labelled, low, high, embed_model, fitted.info, materialise(details, "cluster-details"), materialise(top, "top-features")
     )
+
+
+def fit_router(
+    items: DataFrame,
+    models: Models,
+    config: RouterConfig,
+    prepared: DataFrame | None = None,
+    shared: dict[tuple, Clustered] | None = None,
+) -> Router:
+    """Fit on (query_id, text, features, quality [, embedding]).
+
+    ``prepared`` may hand in stored output of ``prepare`` to be shared by several fits.  So may
+    ``shared``, a dictionary that belongs to these rows: fits that agree in the settings of
+    the clustering use one of them."""
+    m = len(models)
+    if prepared is None:
+        prepared = materialise(prepare(items, config).select("query_id", "features", "embedding", "quality"), "prepared")
+    shared = {} if shared is None else shared
+    if config.clustering not in shared:
+        shared[config.clustering] = cluster_training(prepared, models, config)
+    clustered = shared[config.clustering]
+    labelled, low, high = clustered.rows, clustered.low, clustered.high
     resolved = materialise(
         P.resolve_probs(
             P.mean_quality(labelled, models),
@@ -230,7 +263,9 @@ def fit_router(items: DataFrame, models: Models, config: RouterConfig, prepared:
         dense=[list(r["w"]) for r in dense],
         low=low,
         high=high,
-        embed_model=embed_model,
+        embed_model=clustered.embed_model,
         cluster_probs=resolved,
-        cluster_info=fitted.info,
+        cluster_info=clustered.info,
+        cluster_details=clustered.details,
+        top_features=clustered.top_features,
     )

@@ -41,18 +41,20 @@ def train_and_evaluate(
     val_ratio: float = 0.2,
     prepared: DataFrame | None = None,
     full_report: bool = True,
+    shared: dict | None = None,
 ) -> Trained:
     """Fit on the training part, evaluate on the rest.
 
     ``items``: (query_id, text, features, label, quality, costs).  A stored
-    ``prepared`` table can be shared by the jobs of a grid.
+    ``prepared`` table and a dictionary ``shared`` of clusterings can be shared by the
+    jobs of a grid.
     """
     if prepared is None:
         prepared = prepare_items(items, config)
     split = exact_split(prepared, "query_id", val_ratio, config.seed)
     train = split.where(F.col("split") == "train").drop("split")
     validation = split.where(F.col("split") == "validation").drop("split")
-    router = fit_router(items, models, config, prepared=train)
+    router = fit_router(items, models, config, prepared=train, shared=shared)
     predictions = materialise(router.score(validation.withColumnRenamed("costs", "cost")), "predictions")
     return Trained(
         router=router,
@@ -72,7 +74,13 @@ def log_run(trained: Trained, path: str, run_id: str) -> None:
     runs.log_metrics(rows, f"{path}/metrics")
     runs.write_tables(trained.tables, f"{path}/report", run_id)
     runs.write_tables(
-        {"summary": P.summary(router.cluster_probs), "profiles": router.cluster_probs, "info": router.cluster_info},
+        {
+            "summary": P.summary(router.cluster_probs),
+            "profiles": router.cluster_probs,
+            "info": router.cluster_info,
+            "details": router.cluster_details,
+            "top_features": router.top_features,
+        },
         f"{path}/clusters",
         run_id,
     )

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from switchyard.config import RouterConfig
 from switchyard.models import Models
-from switchyard.operators import split
+from switchyard.operators import routing, split
 from switchyard.operators.routing import Router, fit_router, manifests
-from switchyard.plans.grid import configs, grid_search
+from switchyard.plans.grid import RESULTS, configs, grid_search, search_and_refit
 from switchyard.plans.train import log_run, train_and_evaluate
 from switchyard.sources import benchmark as B
 from switchyard.sources import requests as R
@@ -178,6 +178,8 @@ def test_train_evaluate_and_log(spark, wide, tmp_path):
     assert [(r.metric, r.text) for r in missing] == [("error", "not_found")]
     schema = trained.tables["frontier_points"].schema
     assert runs.read_table(spark, f"{path}/report", "frontier_points", "run-1", schema).count() == 51
+    details = runs.read_table(spark, f"{path}/clusters", "details", "run-1", trained.router.cluster_details.schema)
+    assert details.agg(F.sum("size")).first()[0] == 45
 
 
 def test_grid_search(spark, wide):
@@ -188,6 +190,42 @@ def test_grid_search(spark, wide):
     assert [r.avg_cost for r in found] == sorted(r.avg_cost for r in found)
 
 
+def test_search_shares_clusters_and_stores_what_it_finds(spark, wide, tmp_path, monkeypatch):
+    """Nine points of one clustering; the same results one at a time; best and router stored."""
+    base = RouterConfig(num_clusters=2, coarse_clusters=2, embedding_dim=8, fit_iterations=3, use_query_features=False)
+    grid = configs(base, [0.2, 0.5, 0.8], [0.4, 0.6, 0.8], clusters=[2])
+    made = []
+    whole = routing.cluster_training
+    monkeypatch.setattr(routing, "cluster_training", lambda *a: made.append(1) or whole(*a))
+    items, models, path = B.to_items(wide), B.collect_models(wide), str(tmp_path / "search")
+    results, chosen = search_and_refit(items, models, grid, path, "g")
+    assert len(made) == 2 and results.count() == 9  # one for the search, one for the refit on all rows
+    alone, _ = grid_search(items, models, grid[:3], parallel=1)
+    together = {r.config: (r.avg_cost, r.top1_acc) for r in results.collect()}
+    assert all(together[r.config] == (r.avg_cost, r.top1_acc) for r in alone.collect())
+    stored = runs.read_table(spark, f"{path}/grid", "best", "g", RESULTS).first()
+    assert grid[stored["config"]] == chosen == Router.load(spark, f"{path}/router").config
+
+
+def test_choose_among_own_models(spark):
+    rows = [
+        (1, ["b", "c"], [1.0, 2.0]),
+        (2, ["c", "new", "a"], [1.0, 0.1, 3.0]),
+        (3, ["new", "newer"], [2.0, 1.0]),
+        (4, ["new", "newer"], None),
+        (5, [], []),
+        (6, None, None),
+        (7, ["d", "e"], [1.0, 1.0]),
+        (8, ["z"], [None]),
+    ]
+    df = spark.createDataFrame(rows, "request_id int, model_names array<string>, model_costs array<double>")
+    probs = df.withColumn("probs", F.array(*[F.lit(p) for p in (0.1, 0.2, 0.3, 0.2, 0.2)]))
+    got = {r.request_id: (r.model_name, r.probability and round(r.probability, 9)) for r in R.choose(probs, list("abcde")).collect()}
+    assert got == {
+        1: ("c", 0.6), 2: ("c", 0.75), 3: ("newer", None), 4: ("new", None), 5: (None, None), 6: (None, None), 7: ("d", 0.5), 8: ("z", None),
+    }
+
+
 def test_metric_rows_csv(spark, tmp_path):
     row = spark.sql("select 1.5d as avg_cost, 'a' as best_name")
     runs.log_metrics(runs.metric_rows(row, "r"), str(tmp_path / "m"), "csv")
