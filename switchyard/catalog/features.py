@@ -11,6 +11,7 @@ from switchyard.catalog.registry import VIEWS, query, r9, sql
 from switchyard.functions import text as T
 from switchyard.operators import annotated as A
 from switchyard.operators import encode as E
+from switchyard.operators import tagger as G
 from switchyard.operators import text_features as TF
 from switchyard.operators.clusters import nearest_centre
 
@@ -241,6 +242,78 @@ def feature_map(spark, sf_dir):
     return E.feature_pairs(TF.extract(D.queries(spark, sf_dir)))
 
 
+VIEWS["t_annotations"] = (
+    ("f_queries", "t_tags"),
+    "select query_id, 'pos_top' || rk as key, tag as value from (select *, row_number() over (partition by query_id "
+    "order by n desc, first_pos) as rk from (select query_id, tag, count(*) as n, min(pos) as first_pos from t_tags "
+    "group by query_id, tag) a) b where rk <= 3 union all "
+    "select q.query_id, 'has_ent_' || coalesce(e.label, 'NONE'), '1' from f_queries q left join ("
+    "select distinct query_id, case tag when 'PROPN' then 'NAME' else 'QUANTITY' end as label from t_tags "
+    "where tag in ('PROPN', 'NUM')) e using (query_id)",
+)
+
+
+@query(
+    "b20_annotated_feature_map",
+    sql(
+        "select * from t_features union all select * from t_shapes union all select * from t_annotations",
+        "t_features",
+        "t_shapes",
+        "t_annotations",
+    ),
+)
+def annotated_feature_map(spark, sf_dir):
+    """Tags and entities in the same map as the features of the text."""
+    queries = D.queries(spark, sf_dir)
+    maps = A.annotation_map(queries, D.annotated_tokens(spark, sf_dir), D.annotated_entities(spark, sf_dir))
+    return E.feature_pairs(TF.with_annotations(TF.extract(queries, hash_flags=False), maps))
+
+
+def _tagged(spark, sf_dir, entities=False):
+    """Tags of the held-out texts (id divisible by 5) by what the others teach: (query_id, pos, tag)."""
+    words = D.queries(spark, sf_dir).where("query_id % 5 = 0").select("query_id", F.split("prompt", " ").alias("words"))
+    tagger = G.fit(D.annotated_words(spark, sf_dir, entities).where("query_id % 5 <> 0"))
+    return G.token_rows(tagger.tag(words))
+
+
+VIEWS["t_context_tags"] = (
+    ("t_tags",),
+    "select query_id, pos, case when tag = 'NOUN' and lag(tag) over (partition by query_id order by pos) = 'PART' "
+    "then 'OBJ' else tag end as tag from t_tags",
+)
+
+
+@query(
+    "b14_tagger_held_out",
+    sql("select tag, count(*) as n, true as accurate from t_context_tags where query_id % 5 = 0 group by tag", "t_context_tags"),
+)
+def tagger_held_out(spark, sf_dir):
+    """Words of each true tag in held-out texts; ``accurate``: nine in ten are tagged so."""
+    true = D.annotated_words(spark, sf_dir).where("query_id % 5 = 0").select("query_id", "pos", F.col("tag").alias("true_tag"))
+    both = true.join(_tagged(spark, sf_dir), ["query_id", "pos"], "full")
+    right = F.avg(F.when(F.col("tag") == F.col("true_tag"), 1.0).otherwise(0.0))
+    return both.groupBy(F.col("true_tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"), (right >= 0.9).alias("accurate"))
+
+
+@query(
+    "b15_tagger_held_out",
+    sql(
+        "select label, count(*) as n, true as accurate from (select query_id, tag, "
+        "case tag when 'PROPN' then 'NAME' else 'QUANTITY' end as label, lag(tag) over (partition by query_id order by pos) "
+        "as before from t_tags) a where query_id % 5 = 0 and tag in ('PROPN', 'NUM') and tag is distinct from before group by label",
+        "t_tags",
+    ),
+)
+def entity_held_out(spark, sf_dir):
+    """Entities of held-out texts by label; ``accurate``: the number found is within a twentieth of that."""
+    true = G.entity_rows(D.annotated_words(spark, sf_dir, True).where("query_id % 5 = 0").drop("word"))
+    found = G.entity_rows(_tagged(spark, sf_dir, True))
+    n = true.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    joined = n.join(found.groupBy("label").agg(F.count(F.lit(1)).alias("found")), "label", "left")
+    close = F.abs(F.coalesce("found", F.lit(0)) - F.col("n")) <= F.greatest(F.lit(1.0), F.col("n") / 20)
+    return joined.select("label", "n", close.alias("accurate"))
+
+
 @query(
     "b21_merged_features",
     sql(

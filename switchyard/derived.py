@@ -8,7 +8,7 @@ queries that need no prompt never read the text column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.functions import rows
@@ -155,3 +155,33 @@ def annotated_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(tag.isin("PROPN", "NUM"))
         .select("query_id", F.when(tag == "PROPN", "NAME").otherwise("QUANTITY").alias("label"))
     )
+
+
+def annotated_words(spark: SparkSession, sf_dir: str, entities: bool = False) -> DataFrame:
+    """(query_id, pos, word, tag): words with tags that depend on the word before as well.
+
+    The rule tags, where a NOUN behind a PART is an OBJ; with ``entities`` B-NAME / I-NAME for
+    runs of capitalised words, B-QUANTITY / I-QUANTITY for runs of numbers, and O."""
+
+    def rule(token: Column) -> Column:
+        return (
+            F.when(token.rlike("^[0-9]+$"), "NUM")
+            .when(token.rlike(r"^\p{Lu}"), "PROPN")
+            .when(F.char_length(token) <= 2, "PART")
+            .otherwise("NOUN")
+        )
+
+    def kind(token: Column) -> Column:
+        return F.when(token.rlike("^[0-9]+$"), "QUANTITY").when(token.rlike(r"^\p{Lu}"), "NAME")
+
+    def tag(token: Column, before: Column) -> Column:
+        if entities:
+            own = kind(token)
+            begins = F.when(own == F.coalesce(kind(before), F.lit("")), "I-").otherwise("B-")
+            return F.coalesce(F.concat(begins, own), F.lit("O"))
+        own = rule(token)
+        return F.when((own == "NOUN") & (rule(F.coalesce(before, F.lit("Start"))) == "PART"), "OBJ").otherwise(own)
+
+    words = queries(spark, sf_dir).select("query_id", F.split("prompt", " ").alias("words"))
+    tagged = F.transform("words", lambda w, i: F.struct(w.alias("word"), tag(w, F.get("words", i - 1)).alias("tag")))
+    return words.select("query_id", F.posexplode(tagged).alias("pos", "t")).select("query_id", "pos", "t.word", "t.tag")

@@ -46,3 +46,8 @@ def as_map(long: DataFrame, id_col: str = "query_id", name: str = "features") ->
     """(id, key, value) rows -> (id, map), keys in sorted order."""
     pairs = F.array_sort(F.collect_list(F.struct("key", "value")))
     return long.groupBy(id_col).agg(F.map_from_entries(pairs).alias(name))
+
+
+def annotation_map(queries: DataFrame, tokens: DataFrame, entities: DataFrame, id_col: str = "query_id") -> DataFrame:
+    """(id, annotations): the tag and entity features of every query as one map."""
+    return as_map(pos_top(tokens, id_col).unionByName(entity_flags(queries, entities, id_col)), id_col, "annotations")

@@ -42,9 +42,9 @@ class Router:
     cluster_details: DataFrame
     top_features: DataFrame
 
-    def route(self, df: DataFrame) -> DataFrame:
+    def route(self, df: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
         """Add probs, pred, model and prob to (query_id, text, features, ...)."""
-        return self.score(prepare(df, self.config))
+        return self.score(prepare(df, self.config, annotations))
 
     def score(self, prepared: DataFrame) -> DataFrame:
         """The same from already derived features and embedding, which are stored once, as
@@ -141,11 +141,17 @@ def manifests(spark: SparkSession, path: str) -> list[Row]:
         return []
 
 
-def prepare(df: DataFrame, config: RouterConfig) -> DataFrame:
+def prepare(df: DataFrame, config: RouterConfig, annotations: DataFrame | None = None) -> DataFrame:
     """Replace ``text`` by the merged feature map and the text embedding.
 
-    A given ``embedding`` column is kept; rows without one are hashed.
+    A given ``embedding`` column is kept; rows without one are hashed.  ``annotations``,
+    (query_id, annotations) of ``annotated.annotation_map``, adds features of tags and entities.
     """
+    prepared = _prepare(df, config)
+    return prepared if annotations is None else TF.with_annotations(prepared, annotations)
+
+
+def _prepare(df: DataFrame, config: RouterConfig) -> DataFrame:
     if config.use_query_features:
         df = TF.extract(df, "text", config.hash_buckets, name="_derived")
     else:

@@ -154,6 +154,12 @@ def merge(given: Column, derived: Column) -> Column:
     return F.map_concat(F.transform_values(kept, lambda _, v: F.coalesce(v, F.lit(""))), derived)
 
 
+def with_annotations(df: DataFrame, annotations: DataFrame, id_col: str = "query_id", name: str = "features") -> DataFrame:
+    """Merge the maps of (id, annotations) into the feature maps; queries without one keep theirs."""
+    joined = df.join(annotations.select(id_col, F.col("annotations").alias("_annotations")), id_col, "left")
+    return joined.withColumn(name, merge(F.col(name), F.col("_annotations"))).drop("_annotations")
+
+
 def attach_cluster(features: Column, k: int, cluster: Column) -> Column:
     """Add ``embed_cluster_{k}`` to a feature map; no cluster, no feature."""
     key = f"embed_cluster_{k}"

@@ -25,13 +25,13 @@ class Trained:
     tables: dict[str, DataFrame]
 
 
-def prepare_items(items: DataFrame, config: RouterConfig) -> DataFrame:
+def prepare_items(items: DataFrame, config: RouterConfig, annotations: DataFrame | None = None) -> DataFrame:
     """Derive features and embeddings once and store them without the text.
 
     Keeps eval_name from the given features for the subgroups.
     """
     named = items.withColumn("eval_name", F.col("features")["eval"])
-    return materialise(prepare(named, config), "items")
+    return materialise(prepare(named, config, annotations), "items")
 
 
 def train_and_evaluate(
@@ -42,15 +42,16 @@ def train_and_evaluate(
     prepared: DataFrame | None = None,
     full_report: bool = True,
     shared: dict | None = None,
+    annotations: DataFrame | None = None,
 ) -> Trained:
     """Fit on the training part, evaluate on the rest.
 
     ``items``: (query_id, text, features, label, quality, costs).  A stored
     ``prepared`` table and a dictionary ``shared`` of clusterings can be shared by the
-    jobs of a grid.
+    jobs of a grid; ``annotations`` are (query_id, annotations) for the feature maps.
     """
     if prepared is None:
-        prepared = prepare_items(items, config)
+        prepared = prepare_items(items, config, annotations)
     split = exact_split(prepared, "query_id", val_ratio, config.seed)
     train = split.where(F.col("split") == "train").drop("split")
     validation = split.where(F.col("split") == "validation").drop("split")
