@@ -8,6 +8,8 @@ from switchyard import derived as D
 from switchyard.catalog import targets as _targets
 from switchyard.catalog.registry import M, VIEWS, query, r9, sql
 from switchyard.config import RouterConfig
+from switchyard.operators import network as N
+from switchyard.operators import softmax as W
 from switchyard.operators.routing import Router
 from switchyard.plans import grid as X
 from switchyard.plans.train import Trained, refit, train_and_evaluate
@@ -263,6 +265,39 @@ def beats_fixed(spark, sf_dir):
     return seen.select((F.col("own") > F.array_max("fixed")).alias("beats_best_fixed"), (F.col("mass") > F.col("equal")).alias("beats_uniform"))
 
 
+@query(
+    "f01_hidden_layers",
+    "select count(*) as n, true as beats_regression, true as beats_constant from embeddings where vec_id % 5 = 0",
+)
+def hidden_layers(spark, sf_dir):
+    """Held-out divergence of a network and of a regression where the target is whether two components
+    of a vector agree in sign, which no linear model shows; a constant answer is (1/2, 1/2)."""
+    vectors = D.table(spark, sf_dir, "embeddings").where("vec_id is not null")
+    dims = 4
+    dense = F.transform(F.slice("embedding", 1, dims), lambda x: 8.0 * F.coalesce(x.cast("double"), F.lit(0.0)))
+    share = F.when((F.get("dense", F.lit(0)) > 0) == (F.get("dense", F.lit(1)) > 0), 0.9).otherwise(0.1)
+    rows = vectors.select(F.col("vec_id").alias("query_id"), F.array().cast("array<bigint>").alias("terms"), dense.alias("dense"))
+    rows = rows.withColumn("target", F.array(share, 1 - share))
+    train, held = rows.where("query_id % 5 <> 0"), rows.where("query_id % 5 = 0")
+    network = N.fit(train, dims, 2, hidden=(32, 16))
+    weights = sorted(W.fit(train, dims, 2, 50).collect(), key=lambda r: r["term"])  # dims + 1 rows
+    none = F.array(F.lit(0.0), F.lit(0.0))
+    answered = held.withColumns(
+        {
+            "deep": network.probabilities(F.col("terms"), F.col("dense")),
+            "linear": W.probabilities(F.col("dense"), F.lit(0), none, [list(r["w"]) for r in weights], (1.0, 1.0)),
+            "constant": F.array(F.lit(0.5), F.lit(0.5)),
+        }
+    )
+
+    def apart(probs):
+        each = F.zip_with("target", probs, lambda t, p: t * (F.log(t) - F.log(p)))
+        return F.avg(F.aggregate(each, F.lit(0.0), lambda a, x: a + x))
+
+    found = answered.agg(F.count(F.lit(1)).alias("n"), *[apart(c).alias(c) for c in ("deep", "linear", "constant")])
+    return found.select("n", (F.col("deep") < F.col("linear")).alias("beats_regression"), (F.col("deep") < F.col("constant")).alias("beats_constant"))
+
+
 _RECOUNTED = ("avg_cost", "avg_quality", "oracle_quality", "top1_acc")
 
 

@@ -27,6 +27,7 @@ class RouterConfig:
     softmax_temperature: float = 0.5
     blend_costaware: float = 0.5
     fit_iterations: int = 50
+    hidden_units: tuple[int, ...] | None = None  # None: a regression; (256, 128): two hidden layers
     enable_calibration: bool = True
     fallback_strategy: str = "best_fixed"  # best_fixed | cheapest | name
     fallback_model: str | None = None
@@ -38,6 +39,8 @@ class RouterConfig:
             raise ValueError(f"unknown objective {self.objective!r}")
         if self.embed_k is not None and self.embed_k <= 0:
             raise ValueError("embed_k must be positive or None")
+        if self.hidden_units is not None:
+            object.__setattr__(self, "hidden_units", tuple(self.hidden_units))  # a stored config holds a list
 
     @property
     def beta(self) -> float:

@@ -18,6 +18,7 @@ from switchyard.models import Models
 from switchyard.operators import clusters as C
 from switchyard.operators import dcf
 from switchyard.operators import encode as E
+from switchyard.operators import network as N
 from switchyard.operators import profiles as P
 from switchyard.operators import softmax as X
 from switchyard.operators import targets as S
@@ -28,7 +29,8 @@ from switchyard.session import materialise
 @dataclass
 class Router:
     """A fitted router: the weights of features as a table of any size, those of the embedding's
-    dimensions as a short list, and the tables that describe its clusters."""
+    dimensions as a short list, and the tables that describe its clusters.  One with hidden
+    layers has a network instead of these weights."""
 
     models: Models
     config: RouterConfig
@@ -41,6 +43,7 @@ class Router:
     cluster_info: DataFrame
     cluster_details: DataFrame
     top_features: DataFrame
+    network: N.Network | None = None
 
     def route(self, df: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
         """Add probs, pred, model and prob to (query_id, text, features, ...)."""
@@ -54,23 +57,26 @@ class Router:
             scored = with_embed_cluster(scored, self.embed_model, self.config.embed_k)
         kept = [c for c in prepared.columns if c not in ("embedding", "features")]
         scored = scored.select(*kept, "features", "embedding", C.record_key(F.col("features")).alias("record_key"))
+        if self.network is not None:
+            terms = dcf.terms_of(F.col("features"))
+            return self._answered(scored.withColumn("probs", self.network.probabilities(terms, F.col("embedding"))), kept)
         scored = materialise(scored, "scored")
         m, scale = len(self.models), (self.config.beta, 1.0 - self.config.beta)
         records = scored.select("record_key", "features").dropDuplicates(["record_key"])
         summed = X.sparse_sums(records, self.coefficients, m)
         joined = scored.join(summed, "record_key", "left")
-        probs = rows.entries("probs", m)
-        return (
-            joined.withColumn("probs", X.probabilities(F.col("embedding"), F.col("known"), F.col("sums"), self.dense, scale))
-            .withColumn("pred", rows.argmax(probs))
-            .select(
-                *kept,
-                "features",
-                "probs",
-                "pred",
-                self.models.name_of(F.col("pred")).alias("model"),
-                rows.row_max(probs).alias("prob"),
-            )
+        found = X.probabilities(F.col("embedding"), F.col("known"), F.col("sums"), self.dense, scale)
+        return self._answered(joined.withColumn("probs", found), kept)
+
+    def _answered(self, scored: DataFrame, kept: list[str]) -> DataFrame:
+        probs = rows.entries("probs", len(self.models))
+        return scored.withColumn("pred", rows.argmax(probs)).select(
+            *kept,
+            "features",
+            "probs",
+            "pred",
+            self.models.name_of(F.col("pred")).alias("model"),
+            rows.row_max(probs).alias("prob"),
         )
 
     def save(self, path: str) -> None:
@@ -93,6 +99,8 @@ class Router:
             ),
             "config": spark.createDataFrame([(json.dumps(self.config.as_dict()),)], "config string"),
         }
+        if self.network is not None:
+            tables["network"] = self.network.frame(spark)
         for name, table in tables.items():
             table.write.parquet(f"{version}/{name}")
         newest = max((r["number"] for r in manifests(spark, path)), default=0) + 1
@@ -125,6 +133,7 @@ class Router:
             cluster_info=read("cluster_info"),
             cluster_details=read("cluster_details"),
             top_features=read("top_features"),
+            network=N.Network.read(read("network")) if config.hidden_units else None,
         )
 
 
@@ -259,7 +268,12 @@ def fit_router(
         "query_id", dcf.terms_of(F.col("features")).alias("terms"), F.col("embedding").alias("dense"), "target"
     )
     dims = len(low)
-    weights = X.fit(training, dims, m, config.fit_iterations, (config.beta, 1.0 - config.beta))
+    scale, network = (config.beta, 1.0 - config.beta), None
+    if config.hidden_units is not None:
+        network = N.fit(training, dims, m, config.hidden_units, scale, seed=config.seed)
+        weights = labelled.sparkSession.createDataFrame([], "term long, w array<double>")
+    else:
+        weights = X.fit(training, dims, m, config.fit_iterations, scale)
     dense = sorted(weights.where(F.col("term").between(0, dims)).collect(), key=lambda r: r["term"])  # dims + 1 rows
     pairs = labelled.select(F.explode_outer("features").alias("key", "value")).where("key is not null").distinct()
     return Router(
@@ -274,4 +288,5 @@ def fit_router(
         cluster_info=clustered.info,
         cluster_details=clustered.details,
         top_features=clustered.top_features,
+        network=network,
     )

@@ -69,6 +69,19 @@ def test_save_and_load(spark, items, router, tmp_path):
     assert before == after
 
 
+def test_router_with_hidden_layers(spark, items, tmp_path):
+    """The network takes the regression's place: fitted, stored, read again, answering the same."""
+    config = replace(CONFIG, hidden_units=(16, 8))
+    router = fit_router(items, MODELS, config)
+    router.save(str(tmp_path / "router"))
+    again = Router.load(spark, str(tmp_path / "router"))
+    assert again.config == config and again.network.sizes[1:] == [16, 8, 5]
+    before = {r.query_id: r for r in router.route(items).collect()}
+    after = {r.query_id: r for r in again.route(items).collect()}
+    assert before == after and before[2].pred == 1
+    assert all(abs(sum(r.probs) - 1) < 1e-9 for r in before.values())
+
+
 def test_a_broken_save_leaves_the_version_before(spark, items, router, tmp_path, monkeypatch):
     """Readers see a version when its manifest is there, not before; older ones stay."""
     path = str(tmp_path / "router")
