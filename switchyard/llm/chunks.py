@@ -4,16 +4,18 @@ A gear hash rolls over the UTF-8 bytes of a text; a chunk ends behind a white-sp
 character where the hash of the 16 bytes up to it divides by ``MEAN``, so it is about
 ``MEAN`` words long.  Cuts depend on these bytes alone: an insertion moves the chunks
 behind it but does not change them.  Scripts without spaces are cut in front of
-characters of three or more bytes.
+characters of three or more bytes; a run of ``RUN`` bytes or more without white space (base64,
+minified code) is cut between any two characters, on average every ``RUN_MEAN`` of them.
 
 A chunk's digest is 64 bits.  The occurrence in the smallest doc_id, and there the
 first, stays; neighbouring repeated chunks form a span, and spans of at least
 ``LEAST`` characters are cut out.  Shorter ones are left: common phrases are no copies.
 
 Digests are counted with partial sums and joined with the occurrences; chunks are
-recomputed for the join rather than stored.  A passage in very many documents is one
-row on the counted side, and the partition with its occurrences can be split.  Spans
-are gathered per document, so a group is never larger than a text.
+recomputed for the join rather than stored.  A digest that holds more than one in ``HOT``
+of the repeated occurrences - there are fewer than ``HOT`` such, which is what the broadcast of them
+may hold - is dealt into ``SALTS`` parts, its counted row copied to each.  Spans are
+gathered per document, so a group is never larger than a text.
 """
 
 from __future__ import annotations
@@ -27,8 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from switchyard.session import materialise
+
 MEAN = 6
 WIDE_MEAN = 24
+RUN = 64
+RUN_MEAN = 32
+HOT = 2048
+SALTS = 128
 LEAST = 64
 _GROUP_BYTES = 1 << 21
 # A table of random numbers by rule; byte 0, which parts documents, adds nothing.
@@ -51,7 +59,12 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     space = (b == 32) | ((b >= 9) & (b <= 13))
     wide = np.zeros(len(b), bool)
     wide[:-1] = (b[1:] >= 0xE0) & (h[:-1] % np.uint32(WIDE_MEAN) == 0)
-    ends = np.flatnonzero((space & (h % np.uint32(MEAN) == 0)) | wide) + 1
+    # Bytes since the last white space or the text's begin; the next byte must begin a character.
+    place = np.arange(len(b))
+    since = place - np.maximum.accumulate(np.where(space | (b == 0), place, 0)) if len(b) else place
+    inside = (since >= RUN) & (h % np.uint32(RUN_MEAN) == 0)
+    inside[:-1] &= (b[1:] & 0xC0) != 0x80
+    ends = np.flatnonzero((space & (h % np.uint32(MEAN) == 0)) | wide | inside) + 1
     owner = np.searchsorted(begins, ends - 1, "right") - 1
     ends = ends[(owner >= 0) & (ends <= (begins + lengths)[owner]) & (ends > begins[owner])] if len(ends) else ends
     ends = np.unique(np.concatenate([ends, (begins + lengths)[lengths > 0]]))
@@ -93,8 +106,16 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per document with something to cut: doc_id, ``spans`` of (begin, end, sources) in
     characters, in order; ``sources`` are the ids of the documents that keep the text."""
     found = chunks(docs)
-    kept = found.groupBy("digest").agg(F.min("doc_id").alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = found.join(kept, "digest").where("doc_id != source or again").select("doc_id", "begin", "end", "source")
+    kept = found.groupBy("digest").agg(F.min("doc_id").alias("source"), F.count("*").alias("n")).where("n > 1")
+    kept = materialise(kept, "repeated-digests")
+    total = kept.agg(F.sum("n")).first()[0] or 0
+    kept = kept.withColumn("hot", F.col("n") * HOT > total)
+    hot = F.broadcast(kept.where("hot").select("digest", "hot"))  # fewer than HOT rows
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "begin"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = found.join(hot, "digest", "left").withColumn("salt", salt).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    counted = kept.select("digest", "source", F.explode(salts).alias("salt"))
+    copies = dealt.join(counted, ["digest", "salt"]).where("doc_id != source or again").select("doc_id", "begin", "end", "source")
     line = Window.partitionBy("doc_id").orderBy("begin", "end")
     # Repeated rows of a document repeat its chunks.
     copies = copies.distinct()

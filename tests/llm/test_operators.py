@@ -469,3 +469,56 @@ def test_chunks_tile_each_text():
         parts = [(b, e) for o, b, e in zip(owner, begin, end, strict=True) if o == i]
         assert [b for b, _ in parts] == [0, *(e for _, e in parts)][: len(parts)]
         assert (parts[-1][1] if parts else 0) == len(t.decode())
+
+
+def plain_ends(text: bytes) -> list[int]:
+    """Ends of a text's chunks, byte by byte from the rule."""
+    ends = []
+    for i in range(len(text)):
+        h = sum(int(chunks._GEAR[text[i - k]]) << k for k in range(min(16, i + 1))) % 2**32 >> 16
+        blank = text[i] == 32 or 9 <= text[i] <= 13
+        after = text[i + 1] if i + 1 < len(text) else None
+        run = len(re.search(rb"[^\x09-\x0d\x20]*$", text[: i + 1])[0])
+        if blank and h % chunks.MEAN == 0:
+            ends.append(i + 1)
+        elif after is not None and after >= 0xE0 and h % chunks.WIDE_MEAN == 0:
+            ends.append(i + 1)
+        elif run >= chunks.RUN and not blank and (after is None or after & 0xC0 != 0x80) and h % chunks.RUN_MEAN == 0:
+            ends.append(i + 1)
+    return sorted({*ends, len(text)} - {0})
+
+
+def test_chunks_equal_a_plain_chunker():
+    rng = random.Random(17)
+    run = "".join(rng.choice("abcdefgh01234567+/") for _ in range(900))
+    texts = [sentence(rng, 150), run, sentence(rng, 9) + " " + run + "é" * 200 + "\n" + run[:63] + " end", "日本語の文章" * 40, "", "x" * 64]
+    coded = [t.encode() for t in texts]
+    owner, _, end, digest = chunks.cut(coded)
+    for i, t in enumerate(coded):
+        ends = plain_ends(t)
+        assert end[owner == i].tolist() == [len(t[:e].decode()) for e in ends]
+        begins = [0, *ends[:-1]]
+        expected = [chunks.xxhash.xxh3_64_intdigest(t[b:e]) for b, e in zip(begins, ends)]
+        assert digest[owner == i].view("uint64").tolist() == expected
+
+
+def test_long_runs_share_chunks(spark):
+    """One character more in a run without white space leaves the rest of it found."""
+    rng = random.Random(19)
+    run = "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(5000))
+    rows = [(1, run), (2, run[:2500] + "!" + run[2500:]), (3, "data: " + run)]
+    found = {r.doc_id: r for r in chunks.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].text == run and len(found[2].text) < 600 and len(found[3].text) < 300
+
+
+def test_hot_digests_are_dealt_alike(spark, monkeypatch):
+    """Spans are the same with every digest dealt into parts, a part, or none."""
+    rng = random.Random(23)
+    passage = sentence(rng, 80)
+    rows = [(i, sentence(rng, 40) + " " + passage + " " + sentence(rng, 40)) for i in range(60)] + [(5, passage), (99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for share in (1 << 40, 200, 1):
+        monkeypatch.setattr(chunks, "HOT", share)
+        results.append(sorted((r.doc_id, r.spans) for r in chunks.repeated_spans(df).collect()))
+    assert results[0] == results[1] == results[2] and len(results[0]) >= 59
