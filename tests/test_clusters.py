@@ -341,3 +341,29 @@ def test_centres_find_separate_groups(spark):
     found = C.FittedClusters(1, centres, None, None, None, None).coarse_ids(df).collect()
     groups = {r.query_id % 4: r.coarse_id for r in found}
     assert len(set(groups.values())) == 4 and all(r.coarse_id == groups[r.query_id % 4] for r in found)
+
+
+def test_records_of_one_bucket_go_to_several_tasks(spark):
+    features = "map('a', cast(id % 7 as string), 'b', cast(id as string))"
+    records = spark.range(10000).selectExpr("0 as bucket", "cast(id as string) as record_key", f"{features} as features")
+    records = records.select("bucket", "record_key", dcf.terms_of(F.col("features")).alias("terms"))
+    profiles = spark.createDataFrame([(0, 0, 1.0, [5], [1.0]), (0, 1, 1.0, [6], [1.0])], dcf.PROFILES)
+    found = dcf.nearest(records, profiles).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in found) == 10000
+    assert len(found) > 1
+
+
+def test_losses_of_records_do_not_depend_on_their_company():
+    r = np.random.default_rng(3)
+    known = [np.sort(r.choice(60, 20, replace=False)) for _ in range(9)]
+    profiles = dcf.Profiles(np.arange(9), np.arange(1.0, 10.0), known, [np.full(20, 0.05)] * 9)
+    own = [np.sort(r.choice(80, n, replace=False)) for n in (0, 1, 5, 5, 30, 5)]
+    together = profiles.losses(np.concatenate(own), np.array([len(o) for o in own]))
+    for row, terms in zip(together, own, strict=True):
+        assert (profiles.losses(terms, np.array([len(terms)])) == row).all()
+        for loss, there, w in zip(row, known, profiles.w, strict=True):
+            p, q = (np.isin(np.arange(80), t) / max(1, len(t)) for t in (terms, there))
+            a, b = 1 / (1 + w), w / (1 + w)
+            entropy = [-dcf.plogp(x).sum() for x in (a * p + b * q, p, q)]
+            if len(terms):
+                assert abs(loss - (1 + w) * (entropy[0] - a * entropy[1] - b * entropy[2])) < 1e-9
