@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,39 @@ def gram_entry(gram: str, dim: int) -> tuple[int, int]:
     return digest % dim, (digest >> 8) % 1000
 
 
+class Known(dict):
+    """What a function gives for grams, worked out once each, of the last ``size`` to twice
+    ``size`` different grams asked for: a full table becomes the older one, and what is
+    still asked for moves over from there."""
+
+    def __init__(self, function: Callable[[str], int], size: int):
+        super().__init__()
+        self.function, self.size, self.older = function, size, {}
+
+    def __missing__(self, gram: str) -> int:
+        value = self.older.get(gram)
+        if value is None:
+            value = self.function(gram)
+        self[gram] = value
+        return value
+
+    def rest(self) -> None:
+        """To be called between texts: ages a full table."""
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+
+
+def gram_code(dim: int) -> Callable[[str], int]:
+    """Dimension and weight of a gram as one number."""
+
+    def code(gram: str) -> int:
+        idx, weight = gram_entry(gram, dim)
+        return idx * 1000 + weight
+
+    return code
+
+
 def _windows(texts: list[str]) -> Iterator[list[tuple[int, str, int]]]:
     """Groups of (text number, characters, start positions): a long text is cut
     into windows that carry the few characters their last grams reach into."""
@@ -39,14 +72,15 @@ def _windows(texts: list[str]) -> Iterator[list[tuple[int, str, int]]]:
         yield group
 
 
-def gram_sums(texts: list[str], dim: int, known: dict[str, tuple[int, int]]) -> np.ndarray:
+def gram_sums(texts: list[str], dim: int, known: Known | dict) -> np.ndarray:
     """Summed gram weights per text and dimension, in whole thousandths.
 
     Every 3-, 4- and 5-gram counts; a text shorter than n gives itself.  Equal
     grams of a window are found by numbering: an n-gram is its (n-1)-gram's
     number followed by a character, so each different gram is hashed once.
-    ``known`` keeps the hashes between calls.
+    ``known``, of ``gram_code(dim)``, keeps their values between calls; a plain dictionary does not.
     """
+    known = known if isinstance(known, Known) else Known(gram_code(dim), WINDOW)
     sums = np.zeros((len(texts), dim))
     for number, text in enumerate(texts):
         for n in EMBED_NGRAMS:
@@ -74,15 +108,10 @@ def gram_sums(texts: list[str], dim: int, known: dict[str, tuple[int, int]]) ->
                 continue
             example = np.zeros(len(unique), dtype=np.int64)
             example[ids[::-1]] = at[::-1]
-            entries = np.empty((len(unique), 2), dtype=np.int64)
-            for i, position in enumerate(example.tolist()):
-                gram = joined[position : position + n]
-                entry = known.get(gram)
-                if entry is None:
-                    entry = known[gram] = gram_entry(gram, dim)
-                entries[i] = entry
+            grams = [joined[position : position + n] for position in example.tolist()]
+            entries = np.fromiter(map(known.__getitem__, grams), np.int64, len(grams))
             counted = is_start[at]
             found = entries[ids[counted]]
-            cells = owner[at[counted]] * dim + found[:, 0]
-            sums += np.bincount(cells, weights=found[:, 1], minlength=sums.size).reshape(sums.shape)
+            cells = owner[at[counted]] * dim + found // 1000
+            sums += np.bincount(cells, weights=found % 1000, minlength=sums.size).reshape(sums.shape)
     return sums

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,22 @@ def test_embedding_or_hash(spark):
     got = {r.query_id: r.embedding for r in E.embedding_or_hash(df, given, 2).collect()}
     assert got[1] == [1.0, 0.0] and got[3] == [0.0, 0.0]
     assert np.allclose(got[2], brute_embedding("abcd", 2))
+
+
+def test_known_grams_outlive_a_full_table():
+    asked = []
+    known = grams.Known(lambda g: asked.append(g) or len(g), 3)
+    for gram in ("a", "bb", "c", "dd", "e", "ff", "g"):
+        assert known["hot"] == 3 and known[gram] == len(gram)
+        known.rest()
+    assert asked.count("hot") == 1 and len(known) <= 4
+
+
+def test_embedding_keeps_grams_between_batches(spark, monkeypatch):
+    asked = []
+    entry = grams.gram_entry
+    monkeypatch.setattr(grams, "gram_entry", lambda g, dim: asked.append(g) or entry(g, dim))
+    monkeypatch.setattr(E, "GRAM_CACHE", 8)
+    got = list(E.hash_embedding_udf(16).func(iter([pd.Series(["always the same"])] * 3)))
+    assert all((g[0] == got[0][0]).all() for g in got)
+    assert max(Counter(asked).values()) == 1
