@@ -25,7 +25,7 @@ URL_PATTERN = r"https?://|www\."
 
 # Unicode-aware; the four separators below count as blanks too.
 _SPACE = r"\s\x1c-\x1f"
-_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _TOKEN = rf"(?U)[^{_SPACE}]+"
 # Words and single punctuation marks.
 _WORD = r"(?U)\w+|[^\w\s]"
@@ -107,7 +107,7 @@ def surface_features() -> dict[str, Column]:
 def sentence_count(text: Column) -> Column:
     """Runs of . ! ? before a blank or the end, plus an unfinished last one."""
     closed = matches(text, rf"(?U)[.!?]++(?=[{_SPACE}]|\z)")
-    last = F.right(F.rtrim(text, F.lit(_BLANKS)), F.lit(1))
+    last = F.right(F.rtrim(text, F.lit(BLANKS)), F.lit(1))
     return closed + F.when(last.isin("", ".", "!", "?"), 0).otherwise(1)
 
 

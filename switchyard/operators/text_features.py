@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from switchyard.functions import text as T
+from switchyard.functions.grams import Known
 
 # N-gram lengths and buckets of the hash flags.
 NGRAMS = (3, 4, 5)
@@ -17,8 +18,8 @@ SHAPE_TOP_K = 2
 HASH_BUCKETS = 128
 # Different grams a task keeps the buckets of.
 GRAM_CACHE = 1 << 18
-
-_STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Grams between two looks whether all buckets have been found.
+GRAM_STEP = 512
 
 
 def _as_map(features: dict[str, Column]) -> Column:
@@ -48,25 +49,29 @@ def linguistic_columns(df: DataFrame, text_col: str = "prompt", id_col: str = "q
 def hash_buckets_udf(buckets: int):
     """cleaned text -> a row of one array per gram length: the different buckets of all its grams, sorted.
 
-    Arrow batches in Python: a task hashes each different gram once."""
+    Arrow batches in Python: a task hashes each different gram once.  Where every bucket there is
+    has been found, the rest of the text cannot add one and needs no hashing."""
+
+    def bucket(gram: str) -> int:
+        return int.from_bytes(md5(gram.encode()).digest(), "big") % buckets
 
     @F.pandas_udf(", ".join(f"hash{n} array<int>" for n in NGRAMS))
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = Known(bucket, GRAM_CACHE)
         for texts in batches:
             out: dict[str, list] = {f"hash{n}": [] for n in NGRAMS}
             for text in texts:
                 text = text or ""
                 for n in NGRAMS:
-                    own = set()
-                    for gram in {text[i : i + n] for i in range(len(text) - n + 1)}:
-                        bucket = known.get(gram)
-                        if bucket is None:
-                            bucket = known[gram] = int(md5(gram.encode()).hexdigest(), 16) % buckets
-                        own.add(bucket)
+                    own: set[int] = set()
+                    last = len(text) - n + 1
+                    for at in range(0, last, GRAM_STEP):
+                        part = text[at : min(at + GRAM_STEP, last) + n - 1]
+                        own.update(map(known.__getitem__, map("".join, zip(*(part[k:] for k in range(n))))))
+                        if len(own) == buckets:
+                            break
                     out[f"hash{n}"].append(sorted(own))
-                if len(known) > GRAM_CACHE:
-                    known.clear()
+                known.rest()
             yield pd.DataFrame(out)
 
     return found
@@ -74,7 +79,7 @@ def hash_buckets_udf(buckets: int):
 
 def with_hash_buckets(df: DataFrame, text_col: str = "prompt", buckets: int = HASH_BUCKETS) -> DataFrame:
     """Add hash3, hash4, hash5: every gram bucket of the whole lower-cased, stripped text."""
-    cleaned = F.regexp_replace(F.lower(F.col(text_col)), _STRIP, "")
+    cleaned = F.trim(F.lower(F.col(text_col)), F.lit(T.BLANKS))
     found = df.withColumn("_hashes", hash_buckets_udf(buckets)(cleaned))
     return found.withColumns({f"hash{n}": F.col(f"_hashes.hash{n}") for n in NGRAMS}).drop("_hashes")
 

@@ -222,3 +222,18 @@ def test_embedding_keeps_grams_between_batches(spark, monkeypatch):
     got = list(E.hash_embedding_udf(16).func(iter([pd.Series(["always the same"])] * 3)))
     assert all((g[0] == got[0][0]).all() for g in got)
     assert max(Counter(asked).values()) == 1
+
+
+def test_flags_need_no_hash_once_all_buckets_are_found(spark, monkeypatch):
+    asked = []
+    md5 = TF.md5
+    monkeypatch.setattr(TF, "md5", lambda g: asked.append(g) or md5(g))
+    monkeypatch.setattr(TF, "GRAM_STEP", 100)
+    long = "".join(chr(0x4E00 + i) for i in range(9000))
+    texts = [long, "aaaa" * 200 + "b", "", None, "ab"]
+    got = next(iter(TF.hash_buckets_udf(8).func(iter([pd.Series(texts)]))))
+    for text, row in zip(texts, got.itertuples(index=False), strict=True):
+        for n, found in zip(TF.NGRAMS, row, strict=True):
+            pieces = {(text or "")[i : i + n] for i in range(len(text or "") - n + 1)}
+            assert found == sorted({int(hashlib.md5(p.encode()).hexdigest(), 16) % 8 for p in pieces})
+    assert len(asked) < 2000
