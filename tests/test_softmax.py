@@ -46,6 +46,19 @@ def test_slope_is_the_derivative():
         assert slope[place] == pytest.approx((part.loss(at + step)[0] - part.loss(at - step)[0]) / 2e-6, abs=1e-6)
 
 
+def test_common_terms_are_columns_of_a_matrix():
+    """Only the terms that few rows have are left to the sparse block; both add up as by definition."""
+    rng = np.random.default_rng(3)
+    n, known = 200, np.arange(1000, 1000 + 20 + 200)
+    rows = [np.append(np.flatnonzero(rng.random(20) < 0.7) + 1000, 1020 + i) for i in range(n)]
+    dense, target = rng.normal(0, 1, (n, 2)), X.row_softmax(rng.normal(0, 1, (n, 3)))
+    part = X.Part(rows, dense, target, known, (0.6, 0.4))
+    assert len(part.row) == n and part.block.shape == (n, 20)
+    weights = rng.normal(0, 1, (len(known) + 3, 3))
+    plain = [0.4 * dense[i] @ weights[-3:-1] + weights[-1] + 0.6 * weights[rows[i] - 1000].sum(axis=0) / np.sqrt(len(rows[i])) for i in range(n)]
+    assert np.allclose(part.margins(weights), plain)
+
+
 def test_minimum_of_a_quadratic():
     scale = np.array([1.0, 10.0, 100.0])
     found = X.minimise(lambda x: (float((scale * (x - 3) ** 2).sum() / 2), scale * (x - 3)), np.zeros(3), 100)
