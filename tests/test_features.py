@@ -214,6 +214,40 @@ def test_known_grams_outlive_a_full_table():
     assert asked.count("hot") == 1 and len(known) <= 4
 
 
+@pytest.mark.parametrize(("numbered", "letters"), [(1 << 20, 255), (40, 255), (1 << 20, 3)])
+def test_numbered_grams_have_their_values(monkeypatch, numbered, letters):
+    """Every gram once per start, also where a table is full or a letter is not among the frequent ones."""
+    monkeypatch.setattr(grams, "NUMBERED", numbered)
+    monkeypatch.setattr(grams, "LETTERS", letters)
+    monkeypatch.setattr(grams, "WINDOW", 60)
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcde fgh\u00e9\u4e2d\U0001f600"), size)) for size in (0, 1, 2, 3, 4, 5, 59, 60, 61, 300, 7)]
+    table = grams.Numbered(grams.Known(lambda g: hash(g) & 0xFFFF, 1 << 10), (3, 4, 5))
+    for _ in range(2):
+        found = Counter()
+        for n, joined, at, owner, values in table.windows(texts):
+            for p, number, value in zip(at.tolist(), owner.tolist(), values.tolist(), strict=True):
+                assert value in (-1, hash(joined[p : p + n]) & 0xFFFF)
+                found[number, joined[p : p + n]] += 1
+        assert found == Counter((i, t[p : p + n]) for i, t in enumerate(texts) for n in (3, 4, 5) for p in range(len(t) - n + 1))
+
+
+def test_embedding_looks_up_no_gram_by_its_text(monkeypatch):
+    """Grams of ordinary text are found by number; each is hashed once and none kept as a string."""
+    asked = []
+    table = grams.Numbered(grams.Known(lambda g: asked.append(g) or grams.gram_code(16)(g), 8), grams.EMBED_NGRAMS)
+    first = grams.gram_sums(["always the same"] * 3, 16, table)
+    assert (grams.gram_sums(["always the same"], 16, table) == first[:1]).all()
+    assert max(Counter(asked).values()) == 1 and len(table.known) == 0
+
+
+def test_flag_keys_of_other_bucket_counts(spark):
+    df = spark.createDataFrame([("some words of a text, and a few more of them",)], "prompt string")
+    keys = set(TF.extract(df, buckets=300).select(F.map_keys("features")).first()[0])
+    pieces = {(n, "some words of a text, and a few more of them"[i : i + n]) for n in TF.NGRAMS for i in range(45 - n)}
+    assert {f"hash{n}_{int(hashlib.md5(p.encode()).hexdigest(), 16) % 300}" for n, p in pieces} == {k for k in keys if k.startswith("hash")}
+
+
 def test_embedding_keeps_grams_between_batches(spark, monkeypatch):
     asked = []
     entry = grams.gram_entry
