@@ -57,7 +57,6 @@ RECORDS = "doc_id long, start long, n_tokens long, ids binary"
 _BESIDE_SPACE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _ODD = re.compile(r".\s|<\||\A ", re.DOTALL)
-_RARE = re.compile(r"[^\S \n]|<\||\s\s|\A\s|\s\Z")
 _MARKS = ".,"
 
 
@@ -100,10 +99,10 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, keys: set[str], rare: bool) -> None:
-        """``rare`` says whether keys can hold white space or the mark of a special token."""
+    def _learn(self, keys: set[str]) -> None:
+        """Keys that hold white space or the mark of a special token are encoded each on its own."""
         store = self.store
-        odd = [k for k in keys if _ODD.search(k)] if rare else []
+        odd = [k for k in keys if _ODD.search(k)]
         store.update(zip(odd, self._each([k if k[:1] in ("\n", " ") else " " + k for k in odd]), strict=True))
         plain = list(keys.difference(odd))
         # Letters and a closing mark are two pre-tokens.
@@ -130,7 +129,7 @@ class Encoder:
             return [p[1:] if p[:1] == " " and not p[1:2].isspace() and len(p) > 1 else p for p in parts]
         return ("\n" + text).replace("\n", " \n")[1:].split(" ")
 
-    def _found(self, lists: list[list[str]], rare: bool) -> Iterator[bytes]:
+    def _found(self, lists: list[list[str]]) -> Iterator[bytes]:
         """The joined ids of each list of keys: one look-up per key, new keys learned together."""
         store, found, ends = self.store, [], []
         store.turn(self.known)
@@ -140,7 +139,7 @@ class Encoder:
             ends.append(len(store.pending))
         pending, begin = store.pending, 0
         if pending:
-            self._learn(set(pending), rare)
+            self._learn(set(pending))
         for ids, end in zip(found, ends, strict=True):
             at = -1
             for key in pending[begin:end]:
@@ -160,10 +159,10 @@ class Encoder:
                 for text in part:
                     keys = self._keys(text) if text else []
                     parts = (keys[a : a + self.known // 4] for a in range(0, len(keys), self.known // 4))
-                    yield self._whole(text, b"".join(next(self._found([k], True)) for k in parts))
+                    yield self._whole(text, b"".join(next(self._found([k])) for k in parts))
                 continue
             lists = [self._keys(t) if t else [] for t in part]
-            yield from map(self._whole, part, self._found(lists, any(map(_RARE.search, part))))
+            yield from map(self._whole, part, self._found(lists))
 
 
 @cache

@@ -79,6 +79,24 @@ def test_damaged_records_are_noticed():
         records.read_frame(io.BytesIO(record[:-1]))
 
 
+def test_encoder_looks_for_odd_keys_among_new_ones_only(monkeypatch):
+    """A known word costs one look-up: no pattern runs over texts to find rare characters."""
+    looked = []
+
+    class Odd:
+        def search(self, key, own=records._ODD):
+            looked.append(key)
+            return own.search(key)
+
+    monkeypatch.setattr(records, "_ODD", Odd())
+    encoder = records.Encoder(Tokenizer.from_file(PATH))
+    text = "some plain words\nand some <|more of them"
+    first = list(encoder.encode([text]))
+    assert sorted(looked) == sorted(set(looked)) and "<|more" in looked and "plain" in looked
+    looked.clear()
+    assert list(encoder.encode([text])) == first and not looked
+
+
 def test_encoder_keeps_its_store_small():
     encoder = records.Encoder(Tokenizer.from_file(PATH), known=50)
     rng = random.Random(1)
