@@ -33,8 +33,8 @@ SHORTEST = 128
 STEP_TOKENS = 1 << 15
 #: Tokens kept back between batches, so that gaps find pieces that fit.
 RESERVE = 64 * WINDOW
-#: Distinct words kept encoded by a worker.
-KNOWN = 2_000_000
+#: Distinct words kept encoded by a worker, which holds them between tasks and stages: some 170 bytes each.
+KNOWN = 800_000
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window long, step long"
 )

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from switchyard.llm import negatives, records, repair
+from switchyard.llm import negatives, packing, records, repair
 from switchyard.session import scratch_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -108,6 +108,14 @@ def test_encoder_keeps_its_store_small():
     assert next(encoder.encode([long])) + b"\2\0\0\0" == plain_ids(long)
 
 
+def test_packing_store_is_small_between_tasks():
+    """More different words than the store takes: it stays below a million."""
+    store = packing._Words(Tokenizer.from_file(PATH))
+    for at in range(0, 1_100_000, 100_000):
+        store.ids([f"{n:x}" for n in range(at, at + 100_000)])
+    assert len(store.young) + len(store.old) <= 800_000
+
+
 def test_no_documents_give_no_records(spark):
     path = scratch_path(spark, "test-records")
     records.write_records(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
