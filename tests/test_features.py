@@ -10,11 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from switchyard.functions import grams
+from switchyard.functions import measures as M
 from switchyard.functions import text as T
 from switchyard.functions.digest import digest_high_mod, digest_mod
 from switchyard.operators import annotated as A
 from switchyard.operators import encode as E
 from switchyard.operators import text_features as TF
+from switchyard.session import materialise
 
 TEXTS = [
     "",
@@ -271,3 +273,42 @@ def test_flags_need_no_hash_once_all_buckets_are_found(spark, monkeypatch):
             pieces = {(text or "")[i : i + n] for i in range(len(text or "") - n + 1)}
             assert found == sorted({int(hashlib.md5(p.encode()).hexdigest(), 16) % 8 for p in pieces})
     assert len(asked) < 2000
+
+
+def odd_texts(n=400, seed=5):
+    rng = random.Random(seed)
+    pieces = list("aAbBzZßǅªⒶµÀé日本١٣09_-+=.!?,;:/\t\n\r\x1c\x1f\x85\xa0‍́　 𝟘𐐀𐐨😀ⅣñÑΣς﻿ͅ ") + [
+        "def", "class", "```", "http://", "HTTPS://", "www.", "WWW.", "aaaaaa", "11111", "____", "ABC", "Title", "ΔΣ", "日本語", "  ", ". ", "...", "!a", "́́́́́",
+    ]
+    return ["", " ", None, "\x1c", *["".join(rng.choices(pieces, k=rng.randint(1, 40))) for _ in range(n)]]
+
+
+def test_measures_equal_the_expressions(spark):
+    """The counts and shapes of the feature step beside the regular expressions that define them."""
+    rows = list(enumerate(odd_texts()))
+    df = spark.createDataFrame(rows, "query_id long, prompt string").repartition(3)
+    text = F.col("prompt")
+    counts = T.surface_counts(text) | T.linguistic_counts(text)
+    want = df.select("query_id", *[c.alias(n) for n, c in counts.items()], F.map_values(TF.shape_map(text)).alias("shapes"))
+    got = M.with_measures(df, text, TF.SHAPE_TOP_K).select(*want.columns)
+    have = {r.query_id: r.asDict() for r in got.collect()}
+    for row in want.collect():
+        assert have[row.query_id] == row.asDict(), rows[row.query_id]
+
+
+def test_every_character_is_measured_alike(spark):
+    """Every code point alone, between letters and after a capital."""
+    ids = spark.range(1, 0x110000).where("id not between 55296 and 57343").withColumn("c", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
+    text = F.concat("c", F.lit(" a"), "c", F.lit("b A"), "c", F.lit(" B."), "c", "c", "c", "c", "c")
+    df = ids.groupBy((F.col("id") / 16).cast("long").alias("query_id")).agg(F.concat_ws("\n", F.collect_list(text)).alias("prompt"))
+    df = materialise(df, "characters")
+    counts = T.surface_counts(F.col("prompt")) | T.linguistic_counts(F.col("prompt"))
+    want = df.select("query_id", *[c.alias(n) for n, c in counts.items()], F.map_values(TF.shape_map(F.col("prompt"))).alias("shapes"))
+    got = M.with_measures(df, F.col("prompt"), TF.SHAPE_TOP_K).select(*want.columns)
+    assert want.exceptAll(got).isEmpty()
+
+
+def test_the_feature_step_runs_no_regular_expression(spark, texts):
+    """A dozen of them over every text took most of the step's time."""
+    plan = TF.extract(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "rlike" not in plan.lower()

@@ -256,3 +256,23 @@ def test_exact_split_counts(spark, monkeypatch, few, ratio):
     same = spark.range(90).select((F.col("id") % 3).alias("query_id"))
     sides = split.exact_split(same, val_ratio=0.4).distinct().groupBy("query_id").count().collect()
     assert all(r["count"] == 1 for r in sides)
+
+
+def test_keys_of_a_fit_are_made_once(spark, items, monkeypatch):
+    """Record keys sort whole feature maps: the fit stores them once, and its rows take the clusters of
+    their records as ``predict`` gives them."""
+    config, plans = replace(CONFIG, cluster_fit_size=3), []
+    written = routing.materialise
+
+    def stored(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("md5(")))
+        return written(df, name)
+
+    for module in (routing, routing.C, routing.P, routing.X):
+        monkeypatch.setattr(module, "materialise", stored)
+    prepared = written(routing.prepare(items, config).select("query_id", "features", "embedding", "quality"), "prepared")
+    found = routing.cluster_training(prepared, MODELS, config)
+    assert [name for name, keys in plans if keys] == ["keyed"]
+    fitted = routing.C.fit_clusters(prepared.select("query_id", "features"), config, len(TEXTS))
+    want = {(r.query_id, r.coarse_id, r.cluster_id) for r in fitted.predict(prepared.select("query_id", "features")).collect()}
+    assert {(r.query_id, r.coarse_id, r.cluster_id) for r in found.rows.collect()} == want
