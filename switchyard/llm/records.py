@@ -23,7 +23,9 @@ partition of any size gives files of a size.
 
 from __future__ import annotations
 
+import json
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -39,6 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import Split
 
 FILE_BYTES = 256 << 20
 #: Distinct words that a worker keeps encoded in each of two generations.
@@ -56,31 +60,11 @@ RECORDS = "doc_id long, start long, n_tokens long, ids binary"
 
 _BESIDE_SPACE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_ODD = re.compile(r".\s|<\||\A ", re.DOTALL)
-_MARKS = ".,"
-
-
-class _Store(dict):
-    """Keys -> ids as bytes, in two generations: when this one is full it becomes the old one,
-    and keys that come again move on.  Unknown keys give None and are noted in ``pending``."""
-
-    def __init__(self):
-        super().__init__()
-        self.old: dict[str, bytes] = {}
-        self.pending: list[str] = []
-
-    def __missing__(self, key: str) -> bytes | None:
-        found = self.old.get(key)
-        if found is None:
-            self.pending.append(key)
-        else:
-            self[key] = found
-        return found
-
-    def turn(self, room: int) -> None:
-        if len(self) > room:
-            self.old = dict(self)
-            self.clear()
+# White space other than a line end in front, or "<|"; what comes first is the character to look for.
+_ODD = re.compile(r"[\s<](?:(?<=[^\S\n])|(?<=[\s\S]\n)|(?<=\n)\Z|(?<=<)\|)")
+#: Marks that can follow letters without being a part of their pre-token, and letters that every version of Unicode has.
+_MARKS = string.punctuation.replace("'", "")
+_LETTERS = [c for c in map(chr, range(0x250)) if c.isalpha()]
 
 
 class Encoder:
@@ -88,39 +72,77 @@ class Encoder:
 
     No pre-token of a byte-level vocabulary goes on beyond a single space or line end
     that stands between two other characters, so texts are cut before those.  A word's
-    key is the word itself after a space, and the word with its line end after one."""
+    key is the word itself after a space, and the word with its line end after one.
+
+    What is known lies in two generations, ``store`` and ``old``: when the first is full it
+    becomes the other, and keys that come again move on.  The library's own cache of words
+    is off: a word comes to it once."""
 
     def __init__(self, tokenizer: Tokenizer, known: int = KNOWN):
-        self.tokenizer, self.known, self.store = tokenizer, known, _Store()
+        described, self.known = tokenizer.to_str(), known
+        self.tokenizer = Tokenizer.from_str(described)
+        self.tokenizer.model = _uncached(described)
+        self.store: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.line = self._each(["\n"])[0]
-        self.marks = dict(zip(_MARKS, self._each(list(_MARKS)), strict=True))
+        # A word of letters is one pre-token, so spelt in the vocabulary's characters it needs no pattern.
+        self.spelt = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in (" ", "\n", *_LETTERS)}
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = Split(self.spelt[ord("\n")], "isolated")
 
     def _each(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _lines(self, words: list[str], before: str, letters: bool = False) -> Iterator[bytes]:
+        """The ids of words without line ends, each with ``before`` in front, encoded line by line in one text."""
+        tokenizer, end = self.letters if letters else self.tokenizer, int.from_bytes(self.line, "little")
+        for at in range(0, len(words), 20_000):
+            text = before + f"\n{before}".join(words[at : at + 20_000]) + "\n"
+            if letters and text.isascii():
+                text = text.replace(" ", self.spelt[32]).replace("\n", self.spelt[10])
+            elif letters:
+                text = text.translate(self.spelt)
+            found = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(found == end)).tolist()
+            raw = found.tobytes()
+            yield from [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
+
+    def _spell(self, words: list[str], before: str = " ") -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of words of letters."""
+        simple = [w for w in words if w.isascii()]
+        wide = [w for w in words if not w.isascii()] if len(simple) < len(words) else []
+        if wide and max(map(max, wide)) > _LETTERS[-1]:
+            strange = {w for w in wide if max(w) > _LETTERS[-1]}
+            yield from zip(strange, self._lines(list(strange), before), strict=True)
+            wide = [w for w in wide if w not in strange]
+        for some in (simple, wide):
+            yield from zip(some, self._lines(some, before, True), strict=True)
+
     def _learn(self, keys: set[str]) -> None:
         """Keys that hold white space or the mark of a special token are encoded each on its own."""
-        store = self.store
-        odd = [k for k in keys if _ODD.search(k)]
-        store.update(zip(odd, self._each([k if k[:1] in ("\n", " ") else " " + k for k in odd]), strict=True))
-        plain = list(keys.difference(odd))
-        # Letters and a closing mark are two pre-tokens.
-        closed = [k for k in plain if k[-1:] in self.marks and k[:-1].lstrip("\n").isalpha()]
-        base = {k[:-1] for k in closed}
-        plain = [k for k in base.union(plain).difference(closed) if k not in store]
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            text = "".join([f"{k[1:]}\n" if k[:1] == "\n" else f" {k}\n" for k in part])
-            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(found == int.from_bytes(self.line, "little")).tolist()
-            raw, begin = found.tobytes(), 0
-            for key, end in zip(part, ends, strict=True):
-                ids = raw[4 * begin : 4 * end]
-                store[key] = self.line + ids if key[:1] == "\n" else ids
-                begin = end + 1
-        for key in closed:
-            store[key] = store[key[:-1]] + self.marks[key[-1]]
+        store, search, line = self.store, _ODD.search, self.line
+        odd = [k for k in keys if search(k)]
+        if odd:
+            store.update(zip(odd, self._each([k if k[0].isspace() else " " + k for k in odd]), strict=True))
+            keys = keys.difference(odd)
+        store.update(self._spell([k for k in keys if k.isalpha()]))
+        closed, others, lines = [], [], {}
+        for key in [k for k in keys if not k.isalpha()]:
+            body = key.rstrip(_MARKS)  # letters and the marks that follow them are two pre-tokens
+            if key[0] == "\n":
+                lines[key] = key[1:]
+            elif body.isalpha():
+                closed.append((key, body, key[len(body) :]))
+            else:
+                others.append(key)
+        store.update(zip(others, self._lines(others, " "), strict=True))
+        known = {b: store.get(b) for _, b, _ in closed}
+        known.update(self._spell([b for b, ids in known.items() if ids is None]))
+        marks = {t for *_, t in closed}
+        marks = dict(zip(marks, self._each(list(marks)), strict=True))
+        store.update((k, known[b] + marks[t]) for k, b, t in closed)
+        store.update((k, line + ids) for k, ids in zip(lines, self._lines(list(lines.values()), ""), strict=True))
 
     def _keys(self, text: str) -> list[str]:
         """The first key stands for a text that begins behind a line end."""
@@ -131,21 +153,19 @@ class Encoder:
 
     def _found(self, lists: list[list[str]]) -> Iterator[bytes]:
         """The joined ids of each list of keys: one look-up per key, new keys learned together."""
-        store, found, ends = self.store, [], []
-        store.turn(self.known)
-        store.pending = []
-        for keys in lists:
-            found.append(list(map(store.__getitem__, keys)))
-            ends.append(len(store.pending))
-        pending, begin = store.pending, 0
-        if pending:
-            self._learn(set(pending))
-        for ids, end in zip(found, ends, strict=True):
-            at = -1
-            for key in pending[begin:end]:
-                at = ids.index(None, at + 1)
-                ids[at] = store[key]
-            begin = end
+        if len(self.store) + sum(map(len, lists)) > self.known:
+            self.old, self.store = self.store, {}
+        store, old = self.store, self.old
+        found = [list(map(store.get, keys)) for keys in lists]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        new = {keys[i] for keys, gap in zip(lists, gaps, strict=True) for i in gap}
+        if new:
+            again = new & old.keys()
+            store.update((k, old[k]) for k in again)
+            self._learn(new - again)
+        for keys, ids, gap in zip(lists, found, gaps, strict=True):
+            for i in gap:
+                ids[i] = store[keys[i]]
             yield b"".join(ids)
 
     def _whole(self, text: str, ids: bytes) -> bytes:
@@ -165,6 +185,13 @@ class Encoder:
             yield from map(self._whole, part, self._found(lists))
 
 
+def _uncached(described: str) -> BPE:
+    """The model of a tokenizer without a cache of words."""
+    settings = {k: v for k, v in json.loads(described)["model"].items() if v is not None and k != "type"}
+    vocab, merges = settings.pop("vocab"), [tuple(m) for m in settings.pop("merges")]
+    return BPE(vocab, merges, cache_capacity=0, **settings)
+
+
 @cache
 def _encoder(path: str) -> Encoder:
     return Encoder(Tokenizer.from_file(path))

@@ -108,6 +108,16 @@ def test_encoder_keeps_its_store_small():
     assert next(encoder.encode([long])) + b"\2\0\0\0" == plain_ids(long)
 
 
+ODD_TEXTS = ["\tq", "\t", "\n", "\x85_ a", "\x1cBc. d", "a\n\tb", "q***&&& Éß%, ŋª.", "Ж日 ꟊ\U0001e030 a\u0300b", "x<|\ny|> '. 'll"]
+
+
+def test_encoder_gives_the_ids_of_texts_that_begin_with_any_white_space():
+    """A tab in front was taken for a word behind a space."""
+    encoder = records.Encoder(Tokenizer.from_file(PATH))
+    for some in (ODD_TEXTS, ODD_TEXTS[::-1]):
+        assert [ids + b"\2\0\0\0" for ids in encoder.encode(some)] == [plain_ids(t) for t in some]
+
+
 def test_packing_store_is_small_between_tasks():
     """More different words than the store takes: it stays below a million."""
     store = packing._Words(Tokenizer.from_file(PATH))
