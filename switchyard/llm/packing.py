@@ -17,7 +17,6 @@ batch and a small pool of pieces.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from switchyard.llm.records import Encoder
+
 WINDOW = 2048
 SHORTEST = 128
 STEP_TOKENS = 1 << 15
@@ -38,84 +39,31 @@ KNOWN = 800_000
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window long, step long"
 )
-_SPLIT = re.compile(r" (?=\s)")
-_ODD = re.compile(r"\s|<\|")
-
-
-@cache
-def _tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
-
 
-class _Words:
-    """Words -> the ids of the word with a space before it, as bytes.
 
-    Two generations: when the young one is full it becomes the old one, and words that
-    come again move on, so frequent words stay."""
+class _Words(Encoder):
+    """Texts -> ids, with at most ``KNOWN`` different words kept."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        (self.line,) = tokenizer.encode("\n", add_special_tokens=False).ids
-        self.marks = {m: _encoded(tokenizer, m) for m in ".,"}
+        super().__init__(tokenizer, KNOWN // 2)
+
+    @property
+    def young(self) -> dict[str, bytes]:
+        return self.store
 
     def ids(self, words: list[str]) -> bytes:
-        missing = set(words).difference(self.young)
-        if missing:
-            if len(self.young) + len(missing) > KNOWN // 2:
-                self.old, self.young = self.young, {}
-                missing = set(words)
-            again = missing & self.old.keys()
-            self.young.update((w, self.old[w]) for w in again)
-            missing -= again
-            # Letters and a closing mark are two pre-tokens.
-            closed = {w for w in missing if w[-1:] in self.marks and w[:-1].isalpha()}
-            self._learn(list((missing - closed) | {w[:-1] for w in closed}.difference(self.young)))
-            self.young.update((w, self.young[w[:-1]] + self.marks[w[-1]]) for w in closed)
-        return b"".join(map(self.young.__getitem__, words))
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words line by line in one text; words with line ends or special tokens alone."""
-        plain = [w for w in words if not _ODD.search(w)]
-        if plain:
-            text = "".join(f" {w}\n" for w in plain)
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(found == self.line).tolist()
-            starts = [0, *(e + 1 for e in ends[:-1])]
-            self.young.update((w, found[a:b].tobytes()) for w, a, b in zip(plain, starts, ends, strict=True))
-        for word in set(words).difference(plain):
-            self.young[word] = _encoded(self.tokenizer, " " + word)
-
-
-def _encoded(tokenizer: Tokenizer, text: str) -> bytes:
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        """The ids of words that stand behind a space each."""
+        return next(self._found([words]))
 
 
 @cache
 def _store(path: str) -> _Words:
-    return _Words(_tokenizer(path))
+    return _Words(Tokenizer.from_file(path))
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers.
-
-    No pre-token of a byte-level vocabulary reaches over a space that stands before
-    another character than white space; texts are cut there and each different word is
-    encoded once.  Texts with longer runs of white space are encoded whole."""
-    tokenizer, store = _tokenizer(path), _store(path)
-    for text in texts:
-        if text[:1].isspace() or _SPLIT.search(text) or (text[-1:] == " " and text[-2:-1].isspace()):
-            yield _encoded(tokenizer, text)
-            continue
-        first, *rest = text.split(" ")
-        tail = b""
-        if rest and not rest[-1]:  # a space ends the text
-            rest.pop()
-            tail = _encoded(tokenizer, " ")
-        # A text may have more different words than are kept.
-        parts = (store.ids(rest[at : at + KNOWN // 4]) for at in range(0, len(rest), KNOWN // 4))
-        yield b"".join([_encoded(tokenizer, first), *parts, tail])
+    """The ids of each text as little-endian unsigned 32-bit numbers; each different word is encoded once."""
+    yield from _store(path).encode(texts)
 
 
 class _Packer:

@@ -118,6 +118,14 @@ def test_encoder_gives_the_ids_of_texts_that_begin_with_any_white_space():
         assert [ids + b"\2\0\0\0" for ids in encoder.encode(some)] == [plain_ids(t) for t in some]
 
 
+def test_packing_encodes_a_word_behind_a_line_end_once(monkeypatch):
+    """Words beside a line end were learned as one long word for each pair."""
+    store, learned = packing._Words(Tokenizer.from_file(PATH)), []
+    monkeypatch.setattr(store, "_learn", lambda keys, own=store._learn: (learned.extend(keys), own(keys)))
+    list(store.encode(["one.\nTwo one.\nThree four.\nTwo four.\nThree"]))
+    assert sorted(learned) == sorted({"\none.", "\nTwo", "\nThree", "one.", "four."})
+
+
 def test_packing_store_is_small_between_tasks():
     """More different words than the store takes: it stays below a million."""
     store = packing._Words(Tokenizer.from_file(PATH))
