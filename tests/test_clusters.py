@@ -367,3 +367,18 @@ def test_losses_of_records_do_not_depend_on_their_company():
             entropy = [-dcf.plogp(x).sum() for x in (a * p + b * q, p, q)]
             if len(terms):
                 assert abs(loss - (1 + w) * (entropy[0] - a * entropy[1] - b * entropy[2])) < 1e-9
+
+
+def test_rows_stored_with_their_keys_are_not_stored_again(spark, monkeypatch):
+    """A training job stored every feature map a second time before it clustered them."""
+    from switchyard.catalog import routing as R
+    from switchyard.operators import routing
+    from switchyard.plans import train
+    from __spark_entry__ import SMOKE_DIR
+
+    names = []
+    monkeypatch.setattr(routing, "materialise", lambda df, name, own=routing.materialise: names.append(name) or own(df, name))
+    items = train.prepare_items(R.items(spark, SMOKE_DIR), R.CONFIG)
+    assert set(C.KEYS) <= set(items.columns)
+    made = routing.cluster_training(items, R.MODELS, R.CONFIG)
+    assert "keyed" not in names and made.rows.count() == items.count()

@@ -312,3 +312,20 @@ def test_the_feature_step_runs_no_regular_expression(spark, texts):
     """A dozen of them over every text took most of the step's time."""
     plan = TF.extract(texts)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan and "rlike" not in plan.lower()
+
+
+def test_functions_of_a_row_are_one_pass(spark):
+    """Counts, flags and embedding of a text by one Python function, as each gives on its own."""
+    rows = list(enumerate(odd_texts(60)))
+    df = spark.createDataFrame(rows, "query_id long, prompt string").repartition(3)
+    made = TF.extract(df, more={"vector": (E.hash_embedding_udf(8), F.col("prompt"))})
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = {r.query_id: (r.f, r.v) for r in TF.extract(df, name="f").withColumn("v", E.hash_embedding_udf(8)("prompt")).collect()}
+    assert {r.query_id: (r.features, r.vector) for r in made.collect()} == want
+    flags = {r.query_id: {f"hash{n}_{b}" for n in TF.NGRAMS for b in r[f"hash{n}"]} for r in TF.with_hash_buckets(df).collect()}
+    assert {i: {k for k in f if k.startswith("hash")} for i, (f, _) in want.items()} == flags
+
+
+def test_features_keep_columns_named_like_counts(spark):
+    df = spark.createDataFrame([(1, "two words", 77, "x")], "query_id long, prompt string, n_chars int, shapes string")
+    assert TF.extract(df).drop("features").collect() == df.collect()
