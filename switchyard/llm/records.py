@@ -46,7 +46,7 @@ from tokenizers.pre_tokenizers import Split
 
 FILE_BYTES = 256 << 20
 #: Distinct words that a worker keeps encoded in each of two generations.
-KNOWN = 1_000_000
+KNOWN = 400_000
 #: Rows of a batch that leaves a task, and bytes of ids after which it leaves earlier.
 OUT_ROWS, OUT_BYTES = 512, 8 << 20
 # Fixed value: what a masked checksum adds, as in the TFRecord layout.
