@@ -26,6 +26,8 @@ def together(**functions):
         def column(rows: Iterator[tuple[pd.Series, ...]], i: int) -> Iterator[pd.Series]:
             return (row[i] for row in rows)
 
+        if len(own) == 1:  # Spark hands over a lone column as it is
+            batches = ((batch,) for batch in batches)
         found = [f(column(rows, i)) for i, (f, rows) in enumerate(zip(own.values(), tee(batches, len(own)), strict=True))]
         for parts in zip(*found, strict=True):
             named = (p if isinstance(p, pd.DataFrame) else p.rename(n) for n, p in zip(own, parts, strict=True))

@@ -326,6 +326,15 @@ def test_functions_of_a_row_are_one_pass(spark):
     assert {i: {k for k in f if k.startswith("hash")} for i, (f, _) in want.items()} == flags
 
 
+@pytest.mark.parametrize("shapes", [False, True])
+def test_features_by_one_function_alone(spark, shapes):
+    """Without hash flags only the measures are left, whose column Spark hands over as it is."""
+    df = spark.createDataFrame(list(enumerate(odd_texts(60))), "query_id long, prompt string").repartition(3)
+    whole = {r.query_id: r.features for r in TF.extract(df).collect()}
+    want = {i: {k: v for k, v in f.items() if not k.startswith("hash") and (shapes or not k.startswith("shape_"))} for i, f in whole.items()}
+    assert {r.query_id: r.features for r in TF.extract(df, hash_flags=False, shapes=shapes).collect()} == want
+
+
 def test_features_keep_columns_named_like_counts(spark):
     df = spark.createDataFrame([(1, "two words", 77, "x")], "query_id long, prompt string, n_chars int, shapes string")
     assert TF.extract(df).drop("features").collect() == df.collect()
