@@ -275,6 +275,34 @@ def test_flags_need_no_hash_once_all_buckets_are_found(spark, monkeypatch):
     assert len(asked) < 2000
 
 
+def test_flags_of_texts_read_in_parts(spark, monkeypatch):
+    """Grams that reach into the next part count; behind the part that brings the last bucket nothing is read."""
+    monkeypatch.setattr(TF, "FLAG_CHARS", 7, raising=False)
+    rng = random.Random(3)
+    words = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    texts = [words, "aaaa" * 50 + "b", " padded \n", "", None, "ab", "abcdefg", "abcdefgh", words[:300]]
+    read = []
+    windows = grams._windows
+    monkeypatch.setattr(grams, "_windows", lambda some: read.append(sum(map(len, some))) or windows(some))
+    got = next(iter(TF.hash_buckets_udf(16).func(iter([pd.Series(texts)]))))
+    for text, row in zip(texts, got.itertuples(index=False), strict=True):
+        clean = (text or "").strip()
+        for n, found in zip(TF.NGRAMS, row, strict=True):
+            pieces = {clean[i : i + n] for i in range(len(clean) - n + 1)}
+            assert found == sorted({int(hashlib.md5(p.encode()).hexdigest(), 16) % 16 for p in pieces}), (text, n)
+    assert sum(read) < 3000
+
+
+def test_features_are_put_into_one_map(spark, texts):
+    """Every map that is made looks for repeated keys among all its entries."""
+    given = texts.withColumn("features", F.create_map(F.lit("eval"), F.lit(None).cast("string"), F.lit("has_number"), F.lit("x")))
+    made = TF.extract(given, name="both", given="features")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_arrays") == 1 + plan.count("map_from_arrays([], [])") and "map_concat" not in plan
+    derived = {r.query_id: r.features for r in TF.extract(texts).collect()}
+    assert {r.query_id: r.both for r in made.collect()} == {i: {"eval": ""} | f for i, f in derived.items()}
+
+
 def odd_texts(n=400, seed=5):
     rng = random.Random(seed)
     pieces = list("aAbBzZßǅªⒶµÀé日本١٣09_-+=.!?,;:/\t\n\r\x1c\x1f\x85\xa0‍́　 𝟘𐐀𐐨😀ⅣñÑΣς﻿ͅ ") + [
