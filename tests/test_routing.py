@@ -220,6 +220,23 @@ def test_search_shares_clusters_and_stores_what_it_finds(spark, wide, tmp_path,
     assert grid[stored["config"]] == chosen == Router.load(spark, f"{path}/router").config
 
 
+@pytest.mark.parametrize(("dims", "made"), [((8, 8), 1), ((8, 12), 2)])
+def test_search_and_refit_read_the_same_features(spark, wide, tmp_path, monkeypatch, dims, made):
+    """Features are derived once for the search and the fit on all rows, unless the best setting has others."""
+    base = RouterConfig(num_clusters=2, coarse_clusters=2, fit_iterations=3, use_query_features=False)
+    grid = [replace(base, embedding_dim=d) for d in dims]
+    derived = []
+    whole = routing._prepare
+    monkeypatch.setattr(routing, "_prepare", lambda df, config: derived.append(config.embedding_dim) or whole(df, config))
+    monkeypatch.setattr("switchyard.plans.grid.best", lambda results: results.where("config = 1"))
+    items, models, path = B.to_items(wide), B.collect_models(wide), str(tmp_path / "search")
+    _, chosen = search_and_refit(items, models, grid, path, "g")
+    assert chosen == grid[1] and derived == list(dims)[:made]
+    stored, alone = Router.load(spark, f"{path}/router"), fit_router(items, models, chosen)
+    answers = [{r.query_id: (r.model, round(r.prob, 9)) for r in x.route(items).collect()} for x in (stored, alone)]
+    assert answers[0] == answers[1]
+
+
 def test_choose_among_own_models(spark):
     rows = [
         (1, ["b", "c"], [1.0, 2.0]),
