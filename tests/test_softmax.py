@@ -108,3 +108,18 @@ def test_scores_follow_the_weights(spark):
 
 def test_no_rows_give_no_weights(spark):
     assert X.fit(spark.createDataFrame([], ROWS), 3, 4, 5).count() == 0
+
+
+def test_weights_do_not_depend_on_the_order_of_parts(spark, monkeypatch):
+    """Each part is a task's at most, and their sums, with which the next round begins, are the same in any order."""
+    monkeypatch.setattr(X, "PART_ROWS", 40)
+    df = spark.createDataFrame(made(np.random.default_rng(7), 400), ROWS)
+    found = []
+    for tasks in (2, 3, 11):
+        monkeypatch.setattr(X, "task_count", lambda _, n=tasks: n, raising=False)
+        found.append({r.term: tuple(r.w) for r in X.fit(df, 3, 4, 15).collect()})
+    assert found[0] == found[1] == found[2]
+    parts = df.withColumn("part", (F.col("query_id") % 5).cast("int"))
+    wanted = parts.select("part", F.explode("terms").alias("term")).distinct()
+    plan = X._round(parts, wanted, None, 3, 4, 2, (1.0, 1.0))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
